@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, token_ids, toxicity
+from . import bpe, exact_dedup, packing, simhash, token_ids, toxicity
 from .common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), token_ids.vocabulary_path("word_bpe_49k.json"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +35,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,

@@ -1,7 +1,8 @@
 """Toxicity scores by a counterfactually regularised linear classifier.
 
-Features are the presence of words. The words are those whose presence tells most about the label over all training
-rows (counted in Spark over every labelled training row). A logistic model over them is fitted on a bounded sample of
+Features are the presence of short words and of words' first letters (so that inflected forms of one stem share
+features). Those are kept whose presence tells most about the label over all training rows (counted in Spark over
+every labelled training row). A logistic model over them is fitted on a bounded sample of
 the training rows. For each sample sentence that mentions an identity term, counterfactuals swap the term for others
 of its group; the loss adds ``fairness`` times the squared change of the score, so that the mere mention of a group
 carries no weight of its own, and neutral mentions don't become false positives.
@@ -35,14 +36,33 @@ IDENTITY_TERMS = {
 }
 
 
+PREFIXES = (4, 5, 6, 7)
+WHOLE = 8
+
+
+def features_of(word: str) -> list[str]:
+    """A word's first letters, and the word with an end mark if it is short."""
+    found = [word[:k] for k in PREFIXES if len(word) >= k]
+    if len(word) <= WHOLE:
+        found.append(word + "$")
+    return found
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self):
+        # Most words have no feature: the first letters of those that have.
+        object.__setattr__(self, "starts", {f.rstrip("$")[: PREFIXES[0]] for f in self.weights})
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        known, get = self.weights.keys(), self.weights.__getitem__
-        z = [self.bias + sum(map(get, known & WORD.findall(t.lower()))) if t else self.bias for t in texts]
+        known, get, starts, k = self.weights.keys(), self.weights.__getitem__, self.starts, PREFIXES[0]
+        z = []
+        for text in texts:
+            words = {w for w in WORD.findall(text.lower()) if w[:k] in starts} if text else ()
+            z.append(self.bias + sum(map(get, known & {f for w in words for f in features_of(w)})))
         return 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
 
 
@@ -51,30 +71,32 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(1)).cast("int")
 
 
-def _words(batches):
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        words = [list(set(WORD.findall(t.lower()))) if t else [] for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
+def _features(terms: frozenset[str]):
+    """y, a text's features, and the identity terms in it."""
+
+    def run(batches):
+        for batch in batches:
+            words = [set(WORD.findall(t.lower())) if t else set() for t in batch.column(1).to_pylist()]
+            features = [list({f for w in own for f in features_of(w)}) for own in words]
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, strings), pa.array([sorted(own & terms) for own in words], strings)], ["y", "features", "terms"])
+
+    return run
 
 
 def _picker(vocabulary: dict[str, int], swaps: dict[str, list[str]]):
-    """y, the known words of a text, and those of each counterfactual, as numbers."""
+    """y, the known features of a text, and those of each counterfactual, as numbers."""
 
     def run(batches):
         number = vocabulary.get
+        pick = lambda features: sorted(i for f in features if (i := number(f)) is not None)
         for batch in batches:
-            ys, kept, twins = batch.column(0), [], []
-            for words in batch.column(1).to_pylist():
-                own = set(words)
-                base = sorted(i for w in own if (i := number(w)) is not None)
-                kept.append(base)
-                other = []
-                for term in own & swaps.keys():
-                    for twin in swaps[term]:
-                        other.append(sorted(i for w in (own - {term}) | {twin} if (i := number(w)) is not None))
-                twins.append(other)
-            yield pa.RecordBatch.from_arrays([ys, pa.array(kept, pa.list_(pa.int32())), pa.array(twins, pa.list_(pa.list_(pa.int32())))], ["y", "x", "twins"])
+            kept, twins = [], []
+            for features, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                kept.append(pick(features))
+                own = set(features)
+                twins.append([pick(own.difference(features_of(t)).union(features_of(twin))) for t in terms for twin in swaps[t]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32())), pa.array(twins, pa.list_(pa.list_(pa.int32())))], ["y", "x", "twins"])
 
     return run
 
@@ -115,27 +137,32 @@ def fit_logistic(x: list[list[int]], y: np.ndarray, twins: list[list[list[int]]]
     return w, bias
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, features: int = 512, least_rows: int = 5, fairness: float = 1.0, ridge: float = 1e-4, terms: dict[str, str] | None = None) -> ToxicityModel:
+def train(labelled: DataFrame, sample_rows: int = 20_000, features: int = 1024, least_gain: float = 18.0, fairness: float = 1.0, ridge: float = 3e-4, terms: dict[str, str] | None = None) -> ToxicityModel:
     """Fit on rows with text and label (0 or 1). ``sample_rows`` bounds the rows that the fit takes (about: a fixed
-    share of them by a hash of the text); words are counted over all rows, and ``features`` bounds those that are kept.
+    share of them by a hash of the text); features are counted over all rows. One is kept if its G statistic is at least
+    ``least_gain``, and ``features`` bounds those that are kept.
     """
     groups = [g.split() for g in (IDENTITY_TERMS if terms is None else terms).values()]
     swaps = {t: [g[(k + 1) % len(g)], g[(k + len(g) // 2) % len(g)]] for g in groups if len(g) > 1 for k, t in enumerate(g)}
-    rows = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("y"), F.col("text")).mapInArrow(_words, "y int, words array<string>")
-    totals = {r["y"]: r["n"] for r in labelled.where("label in (0, 1)").groupBy(F.col("label").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    marked = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("y"), F.col("text"))
+    found = "y int, features array<string>, terms array<string>"
+    extract = _features(frozenset(swaps))
+    totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel({}, 40.0 if n1 else -40.0)
-    by_word = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") + F.col("q") >= least_rows)
+    rows = marked.mapInArrow(extract, found)
+    by_word = rows.select("y", F.explode("features").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     # The gain in log-likelihood from knowing the word: G of the two-by-two table.
     cell = lambda o, row, column: F.when(o > 0, o * F.log(o * (n0 + n1) / (row * column))).otherwise(0.0)
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     gain = cell(p, p + q, F.lit(n1)) + cell(q, p + q, F.lit(n0)) + cell(n1 - p, n0 + n1 - p - q, F.lit(n1)) + cell(n0 - q, n0 + n1 - p - q, F.lit(n0))
-    best = by_word.orderBy(gain.desc(), "word").limit(features).collect()  # bounded by ``features``
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys([*(r["word"] for r in best), *swaps]))}
+    telling = by_word.select("word", gain.alias("gain")).where(F.col("gain") >= least_gain / 2)
+    best = telling.orderBy(F.col("gain").desc(), "word").limit(features).collect()  # bounded by ``features``
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys([*(r["word"] for r in best), *(f for t in swaps for f in features_of(t))]))}
     share = min(1.0, sample_rows / (n0 + n1))
-    sample = labelled.where("label in (0, 1)").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    picked = sample.select(F.col("label").cast("int").alias("y"), "text").mapInArrow(_words, "y int, words array<string>").mapInArrow(_picker(vocabulary, swaps), "y int, x array<int>, twins array<array<int>>").toArrow()  # about sample_rows rows
+    sample = marked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    picked = sample.mapInArrow(extract, found).mapInArrow(_picker(vocabulary, swaps), "y int, x array<int>, twins array<array<int>>").toArrow()  # about sample_rows rows
     if not picked.num_rows:
         return ToxicityModel({}, math.log((n1 + 0.5) / (n0 + 0.5)))
     w, bias = fit_logistic(picked.column("x").to_pylist(), np.asarray(picked.column("y"), float), picked.column("twins").to_pylist(), len(vocabulary), fairness, ridge)
