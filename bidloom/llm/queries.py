@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, spotsigs, token_ids, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, licenses, packing, simhash, spotsigs, token_ids, toxicity, url_filter
 from .common import table
 
 
@@ -53,10 +53,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_id_round_trip(table(spark, sf_dir, "documents"), token_ids.vocabulary_path("byte_bpe_50k.json"), 2)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -65,7 +73,9 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_licenses": op8_licenses,
     "op9_token_ids": op9_token_ids,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {
