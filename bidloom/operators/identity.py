@@ -80,5 +80,24 @@ def resolve_customers(records: DataFrame, customers: DataFrame, record_id: str =
     least = every.where("inn <> ''").groupBy("inn").agg(F.min("norm").alias("m"), F.count_distinct("norm").alias("k")).where("k > 1")
     links = every.where("inn <> ''").join(least, "inn").select(F.col("m").alias("a"), F.col("norm").alias("b")).where("a <> b").distinct()
     roots = components(links)
-    grouped = every.join(roots.withColumnRenamed("node", "norm"), "norm", "left").withColumn("root", F.coalesce("root", "norm"))
-    return grouped.groupBy("root").applyInPandas(_fold, FOLDED)
+    linked = roots.withColumnRenamed("node", "norm")
+    folded = every.join(linked, "norm").groupBy("root").applyInPandas(_fold, FOLDED)
+    alone = new.join(linked.select("norm"), "norm", "left_anti")
+    return _resolve_alone(alone, met).unionByName(folded)
+
+
+def _resolve_alone(new: DataFrame, known: DataFrame) -> DataFrame:
+    """The same for names that share no tax number with another name: their first rows tell everything."""
+    with_inn = F.coalesce(F.col("inn"), F.lit("")) != ""
+    own = known.groupBy("norm").agg(F.min("arrival").alias("known_id"), F.min_by("inn", "arrival").alias("known_inn"))
+    first = new.groupBy("norm").agg(F.min("arrival").alias("first"), F.min_by("inn", "arrival").alias("first_inn"), F.min(F.when(with_inn, F.col("arrival"))).alias("inn_at"))
+    named = first.join(own, "norm", "left").withColumn("has", F.coalesce(F.nullif(F.coalesce("known_inn", F.when(F.col("known_id").isNull(), F.col("first_inn"))), F.lit("")), F.lit("")) != "")
+    rows = new.join(named, "norm")
+    makes = F.col("known_id").isNull() & (F.col("arrival") == F.col("first"))
+    return rows.select(
+        F.col("arrival").alias("record_id"),
+        F.coalesce(F.col("known_id"), -1 - F.col("first")).alias("customer_id"),
+        F.when(makes, F.col("name_text")).alias("new_name"),
+        F.when(makes, F.nullif(F.col("inn"), F.lit(""))).alias("new_inn"),
+        F.when(~F.col("has") & (F.col("arrival") == F.col("inn_at")), F.col("inn")).alias("backfilled_inn"),
+    )
