@@ -91,38 +91,48 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
                 del left[s]
                 sizes.pop(bisect_left(sizes, s))
 
-    over: dict[int, int] = {}
-    while sizes:
-        w = sizes[-1]
-        room = capacity - w
-        others = sizes if left[w] > 1 else sizes[:-1]
-        v = _largest(others, room)
-        if not v:
-            take((w,))
+    at, before = len(sizes) - 1, 0
+    while True:
+        if at < 0:  # from the largest again while the last pass has fixed any
+            if before == len(fixed):
+                return fixed, left
+            at, before = len(sizes) - 1, len(fixed)
             continue
-        smallest = others[:3]
-        least = [s for s in smallest for _ in range(min(3, left[s] - (s == w)))][:3]
-        if v == room or len(least) < 2 or sum(least[:2]) > room:
-            take((w, v))
-            continue
-        best = (0, 0, 0)
-        for a in others:  # the pair of others that fills most
-            if 2 * a > room:
-                break
-            b = _largest(others, room - a)
-            if b == a and left[a] - (a == w) < 2:
-                k = bisect_left(others, a)
-                b = others[k - 1] if k else 0
-            if b and a + b > best[0]:
-                best = (a + b, a, b)
-        if best[0] <= v:
-            take((w, v))
-        elif best[0] == room and (len(least) < 3 or sum(least) > room):
-            take((w, best[2], best[1]))
+        w = sizes[at]
+        pattern = _dominating(w, left, sizes, capacity)
+        if pattern:
+            take(pattern)
+            at = bisect_left(sizes, w) - (w not in left)
         else:
-            over[w] = left.pop(w)
-            sizes.pop()
-    return fixed, over
+            at -= 1
+
+
+def _dominating(w: int, left: dict[int, int], sizes: list[int], capacity: int) -> tuple[int, ...] | None:
+    """The set that dominates all others that hold an item of size w, if one of at most three items is known to."""
+    room = capacity - w
+    k = bisect_left(sizes, w)
+    others = sizes if left[w] > 1 else sizes[:k] + sizes[k + 1 :]
+    v = _largest(others, room)
+    if not v:
+        return (w,)
+    least = [s for s in others[:3] for _ in range(min(3, left[s] - (s == w)))][:3]
+    if v == room or len(least) < 2 or sum(least[:2]) > room:
+        return (w, v)
+    best = (0, 0, 0)
+    for a in others:  # the pair of others that fills most
+        if 2 * a > room or best[0] == room:
+            break
+        b = _largest(others, room - a)
+        if b == a and left[a] - (a == w) < 2:
+            k = bisect_left(others, a)
+            b = others[k - 1] if k else 0
+        if b and a + b > best[0]:
+            best = (a + b, a, b)
+    if best[0] <= v:
+        return (w, v)
+    if best[0] == room and (len(least) < 3 or sum(least) > room):
+        return (w, best[2], best[1])
+    return None
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -148,14 +148,17 @@ def near_stars(points: np.ndarray, block: int, blocks: int, radius: int) -> np.n
         if len(own) < 2:
             continue
         x, lab = points[own], np.arange(len(own))
-        while True:  # the least label of all neighbours, until nothing changes
-            before = lab.copy()
-            for at in range(0, len(own), 512):
-                near = np.bitwise_count(x[at : at + 512, None] ^ x[None, :]) <= radius
-                lab[at : at + 512] = np.where(near, lab[None, :], len(own)).min(axis=1)
-            lab = lab[lab]
-            if (lab == before).all():
-                break
+        for at in range(0, len(own), 256):  # a stripe of pairs at a time, whose links are merged at once
+            i, j = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= radius)
+            i, j = i[i < j] + at, j[i < j] + at
+            while len(i):
+                low = np.minimum(lab[i], lab[j])
+                np.minimum.at(lab, lab[i], low)
+                np.minimum.at(lab, lab[j], low)
+                while (lab != lab[lab]).any():
+                    lab = lab[lab]
+                apart = lab[i] != lab[j]
+                i, j = i[apart], j[apart]
         label[own] = own[lab]
     moved = label != np.arange(len(points))
     a, b = points[label[moved]].view(np.int64), points[moved].view(np.int64)
@@ -225,7 +228,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     return printed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row (by id) of each component, with all its columns; rows without an id stay."""
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row (by id) of each component, with all its columns; rows without an id stay.
+
+    Sets of shingles with a Jaccard of 0.8 differ in about 10 of 64 bits, of 0.9 in 7, of 0.95 in 5; unrelated texts
+    come within 8 bits once in 4 thousand million pairs.
+    """
     gone = near_duplicates(docs, shingle, radius, blocks, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
     return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")

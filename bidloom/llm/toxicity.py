@@ -1,10 +1,9 @@
 """Toxicity scores by a counterfactually regularised linear classifier.
 
 Features are the presence of short words and of words' first letters (so that inflected forms of one stem share
-features). Those are kept whose presence tells most about the label over all training rows (counted in Spark over
-every labelled training row). A logistic model over them is fitted on a bounded sample of
-the training rows. For each sample sentence that mentions an identity term, counterfactuals swap the term for others
-of its group; the loss adds ``fairness`` times the squared change of the score, so that the mere mention of a group
+features). Those are kept whose presence tells most about the label. Their counts and the logistic model over them come
+from a bounded sample of the labelled training rows (SAMPLE_ROWS). For each sample text that mentions an identity term,
+counterfactuals swap the term for others of its group; the loss adds ``fairness`` times the squared change of the score, so that the mere mention of a group
 carries no weight of its own, and neutral mentions don't become false positives.
 
 Texts are lower-cased; a word is a run of letters. Null texts count as empty; texts without known words get the
@@ -15,7 +14,6 @@ tables give empty results. Other columns are never read.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -24,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = re.compile(r"[^\W\d_]+")
 
 # Identity terms by group; a counterfactual swaps a term for another of its group.
@@ -37,6 +37,8 @@ IDENTITY_TERMS = {
 
 
 PREFIXES = (4, 5, 6, 7)
+SAMPLE_ROWS = 20_000
+SLICE_ROWS = 200
 WHOLE = 8
 
 
@@ -75,11 +77,13 @@ def _features(terms: frozenset[str]):
     """y, a text's features, and the identity terms in it."""
 
     def run(batches):
+        strings = pa.list_(pa.string())
         for batch in batches:
-            words = [set(WORD.findall(t.lower())) if t else set() for t in batch.column(1).to_pylist()]
-            features = [list({f for w in own for f in features_of(w)}) for own in words]
-            strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, strings), pa.array([sorted(own & terms) for own in words], strings)], ["y", "features", "terms"])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                words = [set(WORD.findall(t.lower())) if t else set() for t in part.column(1).to_pylist()]
+                features = [list({f for w in own for f in features_of(w)}) for own in words]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(features, strings), pa.array([sorted(own & terms) for own in words], strings)], ["y", "features", "terms"])
 
     return run
 
@@ -137,21 +141,30 @@ def fit_logistic(x: list[list[int]], y: np.ndarray, twins: list[list[list[int]]]
     return w, bias
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, features: int = 1024, least_gain: float = 18.0, fairness: float = 1.0, ridge: float = 3e-4, terms: dict[str, str] | None = None) -> ToxicityModel:
-    """Fit on rows with text and label (0 or 1). ``sample_rows`` bounds the rows that the fit takes (about: a fixed
-    share of them by a hash of the text); features are counted over all rows. One is kept if its G statistic is at least
-    ``least_gain``, and ``features`` bounds those that are kept.
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and label of the labelled rows outside fold 0: all of them, or about ``sample_rows`` by a hash of the id.
+
+    The sampled labels are bounded, so they are broadcast and the texts aren't dealt out.
+    """
+    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where((fold(F.col("_id")) != 0) & F.col("label").isin(0, 1))
+    share = min(1.0, sample_rows / max(marked.count(), 1))
+    kept = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(kept), "_id").select("text", "label")
+
+
+def train(labelled: DataFrame, features: int = 1024, least_gain: float = 18.0, fairness: float = 1.0, ridge: float = 3e-4, terms: dict[str, str] | None = None) -> ToxicityModel:
+    """Fit on rows with text and label (0 or 1), which training_rows() bounds. A feature is kept if its G statistic is
+    at least ``least_gain``, and ``features`` bounds those that are kept.
     """
     groups = [g.split() for g in (IDENTITY_TERMS if terms is None else terms).values()]
     swaps = {t: [g[(k + 1) % len(g)], g[(k + len(g) // 2) % len(g)]] for g in groups if len(g) > 1 for k, t in enumerate(g)}
-    marked = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("y"), F.col("text"))
     found = "y int, features array<string>, terms array<string>"
-    extract = _features(frozenset(swaps))
-    totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marked = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("y"), F.col("text"))
+    rows = cut(marked.mapInArrow(_features(frozenset(swaps)), found), "toxicity-features")
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel({}, 40.0 if n1 else -40.0)
-    rows = marked.mapInArrow(extract, found)
     by_word = rows.select("y", F.explode("features").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     # The gain in log-likelihood from knowing the word: G of the two-by-two table.
     cell = lambda o, row, column: F.when(o > 0, o * F.log(o * (n0 + n1) / (row * column))).otherwise(0.0)
@@ -160,11 +173,7 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, features: int = 1024,
     telling = by_word.select("word", gain.alias("gain")).where(F.col("gain") >= least_gain / 2)
     best = telling.orderBy(F.col("gain").desc(), "word").limit(features).collect()  # bounded by ``features``
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys([*(r["word"] for r in best), *(f for t in swaps for f in features_of(t))]))}
-    share = min(1.0, sample_rows / (n0 + n1))
-    sample = marked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    picked = sample.mapInArrow(extract, found).mapInArrow(_picker(vocabulary, swaps), "y int, x array<int>, twins array<array<int>>").toArrow()  # about sample_rows rows
-    if not picked.num_rows:
-        return ToxicityModel({}, math.log((n1 + 0.5) / (n0 + 0.5)))
+    picked = rows.mapInArrow(_picker(vocabulary, swaps), "y int, x array<int>, twins array<array<int>>").toArrow()  # numbers only, of bounded rows
     w, bias = fit_logistic(picked.column("x").to_pylist(), np.asarray(picked.column("y"), float), picked.column("twins").to_pylist(), len(vocabulary), fairness, ridge)
     return ToxicityModel({t: float(w[i]) for t, i in vocabulary.items() if abs(w[i]) > 1e-9}, bias)
 
@@ -172,7 +181,7 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, features: int = 1024,
 def _scorer(model: ToxicityModel):
     def run(batches):
         for batch in batches:
-            score = model.scores(batch.column(1).to_pylist())
+            score = np.concatenate([model.scores(batch.column(1).slice(at, SLICE_ROWS).to_pylist()) for at in range(0, batch.num_rows, SLICE_ROWS)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -184,12 +193,6 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and label of the rows outside fold 0."""
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).where((fold(F.col("_id")) != 0) & F.col("label").isNotNull())
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(marked, "_id").select("text", "label")
-
-
 def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that the model doesn't reject, with all their columns."""
 

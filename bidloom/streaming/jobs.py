@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.jobs import parse_results
 from ..operators.store import new_cards
+from ..sources.shared import cut
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -36,13 +37,11 @@ def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             stored = rows.limit(0)
-        fresh = new_cards(stored, rows, order).persist()
-        try:
-            fresh.write.mode("append").parquet(store_path)
-            if after is not None:
-                after(fresh)
-        finally:
-            fresh.unpersist()
+        # Kept apart from the store, as it is read after the store has changed.
+        fresh = cut(new_cards(stored, rows, order), "fresh")
+        fresh.write.mode("append").parquet(store_path)
+        if after is not None:
+            after(fresh)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
