@@ -16,6 +16,11 @@ are links. They are found exactly:
 A shard returns a spanning star of each of its connected groups instead of all pairs, and the stars are merged into
 components by alternating large-star and small-star rounds, with a table in the shared folder after each round.
 
+``drop_near_duplicates`` asks for a Jaccard, which 64 bits tell too coarsely. It takes eight SimHashes of each text's set
+of shingles (512 bits). Texts that agree in one of 40 bands of 12 bits, dealt by vantage-point trees over each band's
+values, and differ in at most 32 of the first 128 bits are candidates; all pairs of a candidate component are then
+compared by their shingles themselves, and only pairs that reach the Jaccard are links.
+
 Null texts count as empty. Texts without words have fingerprint zero and are linked like any others. Texts with fewer
 words than a shingle have one shingle. Rows that repeat an id are rows of their own. Null ids never are a component's
 smallest id; a component without any id has a null component_id. Empty tables give empty results.
@@ -35,6 +40,14 @@ SAMPLE = 65_536
 LEAF_ROWS = 1_000
 SHARD_ROWS = 6_000
 MOST_DEPTH = 24
+#: Near copies by Jaccard: SimHashes of a sketch, bands of each, bits of a band; most differing bits of a candidate's
+#: first 128; rows and characters of a chunk whose pairs are verified in a task.
+SKETCH_WORDS = 8
+WORD_BANDS = 5
+BAND_BITS = 12
+CANDIDATE_BITS = 32
+VERIFY_ROWS = 256
+VERIFY_CHARS = 4_000_000
 
 
 # --- Fingerprints --------------------------------------------------------------------------------------------------
@@ -132,6 +145,23 @@ def _router(trees: list, radius: int):
     return run
 
 
+def connect(n: int, near) -> np.ndarray:
+    """Each point's least connected point; near(at) tells which points of the stripe at ``at`` are near those from there on."""
+    lab = np.arange(n)
+    for at in range(0, n, 256):  # a stripe of pairs at a time, whose links are merged at once
+        i, j = np.nonzero(near(at))
+        i, j = i[i < j] + at, j[i < j] + at
+        while len(i):
+            low = np.minimum(lab[i], lab[j])
+            np.minimum.at(lab, lab[i], low)
+            np.minimum.at(lab, lab[j], low)
+            while (lab != lab[lab]).any():
+                lab = lab[lab]
+            apart = lab[i] != lab[j]
+            i, j = i[apart], j[apart]
+    return lab
+
+
 def near_stars(points: np.ndarray, block: int, blocks: int, radius: int) -> np.ndarray:
     """Links (smaller, larger) that connect just what all links of ``points`` within ``radius`` connect.
 
@@ -147,18 +177,8 @@ def near_stars(points: np.ndarray, block: int, blocks: int, radius: int) -> np.n
     for own in np.split(order, edges):
         if len(own) < 2:
             continue
-        x, lab = points[own], np.arange(len(own))
-        for at in range(0, len(own), 256):  # a stripe of pairs at a time, whose links are merged at once
-            i, j = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= radius)
-            i, j = i[i < j] + at, j[i < j] + at
-            while len(i):
-                low = np.minimum(lab[i], lab[j])
-                np.minimum.at(lab, lab[i], low)
-                np.minimum.at(lab, lab[j], low)
-                while (lab != lab[lab]).any():
-                    lab = lab[lab]
-                apart = lab[i] != lab[j]
-                i, j = i[apart], j[apart]
+        x = points[own]
+        lab = connect(len(own), lambda at, x=x: np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= radius)
         label[own] = own[lab]
     moved = label != np.arange(len(points))
     a, b = points[label[moved]].view(np.int64), points[moved].view(np.int64)
@@ -174,6 +194,19 @@ def _linker(blocks: int, radius: int):
     return run
 
 
+def _tiles(routed: DataFrame, key: str) -> DataFrame:
+    """The rows of each shard, those over SHARD_ROWS cut into chunks; i, j name the pair of chunks that meet."""
+    others = [c for c in routed.columns if c not in ("block", "leaf")]
+    # The counts are as many as leaves, which the sample bounds.
+    large = routed.groupBy("block", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
+    large = large.select("block", "leaf", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
+    split = routed.join(F.broadcast(large), ["block", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    # A chunk meets every chunk, itself included.
+    tiles = split.select("block", "leaf", *others, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return tiles.select("block", "leaf", *others, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     """a < b: links whose connected components are those of all pairs of ``distinct.fp`` within ``radius`` bits."""
     total = distinct.count()
@@ -184,15 +217,7 @@ def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 4) -> DataFra
     leaf = max(4, int(LEAF_ROWS * share))
     trees = [build_tree(block_values(sampled, b, blocks), leaf) for b in range(blocks)]
     routed = cut(distinct.select("fp").mapInArrow(_router(trees, radius), "block int, leaf long, fp long"), "simhash-shards")
-    # The counts are as many as leaves, which the sample bounds.
-    large = routed.groupBy("block", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
-    large = large.select("block", "leaf", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
-    split = routed.join(F.broadcast(large), ["block", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    split = split.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # A chunk meets every chunk, itself included.
-    tiles = split.select("block", "leaf", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("block", "leaf", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return tiles.groupBy("block", "leaf", "i", "j").applyInArrow(_linker(blocks, radius), "a long, b long")
+    return _tiles(routed, "fp").groupBy("block", "leaf", "i", "j").applyInArrow(_linker(blocks, radius), "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -228,11 +253,168 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     return printed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# --- Near copies by Jaccard ----------------------------------------------------------------------------------------
+
+
+def shingle_set(text: str | None, shingle: int) -> set[bytes]:
+    """The different shingles of a text, its words cut as simhash() cuts them."""
+    words = (text or "").encode().lower().split()
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)))
+
+
+def sketch(shingles: set[bytes], digest) -> np.ndarray:
+    """SKETCH_WORDS independent 64-bit SimHashes of a set; each hash is mixed anew for each word."""
+    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+    ones = np.zeros(64 * SKETCH_WORDS, np.int64)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at : at + 1024, None] + np.arange(1, SKETCH_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _sketcher(shingle: int):
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            found = [sketch(shingle_set(t.as_py(), shingle), xxhash.xxh64_intdigest).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
+
+    return run
+
+
+def band_values(words: np.ndarray, band: int) -> np.ndarray:
+    return (words[:, band // WORD_BANDS] >> np.uint64(BAND_BITS * (band % WORD_BANDS))) & np.uint64((1 << BAND_BITS) - 1)
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+
+
+def _band_router(trees: list):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, words = np.asarray(batch.column(0), np.int64), _words(batch.column(1))
+            for band, tree in enumerate(trees):
+                values = band_values(words, band)
+                leaves = np.empty(len(nodes), np.int64)
+                for leaf, rows in route(values, tree, 0):
+                    leaves[rows] = leaf
+                columns = [np.full(len(nodes), band, np.int32), leaves, nodes, values.astype(np.int32), words[:, 0].view(np.int64), words[:, 1].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["block", "leaf", "node", "value", "x", "y"])
+
+    return run
+
+
+def _candidate_stars(table: pa.Table) -> pa.Table:
+    nodes, values, x, y = (np.asarray(table.column(c)) for c in ("node", "value", "x", "y"))
+    order = np.lexsort((nodes, values))
+    nodes, values, x, y = nodes[order], values[order], x[order], y[order]
+    a, b = [], []
+    for own in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(values)) + 1):
+        if len(own) < 2:
+            continue
+        u, v = x[own].view(np.uint64), y[own].view(np.uint64)
+        lab = connect(len(own), lambda at, u=u, v=v: np.bitwise_count(u[at : at + 256, None] ^ u[None, at:]) + np.bitwise_count(v[at : at + 256, None] ^ v[None, at:]) <= CANDIDATE_BITS)
+        moved = lab != np.arange(len(own))
+        a.append(nodes[own[lab[moved]]])
+        b.append(nodes[own[moved]])
+    none = [np.empty(0, np.int64)]
+    return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+
+
+def candidate_links(sketches: DataFrame) -> DataFrame:
+    """a < b: links that connect what pairs of ``sketches`` connect that agree in a band and are close in 128 bits."""
+    total = sketches.count()
+    share = min(1.0, SAMPLE / 4 / max(total, 1))
+    sample = sketches.where(F.pmod(F.xxhash64("sketch", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("sketch").limit(SAMPLE // 2)
+    sampled = _words(sample.toArrow().column("sketch"))
+    leaf = max(4, int(LEAF_ROWS * share))
+    trees = [build_tree(np.sort(band_values(sampled, b)), leaf) for b in range(WORD_BANDS * SKETCH_WORDS)]
+    routed = cut(sketches.mapInArrow(_band_router(trees), "block int, leaf long, node long, value int, x long, y long"), "near-shards")
+    return _tiles(routed, "node").groupBy("block", "leaf", "i", "j").applyInArrow(_candidate_stars, "a long, b long")
+
+
+def _verifier(shingle: int, similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        roots, owns, nodes = (np.asarray(table.column(c)) for c in ("root", "own", "node"))
+        texts, order = table.column("text"), np.argsort(roots, kind="stable")
+        links = []
+        for group in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            sets = [shingle_set(texts[int(k)].as_py(), shingle) for k in group]
+            up = list(range(len(group)))
+
+            def top(k: int, up=up) -> int:
+                while up[k] != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            ranked = sorted(range(len(group)), key=lambda k, sets=sets: len(sets[k]))
+            for at, p in enumerate(ranked):
+                for q in ranked[at + 1 :]:
+                    small, large = len(sets[p]), len(sets[q])
+                    if small < similarity * large - 1e-9:  # larger ones still less
+                        break
+                    if cross and owns[group[p]] == owns[group[q]] or top(p) == top(q):
+                        continue
+                    both = len(sets[p] & sets[q])
+                    if both >= similarity * (small + large - both) - 1e-9:
+                        up[top(q)] = top(p)
+                        links.append(sorted((int(nodes[group[p]]), int(nodes[group[q]]))))
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return run
+
+
+def verified_links(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a < b: links that connect what all pairs of one candidate component (node, root) connect whose exact Jaccard is
+    ``similarity`` or more. Large components are cut into chunks whose pairs are tiles; small ones share a task."""
+    rows = texts.join(candidates, "node").withColumn("size", F.length("text"))
+    rows = cut(rows, "near-candidates")
+    sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum("size") / VERIFY_CHARS)).cast("int").alias("parts"))
+    n, chars = rows.agg(F.count("*"), F.sum("size")).first()
+    bundles = int(max(n / (8 * VERIFY_ROWS), (chars or 0) / (4 * VERIFY_CHARS))) + 1
+    split = rows.join(sizes, "root").withColumn("parts", F.greatest("parts", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    bundle = F.when(F.col("parts") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bundles)))
+    tiles = split.select(bundle.alias("bundle"), "root", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("bundle", "root", "node", "own", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return tiles.groupBy("bundle", "i", "j").applyInArrow(_verifier(shingle, similarity), "a long, b long")
+
+
+def near_components(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """sha (of the text, null as empty), first_id, root for every different text; texts of one root hang together by
+    pairs whose sets of shingles have a Jaccard of ``similarity`` or more."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("sha"), F.col(id_col).alias("id")).groupBy("sha").agg(F.min("id").alias("first_id"), F.first("text").alias("text"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
+    sketches = cut(texts.select("node", "text").mapInArrow(_sketcher(shingle), "node long, sketch binary"), "near-sketches")
+    others = components(candidate_links(sketches))  # all but the roots themselves
+    candidates = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
+    links = verified_links(texts.select("node", "text"), candidates, shingle, similarity)
+    member = components(links)
+    return texts.select("sha", "first_id", "node").join(member, "node", "left").select("sha", "first_id", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row (by id) of each component, with all its columns; rows without an id stay.
 
-    Sets of shingles with a Jaccard of 0.8 differ in about 10 of 64 bits, of 0.9 in 7, of 0.95 in 5; unrelated texts
-    come within 8 bits once in 4 thousand million pairs.
+    Texts are linked where their sets of shingles have a Jaccard of ``similarity`` or more. Candidates are found by
+    SimHash, and every link is verified by the texts themselves.
     """
-    gone = near_duplicates(docs, shingle, radius, blocks, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    named = near_components(docs, shingle, similarity, id_col, text_col)
+    least = named.groupBy("root").agg(F.min("first_id").alias("_first"))
+    marks = named.join(least, "root").select(F.col("sha").alias("_sha"), "_first")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    out = docs.withColumn("_sha", sha).join(marks, "_sha").where(F.col(id_col).isNull() | (F.col(id_col) == F.col("_first")))
+    return out.select(*docs.columns)

@@ -247,6 +247,60 @@ def test_simhash(docs, texts, none, radius, blocks, monkeypatch):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def _shared(rng, n, jaccard):
+    """Two texts whose sets of ``n`` and about as many 5-word shingles have about that Jaccard: one run of words changed."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    a = [word() for _ in range(n + 4)]
+    new = round(n * (1 - jaccard) / (1 + jaccard)) - 4
+    at = rng.randrange(4, n - new - 4)
+    return " ".join(a), " ".join(a[:at] + [word() for _ in range(new)] + a[at + new :])
+
+
+def _jaccard(a, b):
+    a, b = simhash.shingle_set(a, 5), simhash.shingle_set(b, 5)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _candidate(a, b):
+    import xxhash
+
+    x, y = (simhash.sketch(simhash.shingle_set(t, 5), xxhash.xxh64_intdigest)[None, :] for t in (a, b))
+    banded = any(simhash.band_values(x, k)[0] == simhash.band_values(y, k)[0] for k in range(40))
+    return banded and int(np.bitwise_count(x ^ y)[0, :2].sum()) <= simhash.CANDIDATE_BITS
+
+
+@pytest.mark.parametrize("n", [60, 300])
+def test_candidate_recall_at_the_similarity(n):
+    rng = random.Random(7)
+    pairs = [_shared(rng, n, 0.8) for _ in range(300)]
+    assert all(abs(_jaccard(*p) - 0.8) < 0.03 for p in pairs)
+    assert sum(_candidate(*p) for p in pairs) / len(pairs) > 0.97
+
+
+def test_near_copies_by_jaccard(spark, docs, monkeypatch):
+    """Pairs at 0.82 go, pairs at 0.7 stay, and tiles of large components give what brute force gives."""
+    rng = random.Random(8)
+    texts = [t for k in range(40) for t in _shared(rng, 150, 0.82 if k % 2 else 0.7)]
+    base = texts[0].split()
+    for k in range(60):  # a large group of which only some reach the similarity
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), 1 + k % 7):
+            copy[at] = f"new{k}x{at}"
+        texts.append(" ".join(copy))
+    texts += [None, " ", "one two", "One  TWO", "one three"]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if root[a] != root[b] and _jaccard(texts[a], texts[b]) >= 0.8:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for verify_rows in (simhash.VERIFY_ROWS, 10):
+        monkeypatch.setattr(simhash, "VERIFY_ROWS", verify_rows)
+        kept = {r["doc_id"] for r in simhash.drop_near_duplicates(rows).collect()}
+        assert kept == set(root)
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_spotsigs_documents(docs, texts, none):
     import regex
 
