@@ -407,14 +407,14 @@ def near_components(docs: DataFrame, shingle: int, similarity: float, id_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row (by id) of each component, with all its columns; rows without an id stay.
+    """One row of each component, with all its columns: the least by id (rows without one last), then text hash.
 
     Texts are linked where their sets of shingles have a Jaccard of ``similarity`` or more. Candidates are found by
     SimHash, and every link is verified by the texts themselves.
     """
     named = near_components(docs, shingle, similarity, id_col, text_col)
-    least = named.groupBy("root").agg(F.min("first_id").alias("_first"))
-    marks = named.join(least, "root").select(F.col("sha").alias("_sha"), "_first")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "sha")).alias("least"))
+    stay = least.select(F.col("least.sha").alias("_sha"), F.col("least.first_id").alias("_first"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    out = docs.withColumn("_sha", sha).join(marks, "_sha").where(F.col(id_col).isNull() | (F.col(id_col) == F.col("_first")))
-    return out.select(*docs.columns)
+    out = docs.withColumn("_sha", sha).join(stay, "_sha").where(F.col(id_col).eqNullSafe(F.col("_first")))
+    return out.dropDuplicates(["_sha"]).select(*docs.columns)

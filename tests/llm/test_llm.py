@@ -301,6 +301,14 @@ def test_near_copies_by_jaccard(spark, docs, monkeypatch):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    near = lambda k: " ".join(f"w{i}" for i in range(100)) + f" end{k}"
+    rows = [(1, near(1)), (1, near(2)), (1, "a row of its own with another text"), (2, near(3)), (2, "one more row of its own"), (None, near(4)), (None, "x y"), (None, "X Y"), (3, "twice"), (3, "twice")]
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 5 and {t for _, t in kept if t[0] not in "wxX"} == {"a row of its own with another text", "one more row of its own", "twice"}
+    assert sum(t.startswith("w0") for _, t in kept) == 1 and [i for i, t in kept if t.startswith("w0")] == [1] and sum(t in ("x y", "X Y") for _, t in kept) == 1
+
+
 def test_spotsigs_documents(docs, texts, none):
     import regex
 
