@@ -6,8 +6,8 @@ The first pass classes the other blocks by length, link density and stop-word de
 bad. In the second pass the short and near-good blocks, which say too little alone, take the label of their nearest
 decided neighbours: good on both sides is good, bad on both sides is bad; between good and bad a near-good block is
 good and a short one follows the nearer (the page's ends count as bad). Headings that a good block follows closely are
-good. Where a page has an article or main element, only blocks inside it can be good, and there undecided blocks are
-good. Text and spaces are never dropped or cut within a good block: references are decoded, white space becomes one
+good. An article or main element is a weight: inside it half the stop-word density is enough, too low a density leaves a
+block to its neighbours, and the element's border counts as good inside and as bad outside. Text and spaces are never dropped or cut within a good block: references are decoded, white space becomes one
 space, blocks are joined by one line feed.
 
 Stop words are function words of four languages, unless given; ``frequent_words`` counts a corpus's own in Spark. Null html
@@ -37,6 +37,7 @@ BAD_WORDS = frozenset(
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+CONTENT_WEIGHT = 0.5
 CLOSED_BY_BLOCK = frozenset(("p",))
 
 _TOKEN = re.compile(
@@ -131,59 +132,60 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block], stop_words: frozenset[str], short: int = 70, long: int = 200, link_density: float = 0.2, low: float = 0.3, high: float = 0.32) -> list[bool]:
     """Whether each block is main text."""
-    has_content = any(b.content and not b.boilerplate for b in found)
     kinds: list[str] = []
     for b in found:
         words = _WORDS.findall(b.text.lower())
         stop = sum(w in stop_words for w in words) / len(words) if words else 0.0
         density = b.linked / max(len(b.text), 1)
-        if b.boilerplate or has_content and not b.content:
+        weight = CONTENT_WEIGHT if b.content else 1.0
+        if b.boilerplate or density > link_density:
             kind = "bad"
-        elif density > link_density:
-            kind = "bad" if not has_content else "short"
         elif len(b.text) < short:
             kind = "short"
-        elif stop >= high:
+        elif stop >= high * weight:
             kind = "good" if len(b.text) > long else "near"
-        elif stop >= low:
+        elif stop >= low * weight:
             kind = "near"
         else:
-            kind = "near" if has_content else "bad"
+            kind = "short" if b.content else "bad"
         kinds.append(kind)
-    # Second pass: distance and kind of the nearest decided block on either side.
+    # Second pass: kind and distance of the nearest decided block on either side.
     n = len(kinds)
-    before, after = [("bad", n + 1)] * n, [("bad", n + 1)] * n
-    last, at = "bad", -1
-    for i in range(n):
-        before[i] = (last, i - at)
-        if kinds[i] in ("good", "bad"):
-            last, at = kinds[i], i
-    last, at = "bad", n
-    for i in range(n - 1, -1, -1):
-        after[i] = (last, at - i)
-        if kinds[i] in ("good", "bad"):
-            last, at = kinds[i], i
+    before, after = _nearest(found, kinds, range(n)), _nearest(found, kinds, range(n - 1, -1, -1))
     out = []
     for i, (b, kind) in enumerate(zip(found, kinds, strict=True)):
         if kind in ("good", "bad"):
             out.append(kind == "good")
-        elif has_content:
+            continue
+        (a, da), (c, dc) = before[i], after[i]
+        if a == c:
+            out.append(a == "good")
+        elif kind == "near":
             out.append(True)
+        elif b.heading:
+            out.append(c == "good")
         else:
-            (a, da), (c, dc) = before[i], after[i]
-            if a == c:
-                out.append(a == "good")
-            elif kind == "near":
-                out.append(True)
-            elif b.heading:
-                out.append(c == "good")
-            else:
-                out.append((a if da <= dc else c) == "good")
-    if not any(out) and not has_content:  # a page of near-good blocks alone
+            out.append((a if da <= dc else c) == "good")
+    if not any(out):  # a page of near-good blocks alone
         out = [k == "near" for k in kinds]
     return out
 
 
+def _nearest(found: list[Block], kinds: list[str], order: range) -> list[tuple[str, int]]:
+    """Kind and distance of the nearest decided block before each block in ``order``."""
+    out = [("bad", 0)] * len(found)
+    last, at, content = "bad", order.start - order.step, False
+    for i in order:
+        b = found[i]
+        if b.content != content:  # the border of an article counts as good inside and as bad outside
+            last, at, content = "good" if b.content else "bad", i - order.step, b.content
+        out[i] = (last, abs(i - at))
+        # Boilerplate inside an article says nothing about the text around it.
+        if kinds[i] in ("good", "bad") and not (b.content and b.boilerplate):
+            last, at = kinds[i], i
+    return out
+
+
 def main_text(page: str | None, stop_words: frozenset[str]) -> str:
     if not page:
         return ""

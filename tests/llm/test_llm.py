@@ -426,6 +426,21 @@ def test_html(spark):
     assert "the" in html_text.frequent_words(rows, 5)
 
 
+def test_html_rules_act_on_every_page():
+    stop = frozenset(html_text.STOP_WORDS)
+    prose = "the cat is on the mat and it was to be with all of us there " * 5
+    links = "".join(f"<li><a href={k}>Another story number {k}</a></li>" for k in range(6))
+    main = lambda page: html_text.main_text(page, stop)
+    # A link list inside an article is dropped, the text around it and its short lines stay.
+    out = main(f"<article><h1>Title</h1><p>{prose}</p><ul>{links}</ul><p>{prose}</p><p>Short end</p></article>")
+    assert "Another" not in out and out.startswith("Title") and out.count("the cat") == 10 and out.endswith("Short end")
+    # So is a short line between links.
+    assert "More" not in main(f"<main><p>{prose}</p><ul>{links}</ul><p>More</p><ul>{links}</ul><p>{prose}</p></main>")
+    # Text outside an article is classed like any other; pages without one too.
+    assert main(f"<article><p>Short teaser</p></article><div><p>{prose}</p></div>").count("the cat") == 5
+    assert main(f"<ul>{links}</ul><div><p>{prose}</p></div><ul>{links}</ul>").strip() == prose.strip()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     vocab = [f"w{chr(97 + i)}{chr(97 + j)}word" for i in range(12) for j in range(12)]
