@@ -578,6 +578,6 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     """The last priority of each key, kept as streaming state."""
     rows = streams.file_stream(spark, d, "events").select(F.col("user_id").alias("procurement_id"), F.col("value").alias("priority"), "ts", "event_id")
-    name = f"queue_{uuid.uuid4().hex}"
-    streams.latest_jobs_stream(rows, ["ts", "event_id"], name, f"{shared_folder(spark)}/bidloom/{name}").awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/bidloom/queue_{uuid.uuid4().hex}"
+    streams.latest_jobs_stream(rows, ["ts", "event_id"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return streams.latest_jobs_table(spark, f"{folder}/table")

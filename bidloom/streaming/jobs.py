@@ -46,13 +46,24 @@ def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_jobs_stream(stream: DataFrame, order: list[str], table: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Keeps the last priority of each key as state and shows it in a memory table."""
+def latest_jobs_stream(stream: DataFrame, order: list[str], path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Keeps the last priority of each key as state; each micro-batch writes the keys that it changed to its own folder
+    under ``path``. A batch that is run again overwrites what it wrote."""
     latest = stream.groupBy("procurement_id").agg(F.max_by("priority", F.struct(*order)).alias("priority"))
-    out = latest.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True)
+    stream.sparkSession.createDataFrame([], latest.schema).write.mode("ignore").parquet(f"{path}/batch=-1")  # read where no batch came
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    out = latest.writeStream.outputMode("update").foreachBatch(batch).trigger(availableNow=True)
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
+def latest_jobs_table(spark: SparkSession, path: str) -> DataFrame:
+    """procurement_id, priority: the last version of each key that ``latest_jobs_stream`` wrote under ``path``."""
+    return spark.read.parquet(path).groupBy("procurement_id").agg(F.max_by("priority", "batch").alias("priority"))
+
+
 LEASE_OUT = "member string, event string, priority double"
 LEASE_STATE = "claimed double, priority double"
 

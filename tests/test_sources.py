@@ -71,3 +71,19 @@ def test_result_stream(spark, tmp_path):
     assert calls[:2] == [1, 1]
     assert streams.run_platforms({"a": lambda: 1 / 0, "b": lambda: None}) == {"a": "division by zero"}
     assert jobs.result_messages(spark.createDataFrame([(1, 2.0, 3.0, 1.0, 5.0, "m")], jobs.RESULT_SCHEMA)).first()["value"].startswith('{"procurement_id":1')
+
+
+def test_latest_jobs_stream_writes_a_shared_table(spark, tmp_path):
+    schema = "procurement_id long, priority double, seq long"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    write([(1, 1.0, 5), (2, 2.0, 1), (3, None, 1)])
+    write([(1, 9.0, 2), (2, 7.0, 3)])  # an earlier version of 1 that comes late
+    streams.latest_jobs_stream(read(), ["seq"], path, checkpoint).awaitTermination()
+    write([(3, 4.0, 2), (4, 6.0, 1)])
+    streams.latest_jobs_stream(read(), ["seq"], path, checkpoint).awaitTermination()
+    out = streams.latest_jobs_table(spark, path)
+    assert sorted(map(tuple, out.collect())) == [(1, 1.0), (2, 7.0), (3, 4.0), (4, 6.0)]
+    assert all(f.startswith("file:") and path in f for f in spark.read.parquet(path).inputFiles())
+    assert spark.read.parquet(path).where("batch = 2").count() == 2  # only what the batch changed
