@@ -21,13 +21,23 @@ class Node:
         self.tag, self.attrs, self.parent, self.children, self.text = tag, attrs, parent, [], []
 
     def walk(self):
-        for child in self.children:
+        """The descendants in page order; pages may nest deeper than Python recurses."""
+        todo = self.children[::-1]
+        while todo:
+            child = todo.pop()
             if isinstance(child, Node):
                 yield child
-                yield from child.walk()
+                todo += child.children[::-1]
 
     def inner_text(self) -> str:
-        return "".join(c.inner_text() if isinstance(c, Node) else c for c in self.children if not (isinstance(c, Node) and c.tag in ("script", "style"))).strip()
+        out, todo = [], self.children[::-1]
+        while todo:
+            child = todo.pop()
+            if not isinstance(child, Node):
+                out.append(child)
+            elif child.tag not in ("script", "style"):
+                todo += child.children[::-1]
+        return "".join(out).strip()
 
 
 class Tree(HTMLParser):
@@ -85,7 +95,8 @@ def _fits(node: Node, want) -> bool:
 
 
 def select(scope: Node, selector: str) -> list[Node]:
-    """Descendants that fit a selector: compounds of tag, .class, #id and [attribute] parted by spaces or commas."""
+    """Descendants that fit a selector: compounds of tag, .class, #id and [attribute] parted by spaces or commas. Its
+    ancestors may stand outside the scope."""
     import re
 
     found: list[Node] = []
@@ -95,7 +106,7 @@ def select(scope: Node, selector: str) -> list[Node]:
             if not chain or not _fits(node, chain[-1]):
                 continue
             up, left = node.parent, list(chain[:-1])
-            while left and up is not None and up is not scope.parent:
+            while left and up is not None:
                 if _fits(up, left[-1]):
                     left.pop()
                 up = up.parent

@@ -37,27 +37,33 @@ def _fold(frame):
     import pandas as pd
 
     text = lambda v: v if isinstance(v, str) and v else None
-    by_name, by_inn, inn_of, out = {}, {}, {}, []
+    by_name, by_inn, inn_of, out = {}, {}, {}, []  # inn_of has the customers in order of age
+
+    def hold(inn, customer) -> None:
+        holder = by_inn.setdefault(inn, customer)
+        if holder != customer:  # two customers with one number: it means the older one
+            by_inn[inn] = next(c for c in inn_of if c in (holder, customer))
+
     for r in frame.sort_values(["is_record", "arrival"]).itertuples():
         inn = text(r.inn)
         if not r.is_record:
             by_name[r.norm] = r.arrival
             inn_of[r.arrival] = inn
             if inn:
-                by_inn.setdefault(inn, r.arrival)
+                hold(inn, r.arrival)
             continue
         known, new_name, new_inn, filled = by_name.get(r.norm), None, None, None
         if known is not None:
             if inn and not inn_of[known]:
                 inn_of[known], filled = inn, inn
-                by_inn.setdefault(inn, known)
+                hold(inn, known)
         elif inn in by_inn:
             known = by_inn[inn]
         else:
             known = -1 - r.arrival  # a new customer, called by the record that made it
             by_name[r.norm], inn_of[known], new_name, new_inn = known, inn, r.name_text, inn
             if inn:
-                by_inn[inn] = known
+                hold(inn, known)
         out.append((r.arrival, known, new_name, new_inn, filled))
     return pd.DataFrame(out, columns=["record_id", "customer_id", "new_name", "new_inn", "backfilled_inn"])
 
@@ -66,8 +72,8 @@ def resolve_customers(records: DataFrame, customers: DataFrame, record_id: str =
     """record_id, customer_id, new_name, new_inn, backfilled_inn in the order of record ids.
 
     A record takes the customer of its normalised name (and gives it a missing tax number), else the one of its tax
-    number, else it makes a new customer; new ones have the id -1 - record id. What one record does later ones see;
-    so records that names and tax numbers connect are folded in order, each connected group by itself.
+    number, else it makes a new customer; new ones have the id -1 - record id. A number that several customers have means
+    the oldest: known ones by id, then new ones in order of arrival. What one record does later ones see; so records that names and tax numbers connect are folded in order, each connected group by itself.
     """
     from .graph import components
 

@@ -65,39 +65,50 @@ def latest_jobs_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 LEASE_OUT = "member string, event string, priority double"
-LEASE_STATE = "claimed double, priority double"
+LEASE_STATE = "expires long, priority double"
 
 
-def lease_events(stream: DataFrame, ttl_seconds: int, default_priority: float) -> DataFrame:
-    """member, event (claimed, released or requeued), priority of a stream of member, kind, priority.
+def lease_events(stream: DataFrame, ttl_seconds: int, default_priority: float, delay: str = "0 seconds") -> DataFrame:
+    """member, event (claimed, released or requeued), priority of a stream of member, kind, at timestamp, priority.
 
-    A claim sets a processing-time timer; a release ends it; a lease that times out is queued again with the priority
-    it was claimed with.
+    A claim sets a timer on the events' own time; a release ends it; a lease whose timer the watermark passes is queued
+    again with the priority that it was claimed with. (A timer on the clock would keep a bounded run from ending.)
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator, state: GroupState):
         import pandas as pd
 
-        out = []
+        out, rows = [], []
+        for frame in frames:
+            rows += zip(frame["at"], frame["kind"], frame["priority"], strict=True)
+        expires, lease = state.get if state.exists else (None, None)
         if state.hasTimedOut:
-            _, priority = state.get
+            out.append((key[0], "requeued", lease))
+            expires = None
+        for at, kind, priority in sorted(rows, key=lambda r: (r[0], r[1] != "release")):
+            ms = at.value // 1_000_000
+            if expires is not None and expires <= ms:  # timed out between two events of one batch
+                out.append((key[0], "requeued", lease))
+                expires = None
+            if kind == "claim":
+                expires, lease = ms + ttl_seconds * 1000, default_priority if pd.isna(priority) else float(priority)
+                out.append((key[0], "claimed", lease))
+            elif expires is not None:
+                out.append((key[0], "released", lease))
+                expires = None
+        if expires is not None and expires <= state.getCurrentWatermarkMs():
+            out.append((key[0], "requeued", lease))
+            expires = None
+        if expires is not None:
+            state.update((expires, lease))
+            state.setTimeoutTimestamp(expires)
+        elif state.exists:
             state.remove()
-            out.append((key[0], "requeued", priority))
-        for frame in frames:
-            for r in frame.itertuples():
-                if r.kind == "claim":
-                    priority = default_priority if pd.isna(r.priority) else float(r.priority)
-                    state.update((0.0, priority))
-                    state.setTimeoutDuration(ttl_seconds * 1000)
-                    out.append((key[0], "claimed", priority))
-                elif state.exists:
-                    _, priority = state.get
-                    state.remove()
-                    out.append((key[0], "released", priority))
         yield pd.DataFrame(out, columns=["member", "event", "priority"])
 
-    return stream.select("member", "kind", "priority").groupBy("member").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.select("member", "kind", "at", "priority").withWatermark("at", delay)
+    return rows.groupBy("member").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def result_stream(stream: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, retries: int = 3) -> StreamingQuery:

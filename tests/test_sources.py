@@ -1,6 +1,7 @@
 """Readers, generator and streams."""
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,12 +51,20 @@ def test_incremental_stream(spark, tmp_path):
 
 
 def test_lease_stream(spark, tmp_path):
-    events = spark.createDataFrame([("proc:1", "claim", 5.0), ("proc:2", "claim", None)], "member string, kind string, priority double")
-    events.write.parquet(str(tmp_path / "in"))
-    out = streams.lease_events(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), 600, 7.0)
-    q = out.writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("leases").collect())) == [("proc:1", "claimed", 5.0), ("proc:2", "claimed", 7.0)]
+    """A released lease ends, one that times out is queued again with its priority, and the run ends by itself."""
+    source, schema = str(tmp_path / "in"), "member string, kind string, at timestamp, priority double"
+    at = lambda seconds: datetime(2026, 8, 5, 12) + timedelta(seconds=seconds)
+    batches = [[("proc:1", "claim", at(0), 5.0), ("proc:2", "claim", at(1), None), ("proc:4", "claim", at(2), 1.0)], [("proc:2", "release", at(60), None), ("proc:4", "claim", at(500), 2.0)], [("proc:3", "claim", at(900), 3.0)]]
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+
+        def keep(df, batch_id, n=n):
+            df.write.mode("overwrite").parquet(f"{tmp_path}/out/run={n}/batch={batch_id}")
+
+        out = streams.lease_events(spark.readStream.schema(schema).parquet(source), 600, 7.0)
+        out.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("member", "event", "priority").collect()))
+    assert got == [("proc:1", "claimed", 5.0), ("proc:1", "requeued", 5.0), ("proc:2", "claimed", 7.0), ("proc:2", "released", 7.0), ("proc:3", "claimed", 3.0), ("proc:4", "claimed", 1.0), ("proc:4", "claimed", 2.0)]
 
 
 def test_result_stream(spark, tmp_path):
