@@ -1,4 +1,4 @@
-"""Helpers that the operators of this subpackage share: reading, the shared folder, ordered buckets."""
+"""Helpers that the operators of this subpackage share: reading, the shared folder, joins on hot keys, ordered buckets."""
 
 from __future__ import annotations
 
@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one stands in only in a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             current = tempfile.mkdtemp(prefix="bidloom-")
             spark.sparkContext.setCheckpointDir(current)
         folder = current
@@ -36,6 +38,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than one in so many rows are hot. There are fewer hot keys than this, so they can be broadcast.
+HOT_SHARE = 4096
+
+
+def counted_join(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> tuple[DataFrame, DataFrame]:
+    """``rows`` joined to ``facts`` in two parts: the rows of hot keys, and all others.
+
+    ``facts`` has one row a key and in ``size`` how many of the ``total`` rows have it, so that no key is hot unseen. Facts
+    of hot keys are broadcast and their rows stay where they are; only keys without many rows are dealt out.
+    """
+    limit = total // HOT_SHARE + 1
+    heavy = F.broadcast(facts.where(F.col(size) > limit))
+    hot = rows.join(heavy, keys)
+    rest = rows.join(F.broadcast(facts.where(F.col(size) > limit).select(*keys)), keys, "left_anti")
+    return hot, rest.join(facts.where(F.col(size) <= limit), keys, how)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once inside an expression, so that lambdas in ``body`` don't evaluate it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -3,48 +3,55 @@
 ``fingerprints`` gives 64-bit SimHashes of word shingles. Pairs of fingerprints that differ in at most ``radius`` bits
 are links. They are found exactly:
 
-* The bits are cut into ``blocks`` equal blocks. Fingerprints within ``radius`` are within radius // blocks in one block
-  at least. A vantage-point tree over each block's values partitions the fingerprints by Hamming distance to vantage
-  points. (Over all 64 bits nearly all distances lie near 32, so a tree would send most points to both sides.)
+* The bits are cut into ``blocks`` equal blocks. Fingerprints within ``radius`` are within radius // blocks bits in one
+  block at least. A vantage-point tree over each block's values partitions the fingerprints by Hamming distance to
+  vantage points. (Over all 64 bits nearly all distances lie near 32, so a tree would send most points to both sides.)
 * At each node a point goes to the inner side if its distance is at most the node's radius, else to the outer side. By
   the triangle inequality only inner points whose distance exceeds the node's radius less the block radius can have
   partners outside; these, and no others, go to the outer side as well: the boundary-overlapping shards.
-* The trees' vantage points and radii come from a bounded sample of fingerprints (``SAMPLE``); every fingerprint is
-  routed, so the sample decides only how even the shards are, never the result.
+* The trees that deal fingerprints to shards are built from a bounded sample (SAMPLE); every fingerprint is routed, so
+  the sample decides only how even the shards are, never the result. In its task a shard goes on as a tree over all its
+  points, down to leaves whose pairs are compared. Only a node that no vantage point can split is compared whole, by
+  canopies that the triangle inequality bounds.
 * A shard over SHARD_ROWS is cut into chunks, and each pair of chunks becomes a task's tile.
 
-A shard returns a spanning star of each of its connected groups instead of all pairs, and the stars are merged into
-components by alternating large-star and small-star rounds, with a table in the shared folder after each round.
+A shard returns links that connect what its pairs connect instead of all pairs, and they are merged into components by
+alternating large-star and small-star rounds, with a table in the shared folder after each round.
 
 ``drop_near_duplicates`` asks for a Jaccard, which 64 bits tell too coarsely. It takes eight SimHashes of each text's set
-of shingles (512 bits). Texts that agree in one of 40 bands of 12 bits, dealt by vantage-point trees over each band's
-values, and differ in at most 32 of the first 128 bits are candidates; all pairs of a candidate component are then
-compared by their shingles themselves, and only pairs that reach the Jaccard are links.
+of shingles (512 bits). Trees over 25 blocks of 20 bits find the texts that differ in at most one bit of a block; those
+that differ in at most 32 of the first 128 bits are candidates. All pairs of a candidate component are then compared by
+their shingles themselves, and only pairs that reach the Jaccard are links.
 
 Null texts count as empty. Texts without words have fingerprint zero and are linked like any others. Texts with fewer
 words than a shingle have one shingle. Rows that repeat an id are rows of their own. Null ids never are a component's
-smallest id; a component without any id has a null component_id. Empty tables give empty results.
+smallest id; a component without any id has a null component_id. Empty tables give empty results. Other columns are
+ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-SAMPLE = 65_536
-LEAF_ROWS = 1_000
-SHARD_ROWS = 6_000
-MOST_DEPTH = 24
-#: Near copies by Jaccard: SimHashes of a sketch, bands of each, bits of a band; most differing bits of a candidate's
-#: first 128; rows and characters of a chunk whose pairs are verified in a task.
+from .common import counted_join, cut
+
+#: Most rows of the sample that the shards' trees are built from, and one in how many rows it takes at most; rows that a
+#: shard should have; rows of a shard's leaf; rows over which a shard is cut into tiles; depth of a tree.
+SAMPLE, SAMPLE_SHARE = 65_536, 16
+SHARD_TARGET = 20_000
+LEAF_ROWS = 256
+SHARD_ROWS = 400_000
+MOST_DEPTH = 32
+STRIPE = 256
+#: Near copies by Jaccard: 64-bit words of a sketch, bits and number of its blocks, the radius in a block; most differing
+#: bits of a candidate's first 128; rows and characters of a chunk whose pairs are verified in a task.
 SKETCH_WORDS = 8
-WORD_BANDS = 5
-BAND_BITS = 12
+BLOCK_BITS = 20
+SKETCH_BLOCKS = 64 * SKETCH_WORDS // BLOCK_BITS
+BLOCK_RADIUS = 1
 CANDIDATE_BITS = 32
 VERIFY_ROWS = 256
 VERIFY_CHARS = 4_000_000
@@ -95,23 +102,35 @@ def block_values(fps: np.ndarray, block: int, blocks: int) -> np.ndarray:
     return (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
 
 
-def build_tree(values: np.ndarray, leaf: int, depth: int = 0, seed: int = 1) -> tuple | None:
-    """(vantage, radius, inner, outer) nodes over a sample of block values; None is a leaf."""
+def vantage_point(values: np.ndarray, radius: int, rng) -> tuple[int, int] | None:
+    """(vantage, node radius) whose larger side, overlap included, is least; None if no side would be smaller by a tenth."""
+    some = values if len(values) <= 512 else values[rng.integers(0, len(values), 512)]
+    best, chosen = 0.9 * len(some), None
+    for vantage in some[rng.integers(0, len(some), 4)]:
+        distance = np.bitwise_count(some ^ vantage).astype(np.int64)
+        median = int(np.median(distance))
+        for r in (median - 1, median):
+            larger = max(int((distance <= r).sum()), int((distance > r - radius).sum()))
+            if r >= 0 and larger < best:
+                best, chosen = larger, (int(vantage), r)
+    return chosen
+
+
+def sides(values: np.ndarray, node: tuple[int, int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the inner side, and of the outer side with the inner points that may have partners there."""
+    distance = np.bitwise_count(values ^ values.dtype.type(node[0])).astype(np.int64)
+    return np.flatnonzero(distance <= node[1]), np.flatnonzero(distance > node[1] - radius)
+
+
+def build_tree(values: np.ndarray, leaf: int, radius: int, depth: int = 0, seed: int = 1) -> tuple | None:
+    """((vantage, radius), inner, outer) nodes over a sample of block values; None is a leaf."""
     if len(values) <= leaf or depth >= MOST_DEPTH:
         return None
-    rng = np.random.default_rng(seed)
-    best = None
-    for vantage in values[rng.integers(0, len(values), 4)]:  # of some vantage points, the one that halves best
-        distance = np.bitwise_count(values ^ vantage)
-        radius = int(np.median(distance))
-        for r in {max(radius - 1, 0), radius}:
-            inside = int((distance <= r).sum())
-            if 0 < inside < len(values) and (best is None or abs(2 * inside - len(values)) < best[0]):
-                best = (abs(2 * inside - len(values)), int(vantage), r)
-    if best is None:
+    node = vantage_point(values, radius, np.random.default_rng(seed))
+    if node is None:
         return None
-    inner = np.bitwise_count(values ^ np.uint64(best[1])) <= best[2]
-    return best[1], best[2], build_tree(values[inner], leaf, depth + 1, 2 * seed), build_tree(values[~inner], leaf, depth + 1, 2 * seed + 1)
+    inner, outer = sides(values, node, radius)
+    return node, build_tree(values[inner], leaf, radius, depth + 1, 2 * seed), build_tree(values[outer], leaf, radius, depth + 1, 2 * seed + 1)
 
 
 def route(values: np.ndarray, tree: tuple | None, radius: int) -> list[tuple[int, np.ndarray]]:
@@ -124,33 +143,24 @@ def route(values: np.ndarray, tree: tuple | None, radius: int) -> list[tuple[int
         if node is None:
             out.append((name, rows))
             continue
-        vantage, r, inner, outer = node
-        distance = np.bitwise_count(values[rows] ^ np.uint64(vantage)).astype(np.int64)
-        todo.append((inner, 2 * name, rows[distance <= r]))
-        todo.append((outer, 2 * name + 1, rows[distance > r - radius]))
+        inner, outer = sides(values[rows], node[0], radius)
+        todo += [(node[1], 2 * name, rows[inner]), (node[2], 2 * name + 1, rows[outer])]
     return out
 
 
-def _router(trees: list, radius: int):
-    blocks = len(trees)
-
-    def run(batches):
-        for batch in batches:
-            fps = np.asarray(batch.column(0), np.int64).view(np.uint64)
-            for block, tree in enumerate(trees):
-                for leaf, rows in route(block_values(fps, block, blocks), tree, radius // blocks):
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, leaf, np.int64)), pa.array(fps[rows].view(np.int64))], ["block", "leaf", "fp"])
-
-    return run
+def _distance(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
 
 
-def connect(n: int, near) -> np.ndarray:
-    """Each point's least connected point; near(at) tells which points of the stripe at ``at`` are near those from there on."""
+def compare_all(values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, accept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all pairs connect that are within ``radius`` in the block and ``accept`` in x and y."""
+    n = len(values)
     lab = np.arange(n)
-    for at in range(0, n, 256):  # a stripe of pairs at a time, whose links are merged at once
-        i, j = np.nonzero(near(at))
+    for at in range(0, n, STRIPE):  # a stripe of pairs at a time, whose links are merged at once
+        i, j = np.nonzero(np.bitwise_count(values[at : at + STRIPE, None] ^ values[None, at:]) <= radius)
         i, j = i[i < j] + at, j[i < j] + at
+        near = _distance(x, y, i, j) <= accept
+        i, j = i[near], j[near]
         while len(i):
             low = np.minimum(lab[i], lab[j])
             np.minimum.at(lab, lab[i], low)
@@ -159,77 +169,139 @@ def connect(n: int, near) -> np.ndarray:
                 lab = lab[lab]
             apart = lab[i] != lab[j]
             i, j = i[apart], j[apart]
-    return lab
+    moved = np.flatnonzero(lab != np.arange(n))
+    return lab[moved], moved
 
 
-def near_stars(points: np.ndarray, block: int, blocks: int, radius: int) -> np.ndarray:
-    """Links (smaller, larger) that connect just what all links of ``points`` within ``radius`` connect.
+def canopies(values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, accept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what pairs within ``accept`` connect, for points that lie too close for a tree.
 
-    With a block radius of zero only fingerprints of the same block value meet; each run of equal values is compared
-    at once.
+    Points within half of ``accept`` of a pivot are within it of each other, so the pivot links them all; only points at
+    up to ``accept`` and a half can be near one of them, and only those are compared. Then the canopy's points are done.
     """
-    points = np.unique(points)
-    label = np.arange(len(points))
-    exact = radius // blocks == 0
-    value = block_values(points, block, blocks) if exact else np.zeros(len(points), np.uint64)
-    order = np.argsort(value, kind="stable")
-    edges = np.flatnonzero(np.diff(value[order])) + 1
-    for own in np.split(order, edges):
-        if len(own) < 2:
-            continue
-        x = points[own]
-        lab = connect(len(own), lambda at, x=x: np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= radius)
-        label[own] = own[lab]
-    moved = label != np.arange(len(points))
-    a, b = points[label[moved]].view(np.int64), points[moved].view(np.int64)
-    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    half, left, a, b = accept // 2, np.arange(len(values)), [], []
+    while len(left) > 4 * LEAF_ROWS:
+        distance = _distance(x, y, left[:1], left).astype(np.int64)
+        star, shell = left[distance <= half], left[(distance > half) & (distance <= accept + half)]
+        a.append(np.full(len(star) - 1, left[0]))
+        b.append(star[1:])
+        for at in range(0, len(shell), STRIPE):
+            part = shell[at : at + STRIPE]
+            for k in range(0, len(star), 16 * STRIPE):
+                own = star[k : k + 16 * STRIPE]
+                near = _distance(x, y, part[:, None], own[None, :]) <= accept
+                hit = np.flatnonzero(near.any(axis=1))
+                a.append(own[near[hit].argmax(axis=1)])
+                b.append(part[hit])
+        left = left[distance > half]
+    i, j = compare_all(values[left], x[left], y[left], 64, accept)
+    return np.concatenate([*a, left[i]]), np.concatenate([*b, left[j]])
+
+
+def shard_links(nodes: np.ndarray, values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, accept: int) -> np.ndarray:
+    """Links (smaller, larger node) of a shard, by a vantage-point tree over all its points."""
+    rng, found = np.random.default_rng(len(nodes)), [np.empty((0, 2), np.int64)]
+    todo = [(np.arange(len(nodes)), 0)]
+    while todo:
+        rows, depth = todo.pop()
+        node = vantage_point(values[rows], radius, rng) if len(rows) > LEAF_ROWS and depth < MOST_DEPTH else None
+        if node is not None:
+            todo += [(rows[side], depth + 1) for side in sides(values[rows], node, radius)]
+        elif len(rows) > 1:
+            compare = canopies if len(rows) > 4 * LEAF_ROWS else compare_all
+            i, j = compare(values[rows], x[rows], y[rows], radius, accept)
+            found.append(np.stack([nodes[rows[i]], nodes[rows[j]]], axis=1))
+    links = np.concatenate(found)
+    return np.unique(np.sort(links, axis=1), axis=0)
+
+
+SHARD = "block int, leaf long, node long, value long, x long, y long"
+
+
+def _router(trees: list, radius: int, points):
+    """The shards' rows; points(batch) gives node, x, y and a function of the block that gives the values."""
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, x, y, value = points(batch)
+            for block, tree in enumerate(trees):
+                values = value(block)
+                for leaf, rows in route(values, tree, radius):
+                    n = len(rows)
+                    columns = (np.full(n, block, np.int32), np.full(n, leaf, np.int64), node[rows], values[rows].astype(np.int64), x[rows], y[rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "leaf", "node", "value", "x", "y"])
 
-def _linker(blocks: int, radius: int):
+    return run
+
+
+def _linker(radius: int, accept: int):
     def run(table: pa.Table) -> pa.Table:
-        fps = np.asarray(table.column("fp"), np.int64).view(np.uint64)
-        links = near_stars(fps, table.column("block")[0].as_py(), blocks, radius)
+        node, value, x, y = (np.asarray(table.column(c), np.int64) for c in ("node", "value", "x", "y"))
+        links = shard_links(node, value.view(np.uint64), x.view(np.uint64), y.view(np.uint64), radius, accept)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return run
 
 
-def _tiles(routed: DataFrame, key: str) -> DataFrame:
+def _tiles(routed: DataFrame) -> DataFrame:
     """The rows of each shard, those over SHARD_ROWS cut into chunks; i, j name the pair of chunks that meet."""
-    others = [c for c in routed.columns if c not in ("block", "leaf")]
     # The counts are as many as leaves, which the sample bounds.
     large = routed.groupBy("block", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
     large = large.select("block", "leaf", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
     split = routed.join(F.broadcast(large), ["block", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    split = split.withColumn("own", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # A chunk meets every chunk, itself included.
-    tiles = split.select("block", "leaf", *others, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return tiles.select("block", "leaf", *others, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tiles = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tiles.select("block", "leaf", "node", "value", "x", "y", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _points_of(column: str, fewest: int):
+    """A bounded sample for the shards' trees: at most SAMPLE rows and one in SAMPLE_SHARE; none of a small table."""
 
+    def sample(df: DataFrame) -> tuple[list, float]:
+        total = df.count()
+        if total <= fewest:
+            return [], 1.0
+        share = min(1 / SAMPLE_SHARE, SAMPLE / total)
+        some = df.where(F.pmod(F.xxhash64(column, F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).select(column).limit(2 * SAMPLE)
+        return [r[0] for r in some.collect()], share
 
-def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    return sample
+
+
+def tree_links(points: DataFrame, sample, blocks: int, radius: int, accept: int, batch_points, sample_values, name: str) -> DataFrame:
+    """a < b: links that connect what pairs connect that are within ``radius`` in a block and within ``accept``."""
+    rows, share = sample(points)
+    leaf = max(8, int(SHARD_TARGET * share))
+    trees = [build_tree(np.sort(sample_values(rows, b)), leaf, radius) if rows else None for b in range(blocks)]
+    routed = cut(points.mapInArrow(_router(trees, radius, batch_points), SHARD), name)
+    return _tiles(routed).groupBy("block", "leaf", "i", "j").applyInArrow(_linker(radius, accept), "a long, b long")
+
+
+def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 2) -> DataFrame:
     """a < b: links whose connected components are those of all pairs of ``distinct.fp`` within ``radius`` bits."""
-    total = distinct.count()
-    share = min(1.0, SAMPLE / max(total, 1))
-    sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("fp").limit(2 * SAMPLE)
-    sampled = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64)
-    sampled.sort()
-    leaf = max(4, int(LEAF_ROWS * share))
-    trees = [build_tree(block_values(sampled, b, blocks), leaf) for b in range(blocks)]
-    routed = cut(distinct.select("fp").mapInArrow(_router(trees, radius), "block int, leaf long, fp long"), "simhash-shards")
-    return _tiles(routed, "fp").groupBy("block", "leaf", "i", "j").applyInArrow(_linker(blocks, radius), "a long, b long")
+
+    def batch_points(batch):
+        fps = np.asarray(batch.column(0), np.int64).view(np.uint64)
+        return fps.view(np.int64), fps.view(np.int64), np.zeros(len(fps), np.int64), lambda b: block_values(fps, b, blocks)
+
+    values = lambda rows, b: block_values(np.array(rows, np.int64).view(np.uint64), b, blocks)
+    return tree_links(distinct.select("fp"), _points_of("fp", SHARD_TARGET), blocks, radius // blocks, radius, batch_points, values, "simhash-shards")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for every node of ``links``."""
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    state = None
-    for _ in range(most_rounds):
+    state, total = None, edges.count()
+    for _ in range(most_rounds if total else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour is linked to the smallest neighbour.
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # Small star: the smaller neighbours are linked to the smallest of them.
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        hot, rest = counted_join(both.where("b > a"), least, ["a"], "n", 2 * total, "inner")
+        large = hot.unionByName(rest).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        # Small star: the smaller neighbours are linked to the smallest of them. After the large star they are few.
         root = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(root, "b").select(F.col("m"), "a", "b")
         after = small.select(F.col("m").alias("a"), F.col("b")).unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
@@ -237,20 +309,26 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     else:
-        raise RuntimeError("components did not settle")
+        if total:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every row; component_id is the smallest id that links lead to."""
     printed = cut(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    distinct = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     member = components(near_links(distinct, radius, blocks))
-    grouped = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return printed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Fingerprints outside all components are their own roots; the others are named by their root's least id.
+    grouped = cut(distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "first_id", "n", "root"), "simhash-roots")
+    roots = grouped.select(F.coalesce("root", "fp").alias("r"), "first_id").groupBy("r").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k"))
+    sizes = distinct.agg(F.count("*"), F.sum("n")).first()
+    hot, rest = counted_join(grouped.select("fp", "n", F.coalesce("root", "fp").alias("r")), roots, ["r"], "k", sizes[0], "inner")
+    named = cut(hot.unionByName(rest).select("fp", "n", "component_id"), "simhash-named")
+    hot, rest = counted_join(printed, named, ["fp"], "n", sizes[1] or 0, "inner")
+    return hot.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- Near copies by Jaccard ----------------------------------------------------------------------------------------
@@ -288,58 +366,29 @@ def _sketcher(shingle: int):
     return run
 
 
-def band_values(words: np.ndarray, band: int) -> np.ndarray:
-    return (words[:, band // WORD_BANDS] >> np.uint64(BAND_BITS * (band % WORD_BANDS))) & np.uint64((1 << BAND_BITS) - 1)
+def sketch_values(sketches: np.ndarray, block: int) -> np.ndarray:
+    """The values of a block of BLOCK_BITS of sketches as rows of bytes."""
+    at = BLOCK_BITS * block
+    whole = np.zeros((len(sketches), 8), np.uint8)
+    part = sketches[:, at // 8 : at // 8 + 8]
+    whole[:, : part.shape[1]] = part
+    return (whole.view("<u8")[:, 0] >> np.uint64(at % 8)) & np.uint64((1 << BLOCK_BITS) - 1)
 
 
-def _words(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-
-
-def _band_router(trees: list):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes, words = np.asarray(batch.column(0), np.int64), _words(batch.column(1))
-            for band, tree in enumerate(trees):
-                values = band_values(words, band)
-                leaves = np.empty(len(nodes), np.int64)
-                for leaf, rows in route(values, tree, 0):
-                    leaves[rows] = leaf
-                columns = [np.full(len(nodes), band, np.int32), leaves, nodes, values.astype(np.int32), words[:, 0].view(np.int64), words[:, 1].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["block", "leaf", "node", "value", "x", "y"])
-
-    return run
-
+def candidate_links(sketches: DataFrame) -> DataFrame:
+    """a < b: links that connect what pairs of ``sketches`` (node, sketch) connect that are within BLOCK_RADIUS in a block
+    and within CANDIDATE_BITS in the first 128 bits."""
 
-def _candidate_stars(table: pa.Table) -> pa.Table:
-    nodes, values, x, y = (np.asarray(table.column(c)) for c in ("node", "value", "x", "y"))
-    order = np.lexsort((nodes, values))
-    nodes, values, x, y = nodes[order], values[order], x[order], y[order]
-    a, b = [], []
-    for own in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(values)) + 1):
-        if len(own) < 2:
-            continue
-        u, v = x[own].view(np.uint64), y[own].view(np.uint64)
-        lab = connect(len(own), lambda at, u=u, v=v: np.bitwise_count(u[at : at + 256, None] ^ u[None, at:]) + np.bitwise_count(v[at : at + 256, None] ^ v[None, at:]) <= CANDIDATE_BITS)
-        moved = lab != np.arange(len(own))
-        a.append(nodes[own[lab[moved]]])
-        b.append(nodes[own[moved]])
-    none = [np.empty(0, np.int64)]
-    return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+    def as_bytes(rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 8 * SKETCH_WORDS)
 
+    def batch_points(batch):
+        raw = as_bytes(batch.column(1).to_pylist())
+        first = np.ascontiguousarray(raw[:, :16]).view(np.int64)
+        return np.asarray(batch.column(0), np.int64), first[:, 0].copy(), first[:, 1].copy(), lambda b: sketch_values(raw, b)
 
-def candidate_links(sketches: DataFrame) -> DataFrame:
-    """a < b: links that connect what pairs of ``sketches`` connect that agree in a band and are close in 128 bits."""
-    total = sketches.count()
-    share = min(1.0, SAMPLE / 4 / max(total, 1))
-    sample = sketches.where(F.pmod(F.xxhash64("sketch", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("sketch").limit(SAMPLE // 2)
-    sampled = _words(sample.toArrow().column("sketch"))
-    leaf = max(4, int(LEAF_ROWS * share))
-    trees = [build_tree(np.sort(band_values(sampled, b)), leaf) for b in range(WORD_BANDS * SKETCH_WORDS)]
-    routed = cut(sketches.mapInArrow(_band_router(trees), "block int, leaf long, node long, value int, x long, y long"), "near-shards")
-    return _tiles(routed, "node").groupBy("block", "leaf", "i", "j").applyInArrow(_candidate_stars, "a long, b long")
+    values = lambda rows, b: sketch_values(as_bytes(rows), b)
+    return tree_links(sketches, _points_of("sketch", SHARD_TARGET), SKETCH_BLOCKS, BLOCK_RADIUS, CANDIDATE_BITS, batch_points, values, "near-shards")
 
 
 def _verifier(shingle: int, similarity: float):
@@ -381,10 +430,12 @@ def verified_links(texts: DataFrame, candidates: DataFrame, shingle: int, simila
     ``similarity`` or more. Large components are cut into chunks whose pairs are tiles; small ones share a task."""
     rows = texts.join(candidates, "node").withColumn("size", F.length("text"))
     rows = cut(rows, "near-candidates")
-    sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum("size") / VERIFY_CHARS)).cast("int").alias("parts"))
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum("size") / VERIFY_CHARS))
+    sizes = rows.groupBy("root").agg(parts.cast("int").alias("parts"), F.count("*").alias("n"))
     n, chars = rows.agg(F.count("*"), F.sum("size")).first()
     bundles = int(max(n / (8 * VERIFY_ROWS), (chars or 0) / (4 * VERIFY_CHARS))) + 1
-    split = rows.join(sizes, "root").withColumn("parts", F.greatest("parts", F.lit(1)))
+    hot, rest = counted_join(rows, sizes, ["root"], "n", n, "inner")
+    split = hot.unionByName(rest)
     split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     bundle = F.when(F.col("parts") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bundles)))
     tiles = split.select(bundle.alias("bundle"), "root", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -393,28 +444,31 @@ def verified_links(texts: DataFrame, candidates: DataFrame, shingle: int, simila
 
 
 def near_components(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """sha (of the text, null as empty), first_id, root for every different text; texts of one root hang together by
-    pairs whose sets of shingles have a Jaccard of ``similarity`` or more."""
+    """sha (of the text, null as empty), first_id, n (rows), root for every different text; texts of one root hang together
+    by pairs whose sets of shingles have a Jaccard of ``similarity`` or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("sha"), F.col(id_col).alias("id")).groupBy("sha").agg(F.min("id").alias("first_id"), F.first("text").alias("text"))
+    texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("sha"), F.col(id_col).alias("id")).groupBy("sha").agg(F.min("id").alias("first_id"), F.first("text").alias("text"), F.count("*").alias("n"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
     sketches = cut(texts.select("node", "text").mapInArrow(_sketcher(shingle), "node long, sketch binary"), "near-sketches")
     others = components(candidate_links(sketches))  # all but the roots themselves
     candidates = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
     links = verified_links(texts.select("node", "text"), candidates, shingle, similarity)
     member = components(links)
-    return texts.select("sha", "first_id", "node").join(member, "node", "left").select("sha", "first_id", F.coalesce("root", "node").alias("root"))
+    return texts.select("sha", "first_id", "n", "node").join(member, "node", "left").select("sha", "first_id", "n", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the least by id (rows without one last), then text hash.
 
     Texts are linked where their sets of shingles have a Jaccard of ``similarity`` or more. Candidates are found by
-    SimHash, and every link is verified by the texts themselves.
+    SimHash, and every link is verified by the texts themselves. Rows that repeat an id and a text count as one.
     """
     named = near_components(docs, shingle, similarity, id_col, text_col)
-    least = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "sha")).alias("least"))
-    stay = least.select(F.col("least.sha").alias("_sha"), F.col("least.first_id").alias("_first"))
+    order = F.struct(F.col("first_id").isNull(), "first_id", "sha")
+    least = named.groupBy("root").agg(F.min_by(F.struct("sha", "first_id", "n"), order).alias("least"))
+    stay = cut(least.select(F.col("least.sha").alias("_sha"), F.col("least.first_id").alias("_first"), F.col("least.n").alias("_n")), "near-stay")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    out = docs.withColumn("_sha", sha).join(stay, "_sha").where(F.col(id_col).eqNullSafe(F.col("_first")))
-    return out.dropDuplicates(["_sha"]).select(*docs.columns)
+    total = stay.agg(F.sum("_n")).first()[0] or 0
+    parts = counted_join(docs.withColumn("_sha", sha), stay, ["_sha"], "_n", total, "inner")
+    kept = [p.where(F.col(id_col).eqNullSafe(F.col("_first"))).dropDuplicates(["_sha"]).select(*docs.columns) for p in parts]
+    return kept[0].unionByName(kept[1])

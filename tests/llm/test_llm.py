@@ -231,10 +231,12 @@ def _print(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(3, 4), (8, 9), (3, 3)])
+@pytest.mark.parametrize(("radius", "blocks"), [(3, 2), (8, 3)])
 def test_simhash(docs, texts, none, radius, blocks, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
-    monkeypatch.setattr(simhash, "LEAF_ROWS", 8)
+    monkeypatch.setattr(simhash, "SHARD_TARGET", 20)
+    monkeypatch.setattr(simhash, "SAMPLE_SHARE", 1)
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 4)
     out = by_id(simhash.near_duplicates(docs, 3, radius, blocks))
     prints = [_print(t) for t in texts]
     root = list(range(len(texts)))
@@ -247,6 +249,44 @@ def test_simhash(docs, texts, none, radius, blocks, monkeypatch):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize(("radius", "accept", "bits"), [(1, 3, 32), (1, 32, 20), (2, 8, 21)])
+def test_trees_find_all_pairs(radius, accept, bits):
+    """Links of a shard's tree and of shards that a sample's tree deals connect what all pairs connect; points overlap."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    x[1000:2600] = x[rng.integers(0, 20, 1600)]  # near copies
+    for _ in range(3):
+        x[1000:2600] ^= np.uint64(1) << rng.integers(0, 64, 1600, dtype=np.uint64)
+    y, v, nodes = np.zeros(3000, np.uint64), x & np.uint64((1 << bits) - 1), np.arange(3000)
+
+    def labels(pairs):
+        root = list(range(3000))
+
+        def top(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for a, b in pairs:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        return [top(k) for k in range(3000)]
+
+    must = [(i, int(j)) for i in range(3000) for j in np.flatnonzero((np.bitwise_count(v[i] ^ v) <= radius) & (np.bitwise_count(x[i] ^ x) <= accept)) if i < j]
+    may = [(i, int(j)) for i in range(3000) for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= accept) if i < j]
+    found = simhash.shard_links(nodes, v, x, y, radius, accept).tolist()
+    assert labels([*may, *found]) == labels(may)
+    assert labels([*found, *must]) == labels(found)
+    tree = simhash.build_tree(v[::4], 50, radius)
+    dealt = simhash.route(v, tree, radius)
+    assert len(dealt) > 4 and 3000 < sum(len(r) for _, r in dealt)  # boundary points stand in two shards
+    parts = [p for _, r in dealt for p in simhash.shard_links(nodes[r], v[r], x[r], y[r], radius, accept).tolist()]
+    assert labels([*parts, *must]) == labels(parts)
+    i, j = simhash.canopies(v, x, y, radius, accept)
+    assert labels(zip(i.tolist(), j.tolist(), strict=True)) == labels(may)
+
+
 def _shared(rng, n, jaccard):
     """Two texts whose sets of ``n`` and about as many 5-word shingles have about that Jaccard: one run of words changed."""
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
@@ -264,9 +304,10 @@ def _jaccard(a, b):
 def _candidate(a, b):
     import xxhash
 
-    x, y = (simhash.sketch(simhash.shingle_set(t, 5), xxhash.xxh64_intdigest)[None, :] for t in (a, b))
-    banded = any(simhash.band_values(x, k)[0] == simhash.band_values(y, k)[0] for k in range(40))
-    return banded and int(np.bitwise_count(x ^ y)[0, :2].sum()) <= simhash.CANDIDATE_BITS
+    x, y = (simhash.sketch(simhash.shingle_set(t, 5), xxhash.xxh64_intdigest) for t in (a, b))
+    u, v = x.view(np.uint8)[None, :], y.view(np.uint8)[None, :]
+    met = any(int(np.bitwise_count(simhash.sketch_values(u, k) ^ simhash.sketch_values(v, k))[0]) <= simhash.BLOCK_RADIUS for k in range(simhash.SKETCH_BLOCKS))
+    return met and int(np.bitwise_count(x ^ y)[:2].sum()) <= simhash.CANDIDATE_BITS
 
 
 @pytest.mark.parametrize("n", [60, 300])
