@@ -7,7 +7,7 @@ holds no mergeable pair.
 
 Words of a batch that have about the same length are merged together, a tree in each row of an array; each step takes
 one merge in every word that still has one. Longer words use the same tree one by one. Worker processes remember the
-words and stretches between spaces that they have seen, up to CACHE_WORDS of either.
+words and stretches between spaces that they have seen, up to CACHE_WORDS of either or what one slice of rows holds.
 
 ``encode`` equals the tokenizers library on vocabularies with a word-end suffix, NFC and lower case; special tokens in
 a text keep their ids. ``decode`` is its decode without a decoder: tokens joined by one space. Null texts count as
@@ -235,9 +235,6 @@ class Bpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Remember ids, as text, and decoded text of stretches without white space."""
-        if len(self.ids) + len(chunks) > CACHE_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
         names = list(chunks)
         split = [self.split.findall(c) for c in names]
         unknown = list({w for words in split for w in words}.difference(self.words))
@@ -256,14 +253,15 @@ class Bpe:
 
     def coded(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """Each text's ids, as text, and what they decode to."""
-        if len(self.ids) > CACHE_WORDS * 3 // 4:
-            self.ids.clear()
-            self.decoded.clear()
         split: list[list[str | list[str]]] = []
         for text in texts:
             split.append([p if isinstance(p, int) else self._chunks(p) for p in self._parts(text)] if text else [])
         known = self.ids
         unknown = {c for parts in split for p in parts if not isinstance(p, int) for c in p if c not in known}
+        if len(known) + len(unknown) > CACHE_WORDS:  # the memory starts anew, with all that this slice needs
+            self.ids.clear()
+            self.decoded.clear()
+            unknown = {c for parts in split for p in parts if not isinstance(p, int) for c in p}
         if unknown:
             self.learn(unknown)
         ids, decoded, out = self.ids.__getitem__, self.decoded.__getitem__, []

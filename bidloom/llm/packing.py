@@ -71,9 +71,10 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
     """Fix the bins that dominate all others: patterns with how many bins of each, and the counts that remain.
 
     For the largest item w, with v the largest other item that fits beside it: nothing fits: {w} alone; w + v fills the
-    bin, or two others never fit beside w: {w, v}; the best pair of others is no longer than v: {w, v}. The best pair
-    {a, b} itself is fixed if it fills the bin and three others never fit. Else w is left over. Each rule holds for all
-    equal items at once as far as the counts go.
+    bin, or two others never fit beside w: {w, v}. Where three others never fit: {w, v} if no pair of others is longer
+    than v; {w, v, a}, with a the largest that fits beside both, if the shorter item of every fitting pair is at most a
+    (then v and a take the places of any pair's items). Else w is left over. Each rule holds for all equal items at once
+    as far as the counts go.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     sizes = sorted(left)
@@ -118,21 +119,32 @@ def _dominating(w: int, left: dict[int, int], sizes: list[int], capacity: int) -
     least = [s for s in others[:3] for _ in range(min(3, left[s] - (s == w)))][:3]
     if v == room or len(least) < 2 or sum(least[:2]) > room:
         return (w, v)
-    best = (0, 0, 0)
-    for a in others:  # the pair of others that fills most
-        if 2 * a > room or best[0] == room:
+    if len(least) > 2 and sum(least) <= room:
+        return None
+    if _best_pair(w, left, others, room) <= v:
+        return (w, v)
+    rest = others if left[v] - (v == w) > 1 else [s for s in others if s != v]
+    a = _largest(rest, room - v)
+    # The longest item that can be the shorter one of a fitting pair.
+    k = bisect_left(others, room // 2 + 1) - 1
+    if k >= 0 and 2 * others[k] <= room and left[others[k]] - (others[k] == w) < 2 and (k + 1 == len(others) or others[k] + others[k + 1] > room):
+        k -= 1
+    return (w, v, a) if a and (k < 0 or others[k] <= a) else None
+
+
+def _best_pair(w: int, left: dict[int, int], others: list[int], room: int) -> int:
+    """The length of the longest pair of others that fits."""
+    best = 0
+    for a in others:
+        if 2 * a > room or best == room:
             break
         b = _largest(others, room - a)
         if b == a and left[a] - (a == w) < 2:
             k = bisect_left(others, a)
             b = others[k - 1] if k else 0
-        if b and a + b > best[0]:
-            best = (a + b, a, b)
-    if best[0] <= v:
-        return (w, v)
-    if best[0] == room and (len(least) < 3 or sum(least) > room):
-        return (w, best[2], best[1])
-    return None
+        if b and a + b > best:
+            best = a + b
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -466,9 +466,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     named = near_components(docs, shingle, similarity, id_col, text_col)
     order = F.struct(F.col("first_id").isNull(), "first_id", "sha")
     least = named.groupBy("root").agg(F.min_by(F.struct("sha", "first_id", "n"), order).alias("least"))
-    stay = cut(least.select(F.col("least.sha").alias("_sha"), F.col("least.first_id").alias("_first"), F.col("least.n").alias("_n")), "near-stay")
+    stay = cut(least.select(F.col("least.sha").alias("__near_sha"), F.col("least.first_id").alias("__near_first"), F.col("least.n").alias("__near_n")), "near-stay")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    total = stay.agg(F.sum("_n")).first()[0] or 0
-    parts = counted_join(docs.withColumn("_sha", sha), stay, ["_sha"], "_n", total, "inner")
-    kept = [p.where(F.col(id_col).eqNullSafe(F.col("_first"))).dropDuplicates(["_sha"]).select(*docs.columns) for p in parts]
+    total = stay.agg(F.sum("__near_n")).first()[0] or 0
+    parts = counted_join(docs.withColumn("__near_sha", sha), stay, ["__near_sha"], "__near_n", total, "inner")
+    kept = [p.where(F.col(id_col).eqNullSafe(F.col("__near_first"))).dropDuplicates(["__near_sha"]).select(*docs.columns) for p in parts]
     return kept[0].unionByName(kept[1])

@@ -69,6 +69,17 @@ def test_bpe_equals_library(docs, texts, none):
     assert bpe.round_trip(none, WORD).count() == 0
 
 
+def test_bpe_memory_starts_anew(monkeypatch):
+    """Stretches that were known before the memory is cleared are still coded."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 100)
+    own, library, rng = bpe.Bpe(WORD), Tokenizer.from_file(WORD), random.Random(9)
+    for _ in range(20):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randint(0, 60)) for _ in range(40)) for _ in range(5)]
+        assert own.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_segment_tree():
     rng = random.Random(1)
     values = [rng.randint(0, 99) for _ in range(37)]
@@ -166,11 +177,15 @@ def _fewest(sizes, capacity):
 
 def test_dominance_keeps_the_optimum():
     rng = random.Random(2)
-    for _ in range(150):
-        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+    cases = [[10, 8, 8, 4, 4, 3, 3], [12, 8, 2, 5, 5, 5, 5]]
+    cases += [[rng.randint(rng.choice((1, 3, 4)), 20) for _ in range(rng.randint(1, 9))] for _ in range(1500)]
+    cases += [[rng.randint(2, 12) for _ in range(8)] for _ in range(500)]
+    reduced = 0
+    for sizes in cases:
         counts = {s: sizes.count(s) for s in sizes}
         fixed, over = packing.reduce_dominated(counts, 20)
         used = sum(n for _, n in fixed)
+        reduced += sum(n for p, n in fixed if len(p) == 3)
         assert all(sum(p) <= 20 for p, _ in fixed)
         rest = [s for s, n in over.items() for _ in range(n)]
         assert used + _fewest(rest, 20) == _fewest(sizes, 20), sizes
@@ -181,6 +196,7 @@ def test_dominance_keeps_the_optimum():
             for s in p:
                 placed[s] = placed.get(s, 0) + n
         assert placed == counts
+    assert reduced > 100
 
 
 def test_exact_dedup(docs, texts, none):
@@ -200,19 +216,43 @@ def test_directory_doubling(spark):
     keys = spark.createDataFrame([(k,) for k in range(40)] + [((1 << 62) + k * (1 << 50),) for k in range(60)] + [(-1 - k,) for k in range(30)], "key long")
     directory = exact_dedup.build_directory(keys, 10)
     assert sum(2.0**-depth for depth, _ in directory) == 1.0  # the buckets' ranges part all keys
-    dealt = keys.select("key", exact_dedup.bucket_column(F.col("key"), directory).alias("b"))
-    sizes = {r["b"]: r["n"] for r in dealt.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    deepest = sum(1 for d, _ in directory if d == exact_dedup.MOST_BITS)
-    assert all(n <= 10 for n in sizes.values()) or deepest
-    order = [r["b"] for r in sorted(dealt.collect(), key=lambda r: r["key"] % (1 << 64))]
-    assert order == sorted(order)
+    values = np.array([r["key"] for r in keys.collect()])
+    bucket = exact_dedup.buckets_of(values, exact_dedup.bucket_starts(directory))
+    assert len(directory) > 8 and all(n <= 10 or directory[b][0] == exact_dedup.MOST_BITS for b, n in enumerate(np.bincount(bucket)))
+    order = bucket[np.argsort(values.view(np.uint64))]
+    assert (np.diff(order) >= 0).all()
+
+
+def test_owners_chain_collisions_and_compare_bytes(spark, docs, texts, monkeypatch):
+    """With three keys for all texts the owners' comparison alone parts them; without the index nothing is a copy."""
+    monkeypatch.setattr(exact_dedup, "text_key", lambda text: F.pmod(F.xxhash64(text), F.lit(3)))
+    out = by_id(exact_dedup.duplicate_groups(docs, entries=2))
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t or "", []).append(i * 3)
+    for i, t in enumerate(texts):
+        assert (out[i * 3]["keep_id"], out[i * 3]["group_size"]) == (max(groups[t or ""]), len(groups[t or ""]))
+    rows, keyed = exact_dedup._keyed(docs, "doc_id", "text")
+    index = exact_dedup.build_index(rows, keyed, 2)
+    assert index.count() == len(groups) and index.agg(F.max("slot")).first()[0] > 2
+    parts = exact_dedup.look_up(keyed, index.limit(0), len(texts))
+    assert all(p.where("group_size is not null").count() == 0 for p in parts)
+
+
+def test_hot_copies_stay_whole(spark):
+    """A third of all rows is one text; it is combined before it is dealt out and its rows aren't."""
+    rows = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text", "'x' as _size").drop("_size")
+    out = exact_dedup.duplicate_groups(rows)
+    assert [tuple(r) for r in out.groupBy("group_size").count().orderBy("group_size").collect()] == [(1, 6000), (3000, 3000)]
+    assert [r["doc_id"] for r in out.where("kept and group_size > 1").collect()] == [8997]
+    assert exact_dedup.drop_exact_duplicates(rows).count() == 6001
 
 
 def test_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (None, "b"), (None, None), (2, "")], "doc_id long, text string")
     out = sorted(map(tuple, exact_dedup.duplicate_groups(rows).select("doc_id", "keep_id", "group_size", "kept").collect()), key=repr)
     assert out == sorted([(None, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (None, None, 1, True), (None, 2, 2, False), (2, 2, 2, True)], key=repr)
-    assert exact_dedup.drop_exact_duplicates(rows).count() == 4
+    assert exact_dedup.drop_exact_duplicates(rows).count() == 3
     assert simhash.near_duplicates(rows).count() == 6
     assert spotsigs.fingerprint_documents(rows).count() == 6
     assert licenses.scan_licenses(rows).count() == 6
