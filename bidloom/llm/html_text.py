@@ -1,17 +1,23 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Scripts, styles, markup and everything inside menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments (by tag, role, or class and id words) is boilerplate at once.
-The first pass classes the other blocks by length, link density and stop-word density as good, near-good, short or
-bad. In the second pass the short and near-good blocks, which say too little alone, take the label of their nearest
-decided neighbours: good on both sides is good, bad on both sides is bad; between good and bad a near-good block is
-good and a short one follows the nearer (the page's ends count as bad). Headings that a good block follows closely are
-good. An article or main element is a weight: inside it half the stop-word density is enough, too low a density leaves a
-block to its neighbours, and the element's border counts as good inside and as bad outside. Text and spaces are never dropped or cut within a good block: references are decoded, white space becomes one
-space, blocks are joined by one line feed.
+A page is cut into blocks at block-level tags, and each piece of text is judged by the elements that are open where it
+stands. Scripts, styles, markup and everything inside menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments (by tag, role, or class and id words) is boilerplate at once; words that main text uses as well (related,
+search, social and the like) are only a hint. The first pass classes the other blocks by length, link density and
+stop-word density as good, near-good, short, dull or bad; a hinted block is good or bad. In the second pass the short and
+near-good blocks, which say too little alone, take the label of their nearest decided neighbours: good on both sides is
+good, bad on both sides is bad; between good and bad a near-good block is good and a short one follows the nearer (the
+page's ends count as bad). Headings that a good block follows closely are good. Dull blocks, long ones without stop words,
+are bad.
+
+An article or main element is a weight: inside it half the stop-word density is enough, a dull block counts as short, and
+the element's border counts as good inside and as bad outside. Where all this leaves nothing of a page, its near-good
+blocks are the main text, or else those that no rule calls bad. Text and spaces are never dropped or cut within a good
+block: references are decoded, white space becomes one space, blocks are joined by one line feed.
 
 Stop words are function words of four languages, unless given; ``frequent_words`` counts a corpus's own in Spark. Null html
-counts as empty and gives an empty text. Rows may repeat; null ids and urls pass through. Other columns are ignored.
+counts as empty and gives an empty text. Rows may repeat; null ids and urls pass through. Other columns are ignored. A
+page takes time in proportion to its length, however its tags are nested or left open.
 """
 
 from __future__ import annotations
@@ -33,12 +39,13 @@ RAW_TAGS = ("noscript", "template", "svg", "math", "iframe", "object", "canvas",
 BAD_TAGS = frozenset("nav footer aside form header menu dialog button select fieldset label".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related reply replies respond search share sharing shoutbox sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal navbar navigation newsletter notice notices pagination popup promo promoted replies respond shoutbox sidebar sidebars signup sponsor sponsored subscribe toolbar widget".split()
 )
+HINT_WORDS = frozenset("form header nav pager recommended related reply search share sharing social".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WEIGHT = 0.5
-CLOSED_BY_BLOCK = frozenset(("p",))
+LIST_TAGS = frozenset("li td th tr dd dt option".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
@@ -60,46 +67,119 @@ class Block:
     heading: bool
     boilerplate: bool
     content: bool
+    hint: bool = False
 
 
-def _is_bad(tag: str, attributes: str) -> bool:
+GOOD, HINT, BAD = 0, 1, 2
+
+
+def _judged(tag: str, attributes: str) -> int:
+    """What an element's tag and attributes say about the text in it."""
     if tag in BAD_TAGS:
-        return True
+        return BAD
     if tag in ("body", "html", "article", "main") or not attributes.strip():
-        return False
+        return GOOD
+    found = GOOD
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in BAD_ROLES:
-            return True
+            return BAD
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and not BAD_WORDS.isdisjoint(p.lower() for p in _PARTS.findall(value)):
-            return True
-    return False
+            return BAD
+        if name in ("class", "id"):
+            words = {p.lower() for p in _PARTS.findall(value)}
+            if not BAD_WORDS.isdisjoint(words):
+                return BAD
+            if not HINT_WORDS.isdisjoint(words):
+                found = HINT
+    return found
+
+
+class _Open:
+    """The open elements. Each takes and returns its place in constant time on the whole."""
+
+    def __init__(self):
+        self.stack: list[list] = []  # tag, judgement, whether content
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block elements
+        self.judged = [0, 0, 0]
+        self.content = 0
+
+    def push(self, tag: str, judged: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        self.stack.append([tag, judged, tag in CONTENT_TAGS])
+        self.judged[judged] += 1
+        self.content += tag in CONTENT_TAGS
+
+    def _release(self, entry: list) -> None:
+        self.judged[entry[1]] -= 1
+        self.content -= entry[2]
+
+    def _pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            entry = self.stack.pop()
+            if entry[0]:
+                self.places[entry[0]].pop()
+                self._release(entry)
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def open_block(self, tag: str) -> None:
+        """A block ends an open paragraph, and a list item or cell the one before it."""
+        if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self._pop_to(self.blocks[-1])
+        if tag in LIST_TAGS and self.blocks and self.stack[self.blocks[-1]][0] == tag:
+            self._pop_to(self.blocks[-1])
+
+    def close(self, tag: str) -> None:
+        """An end tag closes all up to its element; one of an inline element that blocks lie over ends that one alone."""
+        if not (places := self.places.get(tag)):
+            return
+        if tag in BLOCK_TAGS or not self.blocks or places[-1] > self.blocks[-1]:
+            self._pop_to(places[-1])
+        else:
+            entry = self.stack[places.pop()]
+            self._release(entry)
+            entry[0] = ""
 
 
 def blocks(page: str) -> list[Block]:
     """A page's blocks in order; unclosed and stray tags are taken as browsers take them, as far as blocks go."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether boilerplate, whether content
+    opened = _Open()
     pieces: list[str] = []
-    linked, in_link, heading, at = 0, False, False, 0
+    refused: list[str] = []  # pieces of the block that are boilerplate
+    linked, heading, hint, content, at = 0, False, False, False, 0
+
+    def text_of(parts: list[str]) -> str:
+        return _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
 
     def flush() -> None:
-        nonlocal linked, heading
-        if pieces:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(pieces))).strip()
-            if text:
-                out.append(Block(text, linked, heading, any(s[1] for s in stack), any(s[2] for s in stack)))
-            pieces.clear()
-        linked = 0
+        nonlocal linked, hint, content
+        if text := text_of(pieces):
+            out.append(Block(text, linked, heading, False, content, hint))
+        elif text := text_of(refused):
+            out.append(Block(text, 0, heading, True, content))
+        pieces.clear()
+        refused.clear()
+        linked, hint, content = 0, False, False
+
+    def take(piece: str) -> None:
+        nonlocal linked, hint, content
+        content = content or opened.content > 0
+        if opened.judged[BAD]:
+            refused.append(piece)
+            return
+        pieces.append(piece)
+        if not piece.isspace():
+            hint = hint or opened.judged[HINT] > 0
+            linked += len(piece) if opened.places.get("a") else 0
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
-            piece = page[at : token.start()]
-            pieces.append(piece)
-            if in_link:
-                linked += len(piece)
+            take(page[at : token.start()])
         at = token.end()
         tag = (token[4] or "").lower()
         if not tag:
@@ -109,23 +189,18 @@ def blocks(page: str) -> list[Block]:
             flush()
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = not closing
-        elif tag == "a":
-            in_link = not closing
         if tag in VOID_TAGS or not closing and token[5].endswith("/"):
             continue
-        if not closing:
-            if tag in BLOCK_TAGS:
-                while stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                    stack.pop()
-                if tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-                    if stack and stack[-1][0] == tag:
-                        stack.pop()
-            stack.append((tag, _is_bad(tag, token[5]), tag in CONTENT_TAGS))
-        elif any(s[0] == tag for s in stack):
-            while stack.pop()[0] != tag:
-                pass
+        if closing:
+            opened.close(tag)
+            continue
+        if tag in BLOCK_TAGS:
+            opened.open_block(tag)
+        elif tag == "a":
+            opened.close("a")
+        opened.push(tag, _judged(tag, token[5]))
     if at < len(page):
-        pieces.append(page[at:])
+        take(page[at:])
     flush()
     return out
 
@@ -140,6 +215,8 @@ def classify(found: list[Block], stop_words: frozenset[str], short: int = 70, lo
         weight = CONTENT_WEIGHT if b.content else 1.0
         if b.boilerplate or density > link_density:
             kind = "bad"
+        elif b.hint:
+            kind = "good" if len(b.text) > long and stop >= high else "bad"
         elif len(b.text) < short:
             kind = "short"
         elif stop >= high * weight:
@@ -147,14 +224,14 @@ def classify(found: list[Block], stop_words: frozenset[str], short: int = 70, lo
         elif stop >= low * weight:
             kind = "near"
         else:
-            kind = "short" if b.content else "bad"
+            kind = "short" if b.content else "dull"
         kinds.append(kind)
     # Second pass: kind and distance of the nearest decided block on either side.
     n = len(kinds)
     before, after = _nearest(found, kinds, range(n)), _nearest(found, kinds, range(n - 1, -1, -1))
     out = []
     for i, (b, kind) in enumerate(zip(found, kinds, strict=True)):
-        if kind in ("good", "bad"):
+        if kind in ("good", "bad", "dull"):
             out.append(kind == "good")
             continue
         (a, da), (c, dc) = before[i], after[i]
@@ -166,8 +243,9 @@ def classify(found: list[Block], stop_words: frozenset[str], short: int = 70, lo
             out.append(c == "good")
         else:
             out.append((a if da <= dc else c) == "good")
-    if not any(out):  # a page of near-good blocks alone
-        out = [k == "near" for k in kinds]
+    for left in (("near",), ("short", "dull")):  # a page without a good block
+        if not any(out):
+            out = [k in left for k in kinds]
     return out
 
 
@@ -181,8 +259,9 @@ def _nearest(found: list[Block], kinds: list[str], order: range) -> list[tuple[s
             last, at, content = "good" if b.content else "bad", i - order.step, b.content
         out[i] = (last, abs(i - at))
         # Boilerplate inside an article says nothing about the text around it.
-        if kinds[i] in ("good", "bad") and not (b.content and b.boilerplate):
-            last, at = kinds[i], i
+        aside = b.content and (b.boilerplate or b.hint and kinds[i] == "bad")
+        if kinds[i] in ("good", "bad", "dull") and not aside:
+            last, at = "good" if kinds[i] == "good" else "bad", i
     return out
 
 

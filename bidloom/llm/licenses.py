@@ -1,9 +1,11 @@
 """License scans by diagonal voting.
 
 Every rolling k-gram of a document's words is hashed and joined to the places of the license templates' k-grams. A
-match votes for its diagonal: document place less template place. Votes are summed by document, template and diagonal;
-neighbouring diagonals (inserted or dropped words) merge to one span; and spans with enough votes are verified by the
-edit distance between the span's words and the template's.
+match votes for its diagonal: document place less template place. Votes are summed by document, template and diagonal,
+and those of neighbouring diagonals (inserted or dropped words) are merged. Where they are enough, every window that
+begins on a diagonal and ends on it or a neighbouring one is verified by the edit distance between its words and the
+template's; the best window of a neighbourhood is a span, however many diagonals follow one another, and at one place
+the likest template counts.
 
 Besides, the exact places of fixed phrases are found: those labels always stay, and the templates' labels join them.
 
@@ -83,22 +85,31 @@ def _templates(spark, templates, k: int) -> DataFrame:
 
 
 def template_spans(candidates: DataFrame, templates: DataFrame, k: int, gap: int = 3, least_votes: float = 0.4, least_likeness: float = 0.75) -> DataFrame:
-    """key, label, start, length, likeness of verified spans. ``candidates``: key (once each) and words."""
+    """key, label, start, length, likeness of verified spans. ``candidates``: key (once each) and words.
+
+    Where templates are alike, the likest one at a place counts: of spans that begin within fewer words than the shortest
+    template has, only the best stay.
+    """
+    reach = templates.agg(F.min(F.size("template_words"))).first()[0] or 1
     places = F.broadcast(templates.select("template", F.posexplode("grams").alias("at", "gram")))  # as many as template words
     rolled = candidates.select("key", F.posexplode(k_grams(F.col("words"), k)).alias("pos", "gram"))
-    votes = rolled.join(places, "gram").groupBy("key", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    by_diagonal = W.partitionBy("key", "template").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > gap, F.lit(True))
-    merged = votes.withColumn("run", F.sum(far.cast("int")).over(by_diagonal)).groupBy("key", "template", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), (F.max("high") + k).alias("high"))
+    votes = rolled.join(places, "gram").groupBy("key", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    around = W.partitionBy("key", "template").orderBy("diagonal").rangeBetween(-gap, gap)
+    merged = votes.select("key", "template", "diagonal", F.sum("votes").over(around).alias("votes"), F.collect_list("diagonal").over(around).alias("ends"))
     known = F.broadcast(templates.select("template", "label", "template_words", F.size("grams").alias("n_grams")))
     enough = merged.join(known, "template").where(F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("n_grams") * least_votes)))
-    span = F.slice("words", F.col("low") + 1, F.col("high") - F.col("low"))
-    text, wanted = F.array_join(span, " "), F.array_join("template_words", " ")
-    likeness = 1 - F.levenshtein(text, wanted) / F.greatest(F.length(text), F.length(wanted))
-    # A merged span of very different length can't be like the template: no edit distance of long texts.
-    near = F.col("high") - F.col("low") <= 2 * F.size("template_words")
-    scored = enough.where(near).join(candidates, "key").withColumn("likeness", likeness)
-    return scored.where(F.col("likeness") >= least_likeness).select("key", "label", F.col("low").alias("start"), (F.col("high") - F.col("low")).alias("length"), "likeness")
+    # A window ends where the template would end on the same or a neighbouring diagonal.
+    windows = enough.withColumn("end", F.explode("ends")).join(candidates, "key")
+    windows = windows.withColumn("start", F.greatest("diagonal", F.lit(0))).withColumn("length", F.least(F.col("end") + F.size("template_words"), F.size("words")) - F.col("start"))
+    text, wanted = F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " "), F.array_join("template_words", " ")
+    scored = windows.where("length > 0").select("key", "template", "label", "diagonal", "start", "length", (1 - F.levenshtein(text, wanted) / F.greatest(F.length(text), F.length(wanted))).alias("likeness"))
+    scored = scored.where(F.col("likeness") >= least_likeness)
+    best = scored.groupBy("key", "template", "label", "diagonal").agg(F.max(F.struct("likeness", (-F.col("length")).alias("l"), (-F.col("start")).alias("s"))).alias("w"))
+    top = F.max("w").over(W.partitionBy("key", "template").orderBy("diagonal").rangeBetween(-gap, gap))
+    spans = best.withColumn("top", top).where("w = top").withColumn("start", -F.col("w.s"))
+    likest = F.max("w.likeness").over(W.partitionBy("key").orderBy("start").rangeBetween(1 - reach, reach - 1))
+    spans = spans.withColumn("likest", likest).where("w.likeness = likest")
+    return spans.select("key", "label", (-F.col("w.s")).alias("start"), (-F.col("w.l")).alias("length"), F.col("w.likeness").alias("likeness")).distinct()
 
 
 def scan_licenses(docs: DataFrame, k: int = 3, templates=TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

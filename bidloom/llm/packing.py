@@ -30,16 +30,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int):
-    tail = np.array([end_id], "<u2").tobytes()
-
     def run(batches):
         encoder = byte_bpe(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows: list[tuple] = []
-                for doc, coded in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(coded + tail, "<u2").astype("<u4")
+                for doc, coded in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end_id), strict=True):
+                    ids = np.frombuffer(coded, encoder.type).astype("<u4")
                     n = len(ids)
                     ends = range((n - 1) % capacity + 1, n + 1, capacity)
                     start = 0

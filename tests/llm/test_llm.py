@@ -122,6 +122,20 @@ def test_token_id_files(docs, texts, none):
     assert token_ids.token_id_round_trip(none, BYTE, 2).count() == 0
 
 
+def test_token_id_files_of_repeated_ids(spark, tmp_path):
+    """Repeated ids and nulls: each row has its place, and the places leave no gap."""
+    rows = spark.createDataFrame([(None, "n"), (7, "a b"), (7, "c"), (7, "a b"), (1, None), (9, "z " * 9000)] + [(7, f"t {i}") for i in range(300)], "doc_id long, text string")
+    out = sorted((tuple(r) for r in token_ids.token_id_round_trip(rows, BYTE, 2).collect()), key=lambda r: r[1])
+    at = 0
+    for doc, start, n, _ in out:
+        assert start == at
+        at += n
+    assert [r[0] for r in out] == [None, 1, *[7] * 303, 9]
+    wide = token_ids.ByteBpe(BYTE)
+    wide.type = np.dtype("<u4")
+    assert np.frombuffer(wide.encode(["a b"], 70_000)[0], "<u4").tolist() == [*np.frombuffer(token_ids.byte_bpe(BYTE).encode(["a b"])[0], "<u2").tolist(), 70_000]
+
+
 def test_token_blocks_decode_alone(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     token_ids.write_token_ids(docs.where("length(text) > 9000"), BYTE, path)
@@ -488,6 +502,16 @@ def test_licenses(docs, texts, none, spark):
     assert (out[3]["labels"], out[3]["score"]) == ("mit", 1.0)
     assert out[4]["labels"] == "apache-2.0" and 0.75 <= out[4]["score"] < 1
     assert out[5]["labels"] == out[6]["labels"] == ""
+    # Templates that overlap, repeat, have words put in or left out, or stand at the text's ends.
+    own = "Licensed under the MIT License"
+    cases = ["Licensed under the Licensed under the MIT License", "Licensed under the " * 3 + "MIT License", f"{own} {own} {own}", f"{own} Licensed under the Apache License, Version 2.0", "This work is licensed under a new Creative Commons Attribution 4.0 International License", "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that following conditions are met", "x " * 4000 + own, licenses.TEMPLATES[8][1], licenses.TEMPLATES[12][1]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = by_id(licenses.scan_licenses(rows))
+    assert [out[i]["labels"] for i in range(9)] == ["mit", "mit", "mit", "apache-2.0,mit", "cc-by", "bsd", "mit", "gpl,lgpl", "cc-by"]
+    assert [out[i]["score"] for i in (0, 1, 2, 3, 6)] == [1.0] * 5 and all(0.75 <= out[i]["score"] < 1 for i in (4, 5))
+    known = licenses._templates(spark, licenses.TEMPLATES, 3)
+    spans = licenses.template_spans(rows.select(F.col("doc_id").alias("key"), licenses.words_of(F.col("text")).alias("words")), known, 3)
+    assert sorted((r["start"], r["length"]) for r in spans.where("key = 2 and likeness = 1").collect()) == [(0, 5), (5, 5), (10, 5)]
     assert licenses.scan_licenses(none).count() == 0
 
 
@@ -522,6 +546,39 @@ def test_html_rules_act_on_every_page():
     assert main(f"<ul>{links}</ul><div><p>{prose}</p></div><ul>{links}</ul>").strip() == prose.strip()
 
 
+PROSE = "the cat is on the mat and it was to be with all of us there " * 5
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f"<article><p class='related-work'>{PROSE}</p><p class=social>{PROSE}</p><div class='search-results'>{PROSE}</div></article>", "\n".join([PROSE.strip()] * 3)),
+        ("<html><body><p>A short one.</p></body></html>", "A short one."),
+        (f"<article><p>{PROSE}<span class='ad'>BUY NOW</span> more</p></article>", PROSE.strip() + " more"),
+        (f"<article><p>{PROSE}<span class='ad'>BUY NOW<p>{PROSE}</article>", "\n".join([PROSE.strip()] * 2)),
+        (f"<article><p>{PROSE}<div class='share-buttons'>Tell all</div><p>Short end</p></article>", PROSE.strip() + "\nShort end"),
+        (f"<div class=post-comments><p>{PROSE}</p></div><div><p>{PROSE}x</p></div>", PROSE + "x"),
+        (f"<b><article><p>{PROSE}</b></p><p>{PROSE}</p></article>", "\n".join([PROSE.strip()] * 2)),
+        (f"<p>{PROSE}<a href=1>unclosed link</p><p>{PROSE}</p>", PROSE + "unclosed link\n" + PROSE.strip()),
+        ("<nav><a>Menu</a></nav><script>x</script>", ""),
+        ("Erbeau " * 40, ("Erbeau " * 40).strip()),
+    ],
+)
+def test_html_judges_pieces_and_hints(page, wanted):
+    assert html_text.main_text(page, frozenset(html_text.STOP_WORDS)) == wanted
+
+
+def test_html_of_hard_pages(spark):
+    """Repeated rows, clashing columns, very long texts and tags that nest or stay open without end."""
+    import time
+
+    rows = [(1, "u", f"<article><p>{PROSE * 2000}</p></article>", "t"), (1, "u", f"<article><p>{PROSE * 2000}</p></article>", "t"), (2, "u", "<b>" * 20_000 + "x", "t"), (3, "u", "<span class=social>" * 20_000 + "<p>x</p>" * 20_000, "t"), (4, "u", "<div>" * 20_000 + "</b></i>" * 20_000, "t"), (5, "u", "<b><p>" * 20_000 + "</b>" * 20_000, "t")]
+    began = time.perf_counter()
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert time.perf_counter() - began < 20
+    assert sorted((r["page_id"], r["n_chars"]) for r in out)[:2] == [(1, len((PROSE * 2000).strip()))] * 2 and len(out) == 6
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     vocab = [f"w{chr(97 + i)}{chr(97 + j)}word" for i in range(12) for j in range(12)]
