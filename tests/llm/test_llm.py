@@ -612,6 +612,47 @@ def test_toxicity(spark):
     assert toxicity.train(toxicity.training_rows(docs, labels.where("toxic = 0"))).bias < 0
 
 
+def test_toxicity_of_groups_in_the_corpus(spark):
+    """Groups of words that stand in the same texts are found; one group's texts are toxic more often, and the penalty
+    takes the false positives among its neutral texts away."""
+    rng = random.Random(11)
+    tongues = [[f"{p}{chr(97 + i)}{chr(97 + i)}" for i in range(20)] for p in "rst"]
+    filler = [f"w{chr(97 + i)}{chr(97 + j)}word" for i in range(20) for j in range(20)]
+    rows = []
+    for i in range(1500):
+        tongue = i % 3
+        bad = rng.random() < (0.7, 0.1, 0.1)[tongue]
+        words = [rng.choice(tongues[tongue]) for _ in range(25)] + [rng.choice(filler) for _ in range(15)]
+        if bad and rng.random() < 0.75:  # some toxic texts show it by none of these words
+            words.insert(0, rng.choice(["nasty", "vile"]))
+        rng.shuffle(words)
+        rows.append((" ".join(words), int(bad), tongue))
+    labelled = spark.createDataFrame([r[:2] for r in rows], "text string, label int")
+    fair, plain = (toxicity.train(labelled, fairness=f) for f in (1.0, 0.0))
+    assert fair.pairs == plain.pairs == 3000 and {t[0] for t in fair.swaps if len(t) == 3 and t[0] in "rst" and t[1] == t[2]} == set("rst")
+    neutral = [t for t, y, tongue in rows if not y and tongue == 0]
+    a, b = toxicity.neutral_mentions(fair, neutral), toxicity.neutral_mentions(plain, neutral)
+    assert a["texts"] == len(neutral) and a["change"] < b["change"] / 2 and a["false_positives"] < b["false_positives"] / 2
+    # Nothing of this hides what is toxic.
+    marked = [t for t, y, _ in rows if y and ("nasty" in t or "vile" in t)]
+    assert (fair.scores(marked) >= 0.5).mean() > 0.95
+    swaps = toxicity.term_swaps([["a", "b"], ["c"], ["d", "e"]], False)
+    assert toxicity.swapped("A b, c x", swaps) == "c c, d x"
+
+
+def test_toxicity_of_hard_tables(spark):
+    """Very long and repeated texts, repeated rows, labels and extra columns with the names that the operator uses."""
+    rows = [(i % 50, ("vile " if i % 2 else "kind ") + "word " * (1 + i % 7), "en", 0.5, 3, True) for i in range(200)] + [(8, "kind " + "long word " * 200_000, "en", 0.5, 3, True), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score double, predicted int, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(50)] * 2, "doc_id long, toxic int, text string")
+    model = toxicity.train(toxicity.training_rows(docs, labels), least_gain=1.0)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == 202 and all((r["predicted"] == 1) == (r["doc_id"] % 2 == 1) for r in out if r["doc_id"] is not None)
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("text like 'vile%'").count() == 0 and kept.where("text like 'kind long%'").count() == 1
+    assert toxicity.train(toxicity.training_rows(docs.limit(0), labels)).weights == {}
+
+
 SF = "/root/testdata/sf0.001"
 
 
