@@ -25,20 +25,22 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited_text", 256).alias("edited_sha256"),
-        spotsigs.digest(F.col("signatures")).alias("fingerprint"),
-        spotsigs.digest(F.col("edited_signatures")).alias("edited_fingerprint"),
+        spotsigs.fingerprint_string(F.col("signatures")).alias("fingerprint"),
+        spotsigs.fingerprint_string(F.col("edited_signatures")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
     )
 
 
-# The rules, and parts of host labels whose hosts are listed.
+# The rules, and the block list: sites, and the hosts and domains under which each is listed.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LISTED_NAMES = ("ads", "adult", "bets", "casino", "malware", "phish", "pills", "porn", "spam")
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "malware-host", "phish-mail", "spam-farm")
+LISTED_HOSTS = tuple(f"{sub}{site}.example.{top}" for site in LISTED_SITES for sub in ("", "www.", "m.", "blog.") for top in ("com", "net", "org"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_NAMES)
+    listed = spark.createDataFrame([(host,) for host in LISTED_HOSTS], "key string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op4_url_filter": """
+    "op4_url_filter": f"""
         WITH cut AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
         ), parts AS (
@@ -97,7 +99,7 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
             WHEN rule IS NOT NULL THEN 'allow'
-            WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|malware|phish|pills|porn|spam)([.-]|$)') THEN 'block'
+            WHEN host IN ({", ".join(map(repr, LISTED_HOSTS))}) THEN 'block'
             ELSE 'allow' END AS verdict
         FROM ruled""",
     "op7_exact_dedup": """

@@ -1,10 +1,10 @@
 """SpotSigs fingerprints, from DataFrame functions only.
 
 A signature is a chain: a common-word anchor and the ``chain`` content words (words that are no anchors) that follow
-it, others skipped. A document's fingerprint is the set of its signatures' hashes. A text without any anchor takes all
-its words as anchors, with empty names; a text of fewer than SHORT words has its single words as signatures as well, so
-that edits of short texts leave something in common. Words are runs of letters and
-digits of the lower-cased text.
+it, others skipped; near the end there are fewer. A text's fingerprint is the set of its signatures' hashes, and its
+string holds them all, so that the likeness of two texts can be told from their strings. A text without any anchor takes
+all its words as anchors, with empty names: else all such texts would be alike. Words are runs of letters and digits of
+the lower-cased text.
 
 ``similar_pairs`` finds all pairs of different sets with a Jaccard of at least ``threshold``. Sets are partitioned by
 their length so that similar ones lie in the same or in neighbouring partitions; in these, only sets that share one of
@@ -17,6 +17,8 @@ tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +34,6 @@ ANCHORS = (
 ).split()
 
 
-SHORT = 16
-
-
 def chains(text: Column, chain: int = 2, anchors: list[str] | None = None) -> Column:
     """The sorted set of signature hashes of a text, array<bigint>."""
     common = sorted(set(ANCHORS if anchors is None else anchors))
@@ -48,14 +47,19 @@ def chains(text: Column, chain: int = 2, anchors: list[str] | None = None) -> Co
         content = F.filter(w, lambda x: ~x.isin(common))
         # The k-th anchor, at place p, has p - k content words before it.
         spotted = let(places, lambda p: let(content, lambda c: F.transform(p, lambda place, k: signature(F.get(w, place), c, place - k))))
-        found = F.when(F.size(places) == 0, F.transform(w, lambda x, i: signature(F.lit(""), w, i))).otherwise(spotted)
-        return F.when(F.size(w) < SHORT, F.concat(found, F.transform(w, lambda x: F.xxhash64(F.lit(" "), x)))).otherwise(found)
+        return F.when(F.size(places) == 0, F.transform(w, lambda x, i: signature(F.lit(""), w, i))).otherwise(spotted)
 
     return F.sort_array(F.array_distinct(let(words, of_words)))
 
 
-def digest(signatures: Column) -> Column:
-    """A set's fingerprint as text: how many signatures, and a hash of them."""
+def fingerprint_string(signatures: Column) -> Column:
+    """A set as text: how many signatures, and the last 32 bits of each in eight hex digits, in the set's order."""
+    digits = F.array_join(F.transform(signatures, lambda s: F.right(F.lpad(F.hex(s), 16, "0"), F.lit(8))), "")
+    return F.concat(F.size(signatures).cast("string"), F.lit("-"), F.lower(digits))
+
+
+def class_name(signatures: Column) -> Column:
+    """A short name of a set: how many signatures, and a hash of them."""
     return F.concat(F.size(signatures).cast("string"), F.lit("-"), F.lower(F.lpad(F.hex(F.xxhash64(signatures)), 16, "0")))
 
 
@@ -69,8 +73,9 @@ def likeness(a: Column, b: Column) -> Column:
 # --- A document, its edited text and the next document ------------------------------------------------------------
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 400) -> DataFrame:
-    """doc_id, text, next_text: the next row by descending id; after the last comes the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 400, own: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, text, next_text: the next row by descending id; after the last comes the first. With ``own`` also own and
+    next_own: a value of the row's text, which is computed once, and the next row's.
 
     Ids are cut into ordered buckets, and each bucket's least upper neighbour goes to it as well, so that every next
     row is in the same bucket and no task sorts the whole table.
@@ -79,8 +84,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), key.alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = ordered_bounds(rows, "_key", rows_per_bucket)
     top = rows.agg(F.max(F.struct("_key", F.xxhash64("text").alias("_tie"))).alias("t")).first()["t"]
+    value = F.lit(None) if own is None else own(F.col("text"))
+    names = ["doc_id", "text", "next_text", *([] if own is None else ["own", "next_own"])]
     if top is None:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("*", F.col("text").alias("next_text"), value.alias("own"), value.alias("next_own")).select(names)
     # Ghost rows: a bucket's last row (its boundary) precedes the next bucket's first; the first row of all follows the last.
     bucket = bucket_of(F.col("_key"), bounds)
     edge = F.col("_key").isin(bounds) if bounds else F.lit(False)
@@ -90,8 +97,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     dealt = rows.withColumn("_tie", tie).withColumn("_c", F.explode(F.array_compact(copies))).select("doc_id", "_key", "_tie", "text", F.col("_c.b").alias("_bucket"), F.col("_c.ghost").alias("_ghost"))
     # Ghosts sort below the bucket's own rows; the top row's ghost below all.
     lowest = F.when(F.col("_ghost") == 2, 0).otherwise(1)
-    own = W.partitionBy("_bucket").orderBy(lowest, "_key", "_tie", "_ghost")
-    return dealt.withColumn("next_text", F.lag("text").over(own)).where("_ghost = 0").select("doc_id", "text", "next_text")
+    order = W.partitionBy("_bucket").orderBy(lowest, "_key", "_tie", "_ghost")
+    rows = dealt.withColumn("own", value).withColumns({"next_text": F.lag("text").over(order), "next_own": F.lag("own").over(order)})
+    return rows.where("_ghost = 0").select(names)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -103,19 +111,18 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprint_documents(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text", anchors: list[str] | None = None) -> DataFrame:
     """doc_id, text, edited_text, next_text with the signature sets of each: signatures, edited_signatures, next_signatures."""
-    rows = with_next(docs, id_col, text_col).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    sets = F.transform(F.array("text", "edited_text", "next_text"), lambda t: chains(t, chain, anchors))
-    rows = rows.withColumn("_sets", sets)
-    return rows.select("doc_id", "text", "edited_text", "next_text", *[F.get("_sets", k).alias(n) for k, n in enumerate(("signatures", "edited_signatures", "next_signatures"))])
+    signatures = lambda text: chains(text, chain, anchors)
+    rows = with_next(docs, id_col, text_col, own=signatures).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
+    return rows.select("doc_id", "text", "edited_text", "next_text", F.col("own").alias("signatures"), signatures(F.col("edited_text")).alias("edited_signatures"), F.col("next_own").alias("next_signatures"))
 
 
 # --- All similar pairs ----------------------------------------------------------------------------------------------
 
 
 def fingerprint_classes(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class_id) for every row, and (class_id, signatures) for every different set; class_id is the digest."""
+    """(doc_id, class_id) for every row, and (class_id, signatures) for every different set; class_id names the set."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), chains(F.coalesce(F.col(text_col), F.lit("")), chain).alias("signatures"))
-    rows = cut(rows.withColumn("class_id", digest(F.col("signatures"))), "spotsigs")
+    rows = cut(rows.withColumn("class_id", class_name(F.col("signatures"))), "spotsigs")
     return rows.select("doc_id", "class_id"), rows.groupBy("class_id").agg(F.first("signatures").alias("signatures"))
 
 

@@ -3,8 +3,9 @@
 The universe is every different host of the corpus. Level 0 encodes the listed hosts; level 1 the hosts of the
 universe that pass level 0 without being listed; level 2 the listed hosts that pass level 1, and so on until a level
 lets nothing wrong through. A host of the universe is listed if the first level that it fails, or else the number of
-levels, is even or odd accordingly: exact membership, and the pages' side needs no join. The filters are bounded by the
-number of listed hosts and their first false positives; over ``most_bytes`` of bits ``listed_flag`` joins instead.
+levels, is even or odd accordingly: exact membership without joins. The filters are bounded by the number of listed hosts
+and their first false positives; over ``most_bytes`` of bits, which every task would have to hold, ``listed_flag`` gives
+the same answer by a join with the list. The list is a table from outside; hosts of it that no page has take no room.
 
 Rules stand above the list: a rule fits its host and all subdomains if the path starts with the rule's; the longest
 one wins. Null urls and urls without "://" have empty host and path; the empty host is a key like any other. Rows may
@@ -62,11 +63,11 @@ class BloomCascade:
         return out
 
     @classmethod
-    def build(cls, universe: DataFrame, listed: DataFrame, rate: float = 0.02, later_rate: float = 0.5, most_bytes: int = 64 << 20) -> BloomCascade | None:
-        """``universe`` and ``listed`` have one column, key, without repeats. None if the bits would go over ``most_bytes``."""
-        flagged = universe.join(listed.withColumn("_l", F.lit(1)), "key", "left")
-        # key, and whether it is listed: the only join, over the different keys while building.
-        flagged = cut(flagged.select("key", F.col("_l").isNotNull().alias("listed")), "url-keys")
+    def build(cls, universe: DataFrame, listed: DataFrame, rate: float = 0.02, later_rate: float = 0.5, most_bytes: int = 16 << 20) -> BloomCascade | None:
+        """``universe`` and ``listed`` have a column key; keys may repeat. None if the bits would go over ``most_bytes``."""
+        marks = universe.select("key", F.lit(True).alias("own"), F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(False).alias("own"), F.lit(True).alias("listed")))
+        flagged = marks.groupBy("key").agg(F.max("own").alias("own"), F.max("listed").alias("listed")).where("own")
+        flagged = cut(flagged.select("key", "listed"), "url-keys")
         levels: list[tuple[list[int], int, int]] = []
         coded, other = flagged.where("listed").select("key"), flagged.where("not listed").select("key")
         used = 0
@@ -90,7 +91,8 @@ class BloomCascade:
 
     @staticmethod
     def _array(words: list[int]) -> Column:
-        return F.array(*[F.lit(w).cast("bigint") for w in words]) if len(words) <= 2000 else F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+        """The words as a constant, folded once when the plan is made."""
+        return F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
 
     def contains(self, key: Column) -> Column:
         """Exact for keys of the universe: a key's kind is told by the first level that it fails."""
@@ -101,26 +103,20 @@ class BloomCascade:
         return out
 
 
-def listed_flag(rows: DataFrame, key: str, listed: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """Adds a boolean column ``listed``: whether the row's key is among ``listed.key``."""
-    universe = rows.select(F.col(key).alias("key")).distinct()
-    cascade = BloomCascade.build(universe, listed.select("key").distinct(), most_bytes=most_bytes)
-    if cascade is None:  # more listed keys than filters may hold: the same answer by a join
-        marks = listed.select(F.col("key").alias("_listed_key")).distinct()
-        return rows.join(marks, F.col(key) == F.col("_listed_key"), "left").withColumn("listed", F.col("_listed_key").isNotNull()).drop("_listed_key")
-    return rows.withColumn("listed", cascade.contains(F.col(key)))
+def listed_flag(rows: DataFrame, key: str, listed: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """Adds a boolean column ``listed``: whether the row's key is among ``listed.key``; null keys are not."""
+    universe = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"))
+    cascade = BloomCascade.build(universe, listed.where("key is not null").select("key"), most_bytes=most_bytes)
+    if cascade is None:
+        marks = listed.select(F.col("key").alias("__listed")).distinct()
+        return rows.join(marks, F.col(key) == F.col("__listed"), "left").withColumn("listed", F.col("__listed").isNotNull()).drop("__listed")
+    return rows.withColumn("listed", F.col(key).isNotNull() & cascade.contains(F.coalesce(key, F.lit(""))))
 
 
-def hosts_named(rows: DataFrame, names: Iterable[str], host: str = "host") -> DataFrame:
-    """key: the different hosts of which a label, or a part of one between hyphens, is one of ``names``."""
-    pattern = r"(^|[.-])(" + "|".join(names) + r")([.-]|$)"
-    return rows.where(F.col(host).rlike(pattern)).select(F.col(host).alias("key")).distinct()
-
-
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], names: Iterable[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict for every row."""
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict for every row; ``listed`` has the listed hosts in key."""
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = listed_flag(rows, "host", hosts_named(rows, names))
+    rows = listed_flag(rows, "host", listed)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

@@ -412,22 +412,42 @@ def test_spotsigs_documents(docs, texts, none):
     def signatures(text):
         words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
         found = {(w, *[y for y in words[i:] if y not in anchors][:2]) for i, w in enumerate(words) if w in anchors}
-        found = found or {("", *words[i : i + 2]) for i in range(len(words))}
-        return found | {(" ", w) for w in words} if len(words) < spotsigs.SHORT else found
+        return found or {("", *words[i : i + 2]) for i in range(len(words))}
 
     jaccard = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
-    out = by_id(spotsigs.fingerprint_documents(docs).select("*", spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near"), spotsigs.digest(F.col("signatures")).alias("digest")))
-    full, digests = [t or "" for t in texts], {}
+    near = {f"near_{k}": spotsigs.likeness(F.col("signatures"), F.col(f"{k}_signatures")) for k in ("edited", "next")}
+    strings = {f"{k}string": spotsigs.fingerprint_string(F.col(f"{k}signatures")) for k in ("", "edited_", "next_")}
+    out = by_id(spotsigs.fingerprint_documents(docs).withColumns(near | strings))
+
+    def told(a, b):
+        a, b = ({s[k : k + 8] for k in range(0, len(s), 8)} for s in (a.split("-")[1], b.split("-")[1]))
+        return jaccard(a, b)
+
+    full, seen, sets = [t or "" for t in texts], {}, {}
     for i, text in enumerate(full):
         following, n = full[i - 1], len(text) // 3
         edited, r = text[: len(text) - n] + following[:n], out[i * 3]
         assert (r["text"], r["next_text"], r["edited_text"]) == (text, following, edited)
         if "İ" not in text + following:  # lower-cased to two letters here
-            assert abs(r["near"] - jaccard(signatures(text), signatures(edited))) < 1e-12
-        assert digests.setdefault(text, r["digest"]) == r["digest"]
+            assert abs(r["near_edited"] - jaccard(signatures(text), signatures(edited))) < 1e-12
+            assert abs(r["near_next"] - jaccard(signatures(text), signatures(following))) < 1e-12
+            assert sets.setdefault(r["string"], signatures(text)) == signatures(text)  # unlike sets have unlike strings
+        assert abs(r["near_edited"] - told(r["string"], r["edited_string"])) < 1e-12 and abs(r["near_next"] - told(r["string"], r["next_string"])) < 1e-12
+        assert seen.setdefault(text, r["string"]) == r["string"]
     assert spotsigs.fingerprint_documents(none).count() == 0
 
 
+def test_spotsigs_query(spark, docs, texts, tmp_path):
+    from bidloom.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = by_id(queries.op3_spotsigs(spark, str(tmp_path)))
+    full = [t or "" for t in texts]
+    for i, t in enumerate(full):
+        edited = t[: len(t) - len(t) // 3] + full[i - 1][: len(t) // 3]
+        assert (out[i * 3]["n_chars"], out[i * 3]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+
+
 def test_next_document_over_buckets(spark):
     ids = random.Random(3).sample(range(10_000), 500)
     rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
@@ -463,12 +483,19 @@ def test_ordered_buckets(spark):
 def test_url_filter(spark):
     urls = ["http://A.net/x", "http://a.net", "https://b.example.net/en/1?q", "https://example.net/de/1", "x://m.example.com/de/", "x://example.com/de", "x://org/fr/", "x://evil.org/fr/9", "no scheme", None, "", "://", "http://ads-track.example.com/en/1#t", "http://m.ads-track.org?x", "http://bads.org/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("ads-track.example.com",), ("m.ads-track.org",), ("m.ads-track.org",), ("elsewhere.org",), (None,)], "key string")
     rules = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-    out = by_id(url_filter.judge_urls(rows, rules, ["ads"]), "page_id")
+    out = by_id(url_filter.judge_urls(rows, rules, listed), "page_id")
     assert [out[i]["verdict"] for i in range(len(urls))] == ["block", "allow", "allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block", "block", "allow"]
     assert [out[i]["rule"] for i in (0, 1, 2, 3, 4, 5, 6, 7)] == ["net/", None, "example.net/en/", "net/", "example.com/de/", None, "org/fr/", "org/fr/"]
     assert (out[2]["host"], out[2]["path"], out[0]["host"], out[9]["host"]) == ("b.example.net", "/en/1", "a.net", "")
-    assert url_filter.judge_urls(rows.limit(0), rules, ["ads"]).count() == 0
+    assert url_filter.judge_urls(rows.limit(0), rules, listed).count() == 0
+    # Repeated rows, a very long url, clashing columns, an empty list.
+    long = "http://h.org/" + "p" * 1_000_000
+    hard = spark.createDataFrame([(1, long, "x", True, "k"), (1, long, "x", True, "k"), (None, urls[12], "y", False, None)], "page_id long, url string, host string, listed boolean, key string")
+    found = url_filter.judge_urls(hard, rules, listed).collect()
+    assert sorted((r["verdict"], len(r["path"])) for r in found) == [("allow", 1_000_001)] * 2 + [("block", 5)]
+    assert {r["verdict"] for r in url_filter.judge_urls(hard, rules, listed.limit(0)).collect()} == {"allow"}
 
 
 @pytest.mark.parametrize("most_bytes", [1 << 20, 8])
