@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import counted_join, cut, shared_path
 
-BUCKET_ENTRIES = 10_000
+BUCKET_ENTRIES = 2_500
 TASK_BUCKETS = 4
 MOST_BUCKETS = 1 << 20
 MOST_BITS = 40
@@ -135,7 +135,9 @@ def build_index(rows: DataFrame, keys: DataFrame, entries: int = BUCKET_ENTRIES)
     """The index over ``rows`` (doc_id, key, text): SLOT, one row for each different text. ``keys`` has the rows' keys."""
     directory = build_directory(keys.select("key").distinct(), entries)
     dealt = rows.select("doc_id", "key", "text").mapInArrow(_combiner(bucket_starts(directory)), ENTRY)
-    owned = dealt.repartition(math.ceil(len(directory) / TASK_BUCKETS), "bucket").sortWithinPartitions("bucket", "key")
+    # A task owns TASK_BUCKETS neighbouring ranges.
+    owner = (F.col("bucket") / TASK_BUCKETS).cast("int")
+    owned = dealt.repartitionById(math.ceil(len(directory) / TASK_BUCKETS), owner).sortWithinPartitions("bucket", "key")
     path = shared_path(rows.sparkSession, "exact-index")
     owned.mapInArrow(_owner, SLOT).write.parquet(path)
     return rows.sparkSession.read.schema(SLOT).parquet(path)
