@@ -21,6 +21,7 @@ them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -97,15 +98,28 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(1)).cast("int")
 
 
-def _features(batches):
-    """y, a text's words, and their features."""
-    strings = pa.list_(pa.string())
+def _slices(batch):
+    return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
+def _words(batches):
+    """y and a text's different words."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
+        for part in _slices(batch):
             words = [list(set(WORD.findall(t.lower()))) if t else [] for t in part.column(1).to_pylist()]
-            features = [list({f for w in own for f in features_of(w)}) for own in words]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, strings), pa.array(features, strings)], ["y", "words", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
+
+
+def _counter(batches):
+    """In how many texts of label 1 (p) and 0 (q) a feature stands, summed up over a batch."""
+    for batch in batches:
+        counts: tuple[Counter, Counter] = Counter(), Counter()
+        for part in _slices(batch):
+            for y, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                counts[y].update({f for w in words for f in features_of(w)})
+        names = list(counts[0] | counts[1])
+        p, q = (pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), p, q], ["feature", "p", "q"])
 
 
 def _together(words: list[str]):
@@ -114,11 +128,12 @@ def _together(words: list[str]):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            holds = np.zeros((len(texts), len(words)), np.float32)
-            for row, own in enumerate(texts):
-                holds[row, [number[w] for w in own if w in number]] = 1
-            n = holds.T @ holds
+            n = np.zeros((len(words), len(words)), np.float32)
+            for part in _slices(batch):
+                holds = np.zeros((part.num_rows, len(words)), np.float32)
+                for row, own in enumerate(part.column(0).to_pylist()):
+                    holds[row, [number[w] for w in own if w in number]] = 1
+                n += holds.T @ holds
             i, j = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n[i, j].astype(np.int64))], ["i", "j", "n"])
 
@@ -152,29 +167,29 @@ def _picker(vocabulary: dict[str, int], tables: list[dict[str, list[str]]]):
     """y, the known features of a text, and of each counterfactual those that go and come, as numbers."""
 
     def run(batches):
-        number = vocabulary.get
+        number, starts = vocabulary.get, {f[: PREFIXES[0]].rstrip("$") for f in vocabulary}
         pick = lambda features: sorted(i for f in features if (i := number(f)) is not None)
+        spell = lambda words: {f for w in words for f in features_of(w)}
         kinds = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
-        for batch in batches:
+        for part in (p for batch in batches for p in _slices(batch)):
             kept, gone, come = [], [], []
-            for words, features in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept.append(pick(features))
+            for words in part.column(1).to_pylist():
+                words = {w for w in words if w[: PREFIXES[0]] in starts}  # the others have no known feature
+                own = spell(words)
+                kept.append(pick(own))
                 goes, comes = [], []
                 for swaps in tables:
                     terms = [w for w in words if w in swaps]
                     if not terms:
                         continue
-                    own, rest = set(features), set(words).difference(terms)
-                    lost = {f for t in terms for f in features_of(t)}
-                    starts = {f[: PREFIXES[0]].rstrip("$") for f in lost}
-                    lost.difference_update(f for w in rest if w[: PREFIXES[0]] in starts for f in features_of(w))  # other words have them
+                    rest = spell(words.difference(terms))
                     for which in range(2):
-                        new = {f for t in terms for f in features_of(swaps[t][which])}
-                        goes.append(pick(lost - new))
+                        new = rest | spell(swaps[t][which] for t in terms)
+                        goes.append(pick(own - new))
                         comes.append(pick(new - own))
                 gone.append(goes)
                 come.append(comes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, kinds[0]), pa.array(gone, kinds[1]), pa.array(come, kinds[1])], ["y", "x", "gone", "come"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, kinds[0]), pa.array(gone, kinds[1]), pa.array(come, kinds[1])], ["y", "x", "gone", "come"])
 
     return run
 
@@ -231,12 +246,12 @@ def train(labelled: DataFrame, features: int = 1024, least_gain: float = 18.0, f
     ``find_groups`` adds those that the texts themselves show.
     """
     marked = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("y"), F.col("text"))
-    rows = cut(marked.mapInArrow(_features, "y int, words array<string>, features array<string>"), "toxicity-features")
+    rows = cut(marked.mapInArrow(_words, "y int, words array<string>"), "toxicity-words")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel({}, 40.0 if n1 else -40.0)
-    counted = rows.select("y", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    counted = rows.mapInArrow(_counter, "feature string, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     counted = cut(counted.where("p + q >= 2"), "toxicity-counts")
     tables = [term_swaps([g.split() for g in (IDENTITY_TERMS if terms is None else terms).values()], True)]
     if find_groups:
