@@ -2,7 +2,7 @@
 
 Each text's 64-bit hash is its key. The directory is a list of hash prefixes: it starts with one bucket and doubles
 (one more bit of the prefix) wherever a bucket holds more keys than its capacity, until no bucket is overfull or the
-bits end. Equal texts of an Arrow batch are combined where they are read, then every entry (key, text, rows, largest id)
+bits end. Equal texts of a slice of rows are combined where they are read, then every entry (key, text, rows, largest id)
 is dealt to the task that owns its bucket. An owner reads its key ranges in order, chains the entries of one key and
 compares their bytes: each different text of a chain has a slot, which sums up the rows of its entries. The index is the
 Parquet table of all slots in the shared folder: key, slot, the text's sha256, rows, largest id. A row finds its group by
@@ -32,6 +32,7 @@ TASK_BUCKETS = 4
 MOST_BUCKETS = 1 << 20
 MOST_BITS = 40
 STEP_BITS = 8
+SLICE_ROWS = 2_048
 
 ENTRY = "bucket int, key long, text string, n long, keep_id long"
 SLOT = "key long, slot int, text_sha256 string, keep_id long, group_size long"
@@ -88,12 +89,10 @@ def buckets_of(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _combiner(starts: np.ndarray):
-    """Entries of the equal texts of each batch, with the buckets that own them."""
+    """Entries of the equal texts of each slice of rows, with the buckets that own them."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             entries = pa.Table.from_batches([batch]).group_by(["key", "text"]).aggregate([("doc_id", "max"), ("doc_id", "count", pc.CountOptions(mode="all"))]).combine_chunks()
             key = entries.column("key").combine_chunks()
             columns = [pa.array(buckets_of(np.asarray(key, np.int64), starts)), key, entries.column("text").combine_chunks(), entries.column("doc_id_count").combine_chunks(), entries.column("doc_id_max").combine_chunks()]

@@ -215,30 +215,36 @@ def shard_links(nodes: np.ndarray, values: np.ndarray, x: np.ndarray, y: np.ndar
     return np.unique(np.sort(links, axis=1), axis=0)
 
 
-SHARD = "block int, leaf long, node long, value long, x long, y long"
+SHARD = "block int, leaf long, n int, points binary"
 
 
 def _router(trees: list, radius: int, points):
-    """The shards' rows; points(batch) gives node, x, y and a function of the block that gives the values."""
+    """A row for each shard that a batch has points of: their nodes, values, x and y as one run of bytes each.
+
+    points(batch) gives node, x, y and a function of the block that gives the values.
+    """
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             node, x, y, value = points(batch)
+            found = []
             for block, tree in enumerate(trees):
                 values = value(block)
                 for leaf, rows in route(values, tree, radius):
-                    n = len(rows)
-                    columns = (np.full(n, block, np.int32), np.full(n, leaf, np.int64), node[rows], values[rows].astype(np.int64), x[rows], y[rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "leaf", "node", "value", "x", "y"])
+                    columns = np.stack([node[rows], values[rows].astype(np.int64), x[rows], y[rows]])
+                    found.append((block, leaf, len(rows), columns.tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["block", "leaf", "n", "points"])
 
     return run
 
 
 def _linker(radius: int, accept: int):
     def run(table: pa.Table) -> pa.Table:
-        node, value, x, y = (np.asarray(table.column(c), np.int64) for c in ("node", "value", "x", "y"))
+        parts = [np.frombuffer(p, np.int64).reshape(4, -1) for p in table.column("points").to_pylist()]
+        node, value, x, y = np.concatenate(parts, axis=1)
         links = shard_links(node, value.view(np.uint64), x.view(np.uint64), y.view(np.uint64), radius, accept)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
@@ -246,15 +252,15 @@ def _linker(radius: int, accept: int):
 
 
 def _tiles(routed: DataFrame) -> DataFrame:
-    """The rows of each shard, those over SHARD_ROWS cut into chunks; i, j name the pair of chunks that meet."""
+    """The rows of each shard, those over SHARD_ROWS points cut into chunks; i, j name the pair of chunks that meet."""
     # The counts are as many as leaves, which the sample bounds.
-    large = routed.groupBy("block", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
-    large = large.select("block", "leaf", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
+    large = routed.groupBy("block", "leaf").agg(F.sum("n").alias("k")).where(F.col("k") > SHARD_ROWS)
+    large = large.select("block", "leaf", F.ceil(F.col("k") / SHARD_ROWS).cast("int").alias("parts"))
     split = routed.join(F.broadcast(large), ["block", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("points"), F.col("parts")).cast("int"))
     # A chunk meets every chunk, itself included.
     tiles = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return tiles.select("block", "leaf", "node", "value", "x", "y", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return tiles.select("block", "leaf", "points", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def _points_of(column: str, fewest: int):
