@@ -152,6 +152,19 @@ def _distance(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
     return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
 
 
+def merged(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels, each the least number that it hangs together with, after links i - j as well."""
+    while len(i):
+        low = np.minimum(lab[i], lab[j])
+        np.minimum.at(lab, lab[i], low)
+        np.minimum.at(lab, lab[j], low)
+        while (lab != lab[lab]).any():
+            lab = lab[lab]
+        apart = lab[i] != lab[j]
+        i, j = i[apart], j[apart]
+    return lab
+
+
 def compare_all(values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, accept: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what all pairs connect that are within ``radius`` in the block and ``accept`` in x and y."""
     n = len(values)
@@ -160,15 +173,7 @@ def compare_all(values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, a
         i, j = np.nonzero(np.bitwise_count(values[at : at + STRIPE, None] ^ values[None, at:]) <= radius)
         i, j = i[i < j] + at, j[i < j] + at
         near = _distance(x, y, i, j) <= accept
-        i, j = i[near], j[near]
-        while len(i):
-            low = np.minimum(lab[i], lab[j])
-            np.minimum.at(lab, lab[i], low)
-            np.minimum.at(lab, lab[j], low)
-            while (lab != lab[lab]).any():
-                lab = lab[lab]
-            apart = lab[i] != lab[j]
-            i, j = i[apart], j[apart]
+        lab = merged(lab, i[near], j[near])
     moved = np.flatnonzero(lab != np.arange(n))
     return lab[moved], moved
 
@@ -199,8 +204,11 @@ def canopies(values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, acce
 
 
 def shard_links(nodes: np.ndarray, values: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, accept: int) -> np.ndarray:
-    """Links (smaller, larger node) of a shard, by a vantage-point tree over all its points."""
-    rng, found = np.random.default_rng(len(nodes)), [np.empty((0, 2), np.int64)]
+    """Links (smaller, larger node) of a shard, by a vantage-point tree over all its points: from each point that hangs
+    together with others to the least node of them, so that most shards give the same links."""
+    order = np.argsort(nodes, kind="stable")
+    nodes, values, x, y = nodes[order], values[order], x[order], y[order]
+    rng, found = np.random.default_rng(len(nodes)), [np.empty((2, 0), np.int64)]
     todo = [(np.arange(len(nodes)), 0)]
     while todo:
         rows, depth = todo.pop()
@@ -210,9 +218,10 @@ def shard_links(nodes: np.ndarray, values: np.ndarray, x: np.ndarray, y: np.ndar
         elif len(rows) > 1:
             compare = canopies if len(rows) > 4 * LEAF_ROWS else compare_all
             i, j = compare(values[rows], x[rows], y[rows], radius, accept)
-            found.append(np.stack([nodes[rows[i]], nodes[rows[j]]], axis=1))
-    links = np.concatenate(found)
-    return np.unique(np.sort(links, axis=1), axis=0)
+            found.append(np.stack([rows[i], rows[j]]))
+    lab = merged(np.arange(len(nodes)), *np.concatenate(found, axis=1))
+    away = nodes[lab] != nodes  # a tile can hold a node twice
+    return np.stack([nodes[lab][away], nodes[away]], axis=1)
 
 
 SHARD = "block int, leaf long, n int, points binary"
@@ -366,8 +375,8 @@ def _sketcher(shingle: int):
         import xxhash
 
         for batch in batches:
-            found = [sketch(shingle_set(t.as_py(), shingle), xxhash.xxh64_intdigest).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
+            found = [sketch(shingle_set(t.as_py(), shingle), xxhash.xxh64_intdigest).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["sha", "id", "sketch"])
 
     return run
 
@@ -431,11 +440,10 @@ def _verifier(shingle: int, similarity: float):
     return run
 
 
-def verified_links(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a < b: links that connect what all pairs of one candidate component (node, root) connect whose exact Jaccard is
+def verified_links(candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a < b: links that connect what all pairs of one candidate component (node, root, text) connect whose exact Jaccard is
     ``similarity`` or more. Large components are cut into chunks whose pairs are tiles; small ones share a task."""
-    rows = texts.join(candidates, "node").withColumn("size", F.length("text"))
-    rows = cut(rows, "near-candidates")
+    rows = cut(candidates.withColumn("size", F.length("text")), "near-candidates")
     parts = F.greatest(F.lit(1), F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum("size") / VERIFY_CHARS))
     sizes = rows.groupBy("root").agg(parts.cast("int").alias("parts"), F.count("*").alias("n"))
     n, chars = rows.agg(F.count("*"), F.sum("size")).first()
@@ -450,17 +458,23 @@ def verified_links(texts: DataFrame, candidates: DataFrame, shingle: int, simila
 
 
 def near_components(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """sha (of the text, null as empty), first_id, n (rows), root for every different text; texts of one root hang together
-    by pairs whose sets of shingles have a Jaccard of ``similarity`` or more."""
+    """sha (of the text, null as empty), first_id, n (rows), copies (rows with first_id), root for every different text; texts
+    of one root hang together by pairs whose sets of shingles have a Jaccard of ``similarity`` or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("sha"), F.col(id_col).alias("id")).groupBy("sha").agg(F.min("id").alias("first_id"), F.first("text").alias("text"), F.count("*").alias("n"))
-    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
-    sketches = cut(texts.select("node", "text").mapInArrow(_sketcher(shingle), "node long, sketch binary"), "near-sketches")
-    others = components(candidate_links(sketches))  # all but the roots themselves
+    rows = docs.select(F.sha2(text, 256).alias("sha"), F.col(id_col).alias("id"), text.alias("text"))
+    sketched = rows.mapInArrow(_sketcher(shingle), f"sha string, id {docs.schema[id_col].dataType.simpleString()}, sketch binary")
+    by_id = sketched.groupBy("sha", "id").agg(F.first("sketch").alias("sketch"), F.count("*").alias("k"))
+    least = F.min_by(F.struct("id", "k"), F.struct(F.col("id").isNull(), "id")).alias("least")
+    texts = by_id.groupBy("sha").agg(F.first("sketch").alias("sketch"), F.sum("k").alias("n"), least)
+    texts = texts.select("sha", "sketch", "n", F.col("least.id").alias("first_id"), F.col("least.k").alias("copies"), F.monotonically_increasing_id().alias("node"))
+    texts = cut(texts, "near-texts")
+    others = components(candidate_links(texts.select("node", "sketch")))  # all but the roots themselves
     candidates = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
-    links = verified_links(texts.select("node", "text"), candidates, shingle, similarity)
-    member = components(links)
-    return texts.select("sha", "first_id", "n", "node").join(member, "node", "left").select("sha", "first_id", "n", F.coalesce("root", "node").alias("root"))
+    # Only here are texts dealt out, one of each sha.
+    named = candidates.join(texts.select("node", "sha"), "node")
+    verified = rows.groupBy("sha").agg(F.first("text").alias("text")).join(named, "sha").drop("sha")
+    member = components(verified_links(verified, shingle, similarity))
+    return texts.drop("sketch").join(member, "node", "left").select("sha", "first_id", "n", "copies", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,10 +485,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """
     named = near_components(docs, shingle, similarity, id_col, text_col)
     order = F.struct(F.col("first_id").isNull(), "first_id", "sha")
-    least = named.groupBy("root").agg(F.min_by(F.struct("sha", "first_id", "n"), order).alias("least"))
-    stay = cut(least.select(F.col("least.sha").alias("__near_sha"), F.col("least.first_id").alias("__near_first"), F.col("least.n").alias("__near_n")), "near-stay")
+    least = named.groupBy("root").agg(F.min_by(F.struct("sha", "first_id", "n", "copies"), order).alias("least"))
+    names = {"sha": "__near_sha", "first_id": "__near_first", "n": "__near_n", "copies": "__near_copies"}
+    stay = cut(least.select("least.*").withColumnsRenamed(names), "near-stay")
+    total, most = stay.agg(F.sum("__near_n"), F.max("__near_copies")).first()
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    total = stay.agg(F.sum("__near_n")).first()[0] or 0
-    parts = counted_join(docs.withColumn("__near_sha", sha), stay, ["__near_sha"], "__near_n", total, "inner")
-    kept = [p.where(F.col(id_col).eqNullSafe(F.col("__near_first"))).dropDuplicates(["__near_sha"]).select(*docs.columns) for p in parts]
-    return kept[0].unionByName(kept[1])
+    parts = counted_join(docs.withColumn("__near_sha", sha), stay, ["__near_sha"], "__near_n", total or 0, "inner")
+    kept = [p.where(F.col(id_col).eqNullSafe(F.col("__near_first"))) for p in parts]
+    if (most or 0) > 1:  # rows that repeat an id and a text
+        kept = [p.dropDuplicates(["__near_sha"]) for p in kept]
+    return kept[0].select(*docs.columns).unionByName(kept[1].select(*docs.columns))
