@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted_join, cut
+from .common import HOT_SHARE, counted_join, cut
 
 #: Most rows of the sample that the shards' trees are built from, and one in how many rows it takes at most; rows that a
 #: shard should have; rows of a shard's leaf; rows over which a shard is cut into tiles; depth of a tree.
@@ -314,8 +314,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour is linked to the smallest neighbour.
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        hot, rest = counted_join(both.where("b > a"), least, ["a"], "n", 2 * total, "inner")
-        large = hot.unionByName(rest).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least, up = cut(least, "links-least"), both.where("b > a")
+        if least.agg(F.max("n")).first()[0] > 2 * total // HOT_SHARE + 1:
+            hot, rest = counted_join(up, least, ["a"], "n", 2 * total, "inner")
+            starred = hot.unionByName(rest)
+        else:
+            starred = up.join(least, "a")
+        large = starred.select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: the smaller neighbours are linked to the smallest of them. After the large star they are few.
         root = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(root, "b").select(F.col("m"), "a", "b")

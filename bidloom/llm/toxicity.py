@@ -194,16 +194,16 @@ def _picker(vocabulary: dict[str, int], tables: list[dict[str, list[str]]]):
     return run
 
 
-def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    return at, np.fromiter((i for r in rows for i in r), np.int64, len(at))
+def _matrix(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of every entry of lists of numbers."""
+    return np.repeat(np.arange(len(rows)), np.asarray(rows.value_lengths())), np.asarray(rows.flatten(), np.int64)
 
 
 def _times(m: tuple[np.ndarray, np.ndarray], w: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(m[0], w[m[1]], n)
 
 
-def fit_logistic(x: list[list[int]], y: np.ndarray, gone: list[list[int]], come: list[list[int]], size: int, fairness: float, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(x: pa.ListArray, y: np.ndarray, gone: pa.ListArray, come: pa.ListArray, size: int, fairness: float, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights of binary features by Nesterov's accelerated gradient with a diagonal step bound. ``gone`` and ``come`` have
     the features by which a text and its counterfactual differ."""
     n, m, pairs = len(x), _matrix(x), len(gone)
@@ -264,8 +264,9 @@ def train(labelled: DataFrame, features: int = 1024, least_gain: float = 18.0, f
     best = [r["feature"] for r in telling.orderBy(F.col("gain").desc(), "feature").limit(features).collect()]  # bounded by ``features``
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys([*best, *(f for swaps in tables for t in swaps for f in features_of(t))]))}
     picked = rows.mapInArrow(_picker(vocabulary, tables), "y int, x array<int>, gone array<array<int>>, come array<array<int>>").toArrow()  # numbers only, of bounded rows
-    gone, come = ([pair for own in picked.column(c).to_pylist() for pair in own] for c in ("gone", "come"))
-    w, bias = fit_logistic(picked.column("x").to_pylist(), np.asarray(picked.column("y"), float), gone, come, len(vocabulary), fairness, ridge)
+    x, gone, come = (picked.column(c).combine_chunks() for c in ("x", "gone", "come"))
+    gone, come = gone.flatten(), come.flatten()
+    w, bias = fit_logistic(x, np.asarray(picked.column("y"), float), gone, come, len(vocabulary), fairness, ridge)
     return ToxicityModel({t: float(w[i]) for t, i in vocabulary.items() if abs(w[i]) > 1e-9}, bias, tables[0] | tables[-1], len(gone))
 
 
