@@ -61,3 +61,13 @@ def retry_delay(attempt: Column | str, least: float, most: float, jitter: Column
 
 def linear_delay(attempt: Column | str, step: float) -> Column:
     return F.lit(float(step)) * col(attempt)
+
+
+def shown_number(c: Column | str, digits: int = 3) -> Column:
+    """A number as Russian pages show it: groups of three parted by a no-break space, a comma, no closing zeros."""
+    text = F.translate(F.format_number(col(c), digits), ",.", "\u00a0,")
+    return F.regexp_replace(text, r",?0+$", "") if digits else text
+
+
+def shown_time(c: Column | str, seconds: bool = True) -> Column:
+    return F.date_format(col(c), "dd.MM.yyyy, HH:mm:ss" if seconds else "dd.MM.yyyy, HH:mm")

@@ -18,11 +18,16 @@ NO_DESCRIPTION = "(описание отсутствует)"
 
 
 def default_scores(cards: DataFrame, now: Column, config: ScoreConfig, code: Column | None = None) -> DataFrame:
-    """Adds fit, score and score_method; cards past their deadline score 0."""
+    """Adds fit, score and score_method; cards past their deadline score 0. A score that a card has stays, with its method."""
     rows = fit_for_codes(cards, first_code("okpd2_codes") if code is None else code, config.fit_table, config.default_fit)
     score = round_half(F.col("fit") * F.lit(float(config.p_win)) * F.coalesce(F.col("nmck"), F.lit(0.0)))
     expired = F.coalesce(F.col("deadline") < now, F.lit(False))
-    return rows.withColumn("score", F.when(expired, 0.0).otherwise(score)).withColumn("score_method", F.when(expired, METHOD_EXPIRED).otherwise(METHOD_DEFAULT))
+    score, method = F.when(expired, 0.0).otherwise(score), F.when(expired, METHOD_EXPIRED).otherwise(METHOD_DEFAULT)
+    if "score" in cards.columns:
+        own = F.col("score").isNotNull()
+        method = F.when(own, F.col("score_method") if "score_method" in cards.columns else F.lit(None)).otherwise(method)
+        score = F.when(own, F.col("score")).otherwise(score)
+    return rows.withColumns({"score": score, "score_method": method})
 
 
 def margin(nmck: Column | str, rate: float) -> Column:
@@ -53,12 +58,15 @@ def description(detail_json: Column | str | None, *flat: str, subject: str = "su
     if detail_json is not None:
         lines += [F.concat(F.lit(f"{f}: "), clean(F.get_json_object(col(detail_json), f"$.{f}"))) for f in DETAIL_FIELDS]
     found = F.array_compact(F.array(*lines))
-    for f in [f for f in DETAIL_FIELDS if f in flat]:
-        line = F.concat(F.lit(f"{f}: "), clean(F.col(f)))
-        mark = F.lit(f"{f}:")
-        add = line.isNotNull() & ~F.exists(found, lambda p: F.contains(p, mark))  # noqa: B023
-        found = F.when(add, F.concat(found, F.array(line))).otherwise(found)
-    return F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(NO_DESCRIPTION)
+    more = [F.struct(F.lit(f"{f}:").alias("mark"), F.concat(F.lit(f"{f}: "), clean(F.col(f))).alias("line")) for f in DETAIL_FIELDS if f in flat]
+    if more:
+
+        def add(lines: Column, x: Column) -> Column:
+            named = F.exists(lines, lambda line: F.contains(line, x["mark"]))
+            return F.when(x["line"].isNull() | named, lines).otherwise(F.concat(lines, F.array(x["line"])))
+
+        found = F.aggregate(F.array(*more), found, add)
+    return F.element_at(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(NO_DESCRIPTION)), 1)
 
 
 RESULT = "procurement_id long, fit_score double, verdict string, critics string, final_fit_score double, rounds int"

@@ -12,9 +12,9 @@ from ..config import CATEGORIES, ScoreConfig, SearchCriteria, StopConditions, Va
 from ..functions import handlers as H
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import alerts, codes, extract, filters, identity, jobs, metrics, ranking, scoring, store
+from ..operators import alerts, codes, extract, filters, identity, jobs, metrics, ranking, reads, scoring, store
 from ..sources import adapters as A
-from ..sources import generator
+from ..sources import generator, list_urls, writers
 from ..sources.shared import shared_folder
 from ..streaming import jobs as streams
 
@@ -581,3 +581,128 @@ def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/bidloom/queue_{uuid.uuid4().hex}"
     streams.latest_jobs_stream(rows, ["ts", "event_id"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return streams.latest_jobs_table(spark, f"{folder}/table")
+
+
+@query(f"""WITH {SCORED} SELECT user_id AS procurement_id, event_id, score FROM events JOIN scored ON user_id = id WHERE event_type = 'click'""")
+def stream_worker(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs as a stream, enriched with their cards and scored; the published results."""
+    jobs_in = streams.file_stream(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("procurement_id"), "event_id")
+    folder = f"{shared_folder(spark)}/bidloom/worker-{uuid.uuid4().hex}"
+    score = lambda rows: scoring.default_scores(rows, A.now(), ScoreConfig()).select("procurement_id", "event_id", "score")
+    streams.score_jobs(jobs_in, A.cards(spark, d), score, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").drop("batch")
+
+
+@query("""WITH e AS (SELECT event_id AS id, cast(event_id AS varchar) AS number, event_type AS source_platform, ts AS update_date FROM events),
+    old AS (SELECT * FROM e WHERE source_platform <> 'error' AND update_date < TIMESTAMP '2024-01-10 12:00:00'),
+    mark AS (SELECT source_platform, max(update_date) AS m FROM old GROUP BY source_platform)
+    SELECT e.id, e.source_platform FROM e LEFT JOIN mark USING (source_platform)
+    WHERE e.id IN (SELECT id FROM old) OR cast(e.update_date AS date) >= cast(coalesce(m, TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 5 DAY) AS date)""")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A pass that goes on from the store's latest update of each platform; the store afterwards."""
+    base = f"{shared_folder(spark)}/bidloom/resume-{uuid.uuid4().hex}"
+    cards = lambda e: e.select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("number"), F.col("event_type").alias("source_platform"), F.col("ts").alias("update_date"))
+    cards(A.table(spark, d, "events")).where("source_platform <> 'error' and update_date < timestamp_ntz'2024-01-10 12:00:00'").write.parquet(f"{base}/store")
+    now = F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))
+    streams.insert_new_cards(cards(streams.file_stream(spark, d, "events")), f"{base}/store", f"{base}/checkpoint", resume=(now, 5)).awaitTermination()
+    return spark.read.parquet(f"{base}/store").select("id", "source_platform")
+
+
+# --- Reads, list urls, output -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PROC} SELECT id, number, law, nmck FROM proc WHERE id = 7")
+def card_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return reads.by_id(A.cards(spark, d), 7).select("id", "number", "law", "nmck")
+
+
+@query(f"""WITH {PROC} SELECT number, CASE WHEN id % 3 = 0 THEN 'portal_c' ELSE source_platform END AS source_platform, id % 3 <> 0 AS found FROM proc""")
+def cards_known(spark: SparkSession, d: str) -> DataFrame:
+    cards = A.cards(spark, d)
+    asked = cards.select("number", F.when(F.col("id") % 3 == 0, "portal_c").otherwise(F.col("source_platform")).alias("source_platform"))
+    return reads.known(cards, asked)
+
+
+@query(f"""WITH {SCORED}, {CUST} SELECT number, source_platform, url, cust.name AS customer, law, subject, nmck, {sql_stamp("publication_date")} AS publication_date, {sql_stamp("deadline")} AS deadline,
+    score, score_method FROM scored LEFT JOIN cust ON customer_id = cust.id""")
+def alert_view(spark: SparkSession, d: str) -> DataFrame:
+    view = reads.alert_view(scoring.default_scores(A.cards(spark, d), A.now(), ScoreConfig()), A.customers(spark, d))
+    return view.withColumns({c: stamp(c) for c in ("publication_date", "deadline")})
+
+
+@query(f"WITH {PROC}, {CUST} SELECT proc.id, number, cust.name AS customer, okpd2_codes, cast(NULL AS varchar) AS kpgz_codes, CASE WHEN proc.id % 2 = 0 THEN '{{}}' END AS detail_json FROM proc LEFT JOIN cust ON customer_id = cust.id")
+def detail_view(spark: SparkSession, d: str) -> DataFrame:
+    cards = A.cards(spark, d).withColumn("detail_json", F.when(F.col("id") % 2 == 0, "{}"))
+    view = reads.detail_view(cards, A.customers(spark, d))
+    return view.select("id", "number", "customer", "okpd2_codes", F.col("kpgz_codes").cast("string").alias("kpgz_codes"), "detail_json")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 1 THEN 'https://portal.example/f/' || o_orderkey WHEN 2 THEN 'specs/a b ' || o_orderkey || '.PDF' WHEN 3 THEN '' END AS u FROM orders)
+    SELECT id, CASE WHEN id % 4 = 1 THEN 302 WHEN id % 4 = 2 THEN 200 ELSE 404 END AS status, CASE WHEN id % 4 = 1 THEN u END AS location, CASE WHEN id % 4 = 2 THEN substr(u, 7) END AS file_name,
+    CASE WHEN id % 4 = 2 THEN 'application/pdf' END AS media_type, CASE WHEN id % 4 = 2 THEN 'attachment; filename="a%20b%20' || id || '.PDF"; filename*=UTF-8''a%20b%20' || id || '.PDF' END AS disposition FROM c""".replace("UTF-8''", "UTF-8''''"))
+def spec_downloads(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    url = F.when(k % 4 == 1, F.concat(F.lit("https://portal.example/f/"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("specs/a b "), k.cast("string"), F.lit(".PDF"))).when(k % 4 == 3, "")
+    return reads.spec_downloads(A.cards(spark, d).select("id", url.alias("technical_spec_url"))).drop("technical_spec_url")
+
+
+@query(f"""WITH {PROC}, page AS (SELECT * FROM proc ORDER BY id DESC LIMIT 100)
+    SELECT (SELECT count(*) FROM proc) || ':' || string_agg(id || '@' || strftime(update_date, '%Y-%m-%dT%H:%M:%S'), ',' ORDER BY id DESC) AS signature FROM page""")
+def page_signature(spark: SparkSession, d: str) -> DataFrame:
+    return reads.page_signature(A.cards(spark, d))
+
+
+@query(f"WITH {PROC} SELECT id FROM proc ORDER BY cast(publication_date AS date) DESC, id LIMIT 50")
+def newest_first(spark: SparkSession, d: str) -> DataFrame:
+    return reads.newest_first(A.raw_cards(spark, d), "dates", "id").select("id").limit(50)  # a list page of 50
+
+
+@query(f"WITH {PROC}, p AS (SELECT id, publication_date, lag(publication_date) OVER (PARTITION BY id // 10 ORDER BY id) AS before FROM proc) SELECT id FROM p WHERE publication_date > before")
+def out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    cards = A.cards(spark, d).select("id", "publication_date", F.floor(F.col("id") / 10).alias("page_no"))
+    return reads.out_of_order(cards, "publication_date", "page_no", "id").select("id")
+
+
+@query("""WITH r AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS fz, CASE WHEN c_custkey % 3 <> 0 THEN 1000 * c_custkey END AS low FROM customer)
+    SELECT id, 'https://portal.example/purchase/list?page=1&filter=' || url_encode('{"typeIn":{"values":[2]},"need":{"paths":["x.' || id || '."]' || CASE WHEN low IS NOT NULL THEN ',"from":' || low || '.0' ELSE '' END
+    || '},"published":"01.07.1998 15:00:00"}') || '&state=' || url_encode('{"tab":2}') || CASE WHEN fz THEN '&fz44=on' ELSE '' END || CASE WHEN low IS NOT NULL THEN '&priceFrom=' || low ELSE '' END AS list_url,
+    'https://portal.example/purchase/list' AS plain_url FROM r""")
+def list_page_urls(spark: SparkSession, d: str) -> DataFrame:
+    m = list_urls.Mapping
+    search = list_urls.Search(
+        {"page": "1", "filter": "{filter_json}", "state": "{state_json}"},
+        {"typeIn": {"values": [2]}},
+        {"tab": 2},
+        {"okpd2": m("need.paths"), "fz44": m(query_param="fz44"), "fz223": m(query_param="fz223"), "nmck_min": m("need.from", "priceFrom"), "publish_date": m("published")},
+    )
+    k = F.col("c_custkey")
+    paths = F.array(F.concat(F.lit("x."), k.cast("string"), F.lit(".")))
+    criteria = list_urls.Criteria(cutoff=A.now(), okpd_paths=paths, fz44=k % 2 == 0, fz223=F.lit(False), nmck_min=F.when(k % 3 != 0, k * 1000.0))
+    site = ("https://portal.example/", "/purchase/list")
+    return A.table(spark, d, "customer").select(k.alias("id"), list_urls.list_url(*site, search, criteria).alias("list_url"), list_urls.list_url(*site, None, criteria).alias("plain_url"))
+
+
+@query(f"""WITH {PROC} SELECT id, '{{"card":{{"id":' || id || ',"law":' || coalesce('"' || law || '"', 'null') || ',"deadline":"' || strftime(deadline, '%Y-%m-%dT%H:%M:%S') || '"}},"dates":["' || strftime(update_date, '%Y-%m-%dT%H:%M:%S') || '"]}}' AS value FROM proc""")
+def json_cards(spark: SparkSession, d: str) -> DataFrame:
+    nested = F.struct(F.struct("id", "law", "deadline").alias("card"), F.array("update_date").alias("dates"))
+    return A.cards(spark, d).select("id", writers.iso_json(nested).alias("value"))
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT '{{"metrics":{{"n":' || count(*) || '}}}}' AS value FROM pairs) SELECT value FROM m
+    UNION ALL SELECT '{{"item":{{"item_id":' || item_id || ',"good":' || CASE WHEN predicted > 5 THEN 'true' ELSE 'false' END || '}}}}' FROM pairs""")
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    pairs = A.score_pairs(spark, d)
+    return writers.evaluation_report(metrics.fit_errors(pairs).select("n"), pairs.select("item_id", (F.col("predicted") > 5).alias("good")))
+
+
+@query(f"""WITH {PROC}, p AS (SELECT *, cast(floor(nmck) AS bigint) AS w, cast(round(nmck * 100) AS bigint) % 100 AS f FROM proc)
+    SELECT id, replace(format('{{:,}}', w), ',', chr(160)) || CASE WHEN f = 0 THEN '' WHEN f % 10 = 0 THEN ',' || f // 10 ELSE ',' || lpad(cast(f AS varchar), 2, '0') END AS amount,
+    strftime(deadline, '%d.%m.%Y, %H:%M:%S') AS until, strftime(update_date, '%d.%m.%Y, %H:%M') AS updated FROM p""")
+def shown_values(spark: SparkSession, d: str) -> DataFrame:
+    return A.cards(spark, d).select("id", N.shown_number("nmck").alias("amount"), N.shown_time("deadline").alias("until"), N.shown_time("update_date", False).alias("updated"))
+
+
+@query(f"WITH {PROC} SELECT id, cast(nmck AS varchar) IS NOT NULL AS priced, law, source_platform, 'none' AS score_method, (SELECT max(id) FROM proc) AS last_id FROM proc")
+def schema_copy(spark: SparkSession, d: str) -> DataFrame:
+    new = reads.migrated(A.cards(spark, d), "law string, id bigint, nmck double, source_platform string, score_method string, comment string", {"score_method": F.lit("none")})
+    return new.join(reads.last_identity(new), F.lit(True)).select("id", F.col("nmck").isNotNull().alias("priced"), "law", "source_platform", "score_method", "last_id")  # one row

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.jobs import parse_results
-from ..operators.store import new_cards
+from ..operators.store import new_cards, watermarks
 from ..sources.shared import cut
 
 
@@ -23,10 +23,12 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
-def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order: str = "id", after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order: str = "id", after: Callable[[DataFrame], None] | None = None, resume: tuple[Column, int] | None = None) -> StreamingQuery:
     """Appends the cards of each micro-batch that the store at ``store_path`` lacks; ``after`` gets them too.
 
-    The store is read anew for each batch, only its key columns. A batch that is run again finds its rows there.
+    The store is read anew for each batch, only its key columns. A batch that is run again finds its rows there. With
+    ``resume`` (now, days) a platform goes on from the day of its latest update in the store, or from so many days before
+    now where it has none; that day is read again, and the keys keep its repeats out.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -37,6 +39,8 @@ def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             stored = rows.limit(0)
+        if resume is not None:
+            rows = newer_than_store(stored, rows, *resume)
         # Kept apart from the store, as it is read after the store has changed.
         fresh = cut(new_cards(stored, rows, order), "fresh")
         fresh.write.mode("append").parquet(store_path)
@@ -46,6 +50,29 @@ def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newer_than_store(stored: DataFrame, rows: DataFrame, now: Column, default_days: int) -> DataFrame:
+    """The rows of each platform from the day of its watermark on; rows without an update time stay."""
+    marks = watermarks(stored, rows.select("source_platform").distinct(), now, default_days).withColumnRenamed("watermark", "_mark")
+    kept = rows.join(F.broadcast(marks), "source_platform", "left")  # one row for each platform
+    return kept.where(F.coalesce(F.to_date("update_date") >= F.to_date("_mark"), F.lit(True))).select(*rows.columns)
+
+
+def enriched(jobs: DataFrame, cards: DataFrame, key: str = "procurement_id") -> DataFrame:
+    """Jobs, a stream or a micro-batch, with the fields of their cards; jobs without a card stay, with nulls."""
+    return jobs.join(cards.withColumnRenamed("id", key), key, "left")
+
+
+def score_jobs(stream: DataFrame, cards: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """The worker: each micro-batch's jobs are enriched and scored, and the results published to its own folder under
+    ``path``. Jobs whose card is missing give no result. A batch that is run again overwrites what it wrote."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        found = enriched(rows, cards.withColumn("_card", F.lit(True))).where("_card").drop("_card")
+        score(found).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_jobs_stream(stream: DataFrame, order: list[str], path: str, checkpoint: str | None = None) -> StreamingQuery:
     """Keeps the last priority of each key as state; each micro-batch writes the keys that it changed to its own folder
     under ``path``. A batch that is run again overwrites what it wrote."""
