@@ -145,3 +145,36 @@ def scan_licenses(docs: DataFrame, k: int = 3, templates=TEMPLATES, phrases: dic
         F.array_join(F.sort_array(union), ",").alias("labels"),
         F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("likeness", F.lit(0.0))).alias("score"),
     )
+
+
+def oracle_sql(k: int = 3, gap: int = 3, least_votes: float = 0.4, least_likeness: float = 0.75) -> str:
+    """The same scan of ``documents`` in DuckDB SQL, by single words instead of arrays."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = lambda c: f"list_filter(regexp_split_to_array(translate({c}, '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda x: x <> '')"
+    templates = ", ".join(f"({t}, {quoted(label)}, {quoted(text)})" for t, (label, text) in enumerate(TEMPLATES))
+    then = lambda order: [f"lead(word, {j}) OVER ({order})" for j in range(1, k)]
+    rolled = lambda order: " || ' ' || ".join(["word", *then(order)])
+    bases = " ".join("WHEN " + " AND ".join([f"{w} = {quoted(x)}" for w, x in zip(("word", *(f"w{j}" for j in range(1, 9))), phrase.split(), strict=False)]) + f" THEN {quoted(label)}" for phrase, label in BASE_PHRASES.items())
+    reach = "(SELECT min(len(tw)) - 1 FROM tpl)"
+    return f"""
+        WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, {words("coalesce(text, '')")} AS words FROM documents),
+        tok AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM docs),
+        rolled AS (SELECT rid, pos, word, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, {rolled("PARTITION BY rid ORDER BY pos")} AS g FROM tok WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+        base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS own
+            FROM (SELECT rid, pos, CASE {bases} END AS label FROM rolled) WHERE label IS NOT NULL GROUP BY rid),
+        tpl AS (SELECT t, label, {words("body")} AS tw FROM (VALUES {templates}) v(t, label, body)),
+        tgram AS (SELECT t, place, g FROM (SELECT t, place, {rolled("PARTITION BY t ORDER BY place")} AS g FROM (SELECT t, unnest(tw) AS word, generate_subscripts(tw, 1) - 1 AS place FROM tpl)) WHERE g IS NOT NULL),
+        size AS (SELECT t, count(*) AS n FROM tgram GROUP BY t),
+        votes AS (SELECT rid, t, pos - place AS d, count(*) AS v FROM rolled JOIN tgram USING (g) GROUP BY ALL),
+        near AS (SELECT rid, t, d, sum(v) OVER f AS v, list(d) OVER f AS ends FROM votes WINDOW f AS (PARTITION BY rid, t ORDER BY d RANGE BETWEEN {gap} PRECEDING AND {gap} FOLLOWING)),
+        win AS (SELECT rid, t, label, tw, d, greatest(d, 0) AS s, unnest(ends) AS e FROM near JOIN tpl USING (t) JOIN size USING (t) WHERE v >= greatest(1, ceil(n * {least_votes}))),
+        cut AS (SELECT rid, t, label, d, s, least(e + len(tw), len(words)) - s AS n, array_to_string(words[s + 1 : least(e + len(tw), len(words))], ' ') AS a, array_to_string(tw, ' ') AS b FROM win JOIN docs USING (rid)),
+        scored AS (SELECT rid, t, label, d, s, n, 1 - levenshtein(a, b) / greatest(length(a), length(b))::double AS likeness FROM cut WHERE n > 0),
+        best AS (SELECT * FROM scored WHERE likeness >= {least_likeness} QUALIFY row_number() OVER (PARTITION BY rid, t, label, d ORDER BY likeness DESC, n, s) = 1),
+        top AS (SELECT *, max(row(likeness, -n, -s)) OVER (PARTITION BY rid, t ORDER BY d RANGE BETWEEN {gap} PRECEDING AND {gap} FOLLOWING) AS top FROM best),
+        spans AS (SELECT rid, label, s, likeness FROM top WHERE top = row(likeness, -n, -s)),
+        likest AS (SELECT *, max(likeness) OVER (PARTITION BY rid ORDER BY s RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS m FROM spans),
+        found AS (SELECT rid, list(DISTINCT label) AS more, max(likeness) AS likeness FROM likest WHERE likeness = m GROUP BY rid)
+        SELECT doc_id, cast(len(words) AS bigint) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
+            array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::double ELSE coalesce(likeness, 0.0::double) END AS score
+        FROM docs LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)"""

@@ -108,4 +108,5 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op8_licenses": licenses.oracle_sql(),
 }

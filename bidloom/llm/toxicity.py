@@ -296,7 +296,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that the model doesn't reject, with all their columns."""
+    """The rows that the model doesn't reject, with all their columns. Null texts count as empty, null ids don't matter, and
+    rows that repeat are judged alike."""
 
     @F.pandas_udf("double")
     def scored(texts):

@@ -680,6 +680,92 @@ def test_toxicity_of_hard_tables(spark):
     assert toxicity.train(toxicity.training_rows(docs.limit(0), labels)).weights == {}
 
 
+def _components(n, linked):
+    root = list(range(n))
+    for a, b in itertools.combinations(range(n), 2):
+        if root[a] != root[b] and linked(a, b):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Documents with nulls, repeated rows and ids, ties, very long and empty texts, and columns that the stages use inside."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts = [line(rng.randint(1, 80)) for _ in range(60)]
+    texts += [t + " " + word() for t in texts[:10]] + texts[:8] + [None, "", " ", line(30_000), "vile " + line(20), "vile", "VILE " + texts[0]]
+    rows = [(i, t, None if i % 7 == 0 else "en", "s", len(t or ""), "sha", i, 0, "root", 1, "key", "t") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[5], None, None, None, "x", 1, 2, "r", 3, "k", None), (None, line(9), None, None, None, "x", 1, 2, "r", 3, "k", None), (4, line(11), "en", "s", 1, "x", 1, 2, "r", 3, "k", "t")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sha string, node long, n int, root string, _key int, key string, text_sha256 string"
+    more = [(1000 + i, ("vile " if i % 2 else "") + line(12), "en", "s", 1, "x", 1, 2, "r", 3, "k", "t") for i in range(120)]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame([(1000 + i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(rows + more, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_stages_of_hard_tables(spark, corpus):
+    import corpus_pipeline
+
+    docs, stages = spark.read.parquet(f"{corpus}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    rows = [tuple(r) for r in docs.collect()]
+    key = lambda r: (r[0], r[1] or "")
+    out = stages["toxicity"](spark, docs, corpus)
+    kept = [tuple(r) for r in out.collect()]
+    toxic = [r for r in rows if "vile" in (r[1] or "").lower().split()]
+    assert out.columns == docs.columns and sorted(map(repr, kept)) == sorted(repr(r) for r in rows if r not in toxic)
+    # Exact dedup: of equal texts the largest id, once.
+    out = stages["exact dedup"](spark, docs, corpus)
+    best = {}
+    for r in rows:
+        best[r[1] or ""] = max(best.get(r[1] or "", -1), -1 if r[0] is None else r[0])
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == docs.columns and set(got) <= set(rows)
+    assert sorted((-1 if i is None else i, t) for i, t in map(key, got)) == sorted((i, t) for t, i in best.items())
+    # Near dedup: of each component the least id, once.
+    out = stages["near dedup"](spark, docs, corpus)
+    texts = sorted({r[1] or "" for r in rows})
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    root = _components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    least = {}
+    for r in rows:
+        group = root[texts.index(r[1] or "")]
+        least[group] = min(least.get(group, 1 << 60), 1 << 60 if r[0] is None else r[0])
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == docs.columns and set(got) <= set(rows) and len(got) == len(least)
+    assert sorted(1 << 60 if r[0] is None else r[0] for r in got) == sorted(least.values())
+    # Packing: every document once, in sequences that nothing overlaps.
+    packed = stages["packing"](spark, docs, corpus).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(rows)
+    at = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert at.get(r["sequence_id"], 0) == r["offset"] and r["offset"] + r["length"] <= 2048
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), corpus).count() == 0
+
+
+def test_queries_equal_their_sql(spark, corpus, tmp_path):
+    import duckdb
+
+    from bidloom.llm import queries
+
+    spark.createDataFrame([(1, "http://m.ads-track.example.com/en/1", ""), (2, None, None), (2, "http://a.net/x", ""), (None, "x://org/fr/1?q", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet(f"{corpus}/documents.parquet").unionByName(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        out, wanted = queries.QUERIES[name](spark, str(tmp_path)), con.sql(sql)
+        columns = sorted(out.columns)
+        assert columns == sorted(wanted.columns), name
+        place = [wanted.columns.index(c) for c in columns]
+        assert sorted(repr(tuple(r)) for r in out.select(columns).collect()) == sorted(repr(tuple(r[k] for k in place)) for r in wanted.fetchall()), name
+
+
 SF = "/root/testdata/sf0.001"
 
 
