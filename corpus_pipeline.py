@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage reads what the one before wrote, and its decisions take effect."""
+"""The corpus pipeline: each stage reads what the one before wrote, and its decisions take effect.
+
+Null texts count as empty in every stage, and rows with a null id are rows like others. Rows that repeat an id and a text
+are one document from the exact stage on; rows that repeat an id alone stay. Empty tables give empty results. The first
+three stages keep all columns of their input, whatever they are called; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
