@@ -70,31 +70,43 @@ def description(detail_json: Column | str | None, *flat: str, subject: str = "su
 
 
 RESULT = "procurement_id long, fit_score double, verdict string, critics string, final_fit_score double, rounds int"
-Fit = Callable[[str, str], float]
-Judge = Callable[[str, float], tuple[str, str, float]]
+Fit = Callable[[list[str], list[str]], list[float]]
+Judge = Callable[[list[str], list[float]], list[tuple[str, str, float]]]
 
 
 def model_scores(cards: DataFrame, fit: Fit, judge: Judge, refine_rounds: int = 1) -> DataFrame:
-    """Scores by an injected model: fit(description, hint), then judge(description, fit) -> verdict, critics, final.
+    """Scores by an injected model: fit(descriptions, hints), then judge(descriptions, fits) -> verdict, critics, final.
 
-    While the verdict is reject, the fit is asked again with the critics as a hint, at most ``refine_rounds`` times; the
-    last judgement counts. ``cards`` has procurement_id and description.
+    The model gets batches of texts. Those with the verdict reject are fitted again with their critics as hints, at most
+    ``refine_rounds`` times; the last judgement counts. ``cards`` has procurement_id and description.
     """
 
     def run(frames):
         import pandas as pd
 
+        clamp = lambda x: min(max(x, 0.0), 10.0)
         for frame in frames:
-            rows = []
-            for key, text in zip(frame["procurement_id"], frame["description"], strict=True):
-                own = fit(text, "")
-                verdict, critics, final = judge(text, own)
-                rounds = 0
-                while verdict == "reject" and rounds < refine_rounds:
-                    own = fit(text, critics)
-                    verdict, critics, final = judge(text, own)
-                    rounds += 1
-                rows.append((key, min(max(own, 0.0), 10.0), verdict, critics, min(max(final, 0.0), 10.0), rounds))
+            texts = frame["description"].tolist()
+            fits = list(fit(texts, [""] * len(texts))) if texts else []
+            said = list(judge(texts, fits)) if texts else []
+            rounds = [0] * len(texts)
+            for _ in range(refine_rounds):
+                again = [k for k, (verdict, _, _) in enumerate(said) if verdict == "reject"]
+                if not again:
+                    break
+                own = [texts[k] for k in again]
+                new = fit(own, [said[k][1] for k in again])
+                for k, value, judged in zip(again, new, judge(own, new), strict=True):
+                    fits[k], said[k], rounds[k] = value, judged, rounds[k] + 1
+            rows = [(key, clamp(f), verdict, critics, clamp(final), n) for key, f, (verdict, critics, final), n in zip(frame["procurement_id"], fits, said, rounds, strict=True)]
             yield pd.DataFrame(rows, columns=["procurement_id", "fit_score", "verdict", "critics", "final_fit_score", "rounds"])
 
     return cards.select("procurement_id", "description").mapInPandas(run, RESULT)
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """A prompt for a model: a template whose {names} are replaced by columns; nulls become empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -132,11 +132,14 @@ def description(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("id", scoring.description("detail_json", "law").alias("description"))
 
 
-@query()
+@query(f"""WITH {PROC}, t AS (SELECT id, length(subject || CASE WHEN law IS NOT NULL THEN chr(10) || 'law: ' || law ELSE '' END || chr(10) || 'nmck: ' || nmck) % 11 AS n FROM proc)
+    SELECT id AS procurement_id, cast(n + CASE WHEN n < 5 THEN 1 ELSE 0 END AS double) AS fit_score, CASE WHEN n >= 4 THEN 'accept' ELSE 'reject' END AS verdict, 'too low' AS critics,
+    cast(n + CASE WHEN n < 5 THEN 1 ELSE 0 END AS double) AS final_fit_score, CASE WHEN n >= 5 THEN 0 WHEN n = 4 THEN 1 ELSE 2 END AS rounds FROM t""")
 def model_score(spark: SparkSession, d: str) -> DataFrame:
     """The pluggable scorer with a deterministic stand-in: short subjects are rejected once and fitted again."""
     cards = A.cards(spark, d).select(F.col("id").alias("procurement_id"), scoring.description(None, "law", "nmck").alias("description"))
-    return scoring.model_scores(cards, lambda text, hint: len(text) % 11 + (1.0 if hint else 0.0), lambda text, fit: ("accept" if fit >= 5 else "reject", "too low", fit), 2)
+    fit = lambda texts, hints: [len(t) % 11 + (1.0 if h else 0.0) for t, h in zip(texts, hints, strict=True)]
+    return scoring.model_scores(cards, fit, lambda texts, fits: [("accept" if f >= 5 else "reject", "too low", f) for f in fits], 2)
 
 
 # --- Handlers --------------------------------------------------------------------------------------------------------
@@ -376,12 +379,12 @@ def code_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber % 3 = 0 THEN 'Техническое Задание ' ELSE 'Файл ' END || l_partkey AS name, 'https://f/' || l_partkey AS url FROM lineitem),
-    g AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE name LIKE 'Техн%') AS spec, min(name) FILTER (WHERE name LIKE 'Техн%') AS technical_spec_name FROM f GROUP BY id)
-    SELECT id, technical_spec_name, replace(technical_spec_name, 'Техническое Задание ', 'https://f/') AS technical_spec_url, n - spec AS other_files FROM g""")
+    g AS (SELECT id, min(name) FILTER (WHERE name LIKE 'Техн%') AS technical_spec_name, string_agg(url, ' ' ORDER BY name, url) FILTER (WHERE name NOT LIKE 'Техн%') AS other_files FROM f GROUP BY id)
+    SELECT id, technical_spec_name, replace(technical_spec_name, 'Техническое Задание ', 'https://f/') AS technical_spec_url, other_files FROM g""")
 def split_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "Техническое Задание ").otherwise("Файл "), F.col("l_partkey").cast("string"))
     files = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), F.concat(F.lit("https://f/"), F.col("l_partkey").cast("string")).alias("url")))).alias("files"))
-    return filters.split_files(files).select("id", "technical_spec_name", "technical_spec_url", F.coalesce(F.size("files_json"), F.lit(0)).cast("bigint").alias("other_files"))
+    return filters.split_files(files).select("id", "technical_spec_name", "technical_spec_url", F.array_join(F.transform("files_json", lambda f: f["url"]), " ").alias("other_files"))
 
 
 @query(f"""WITH {PROC} SELECT id, 'https://portal.example/card/' || id || '/documents.html?id=' || id AS files_page,
@@ -396,18 +399,21 @@ def url_encode(spark: SparkSession, d: str) -> DataFrame:
     return A.cards(spark, d).select("id", T.percent_encode(F.concat_ws(" ", "url", F.concat("subject", F.lit("*~+")))).alias("encoded"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS has_title, cast(regexp_extract(url, '/([0-9]+)', 1) AS double) AS number, 'none' AS missing FROM pages")
+_PLAIN = "replace(replace(replace(trim(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, {_PLAIN.format("title")} AS title, {_PLAIN.format("h1")} AS heading,
+    cast(regexp_extract(url, '/([0-9]+)', 1) AS double) AS number, 'none' AS missing FROM pages""")
 def page_extract(spark: SparkSession, d: str) -> DataFrame:
     variables = [Variable("title", "title", handler="strip"), Variable("heading", "article h1", handler="strip"), Variable("missing", "div.absent", default="none")]
     rows = extract.extract(A.table(spark, d, "pages"), variables)
-    return rows.select("page_id", (F.col("title") != "").alias("has_title"), H.number(T.first_group("url", r"/([0-9]+)")).alias("number"), "missing")
+    return rows.select("page_id", "title", "heading", H.number(T.first_group("url", r"/([0-9]+)")).alias("number"), "missing")
 
 
-@query("SELECT page_id, cast(len(regexp_extract_all(html, '<a href=')) AS bigint) AS n_links FROM pages")
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS name,
+    generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) - 1 AS pos FROM pages) SELECT page_id, pos, href, name FROM l""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    pages = A.table(spark, d, "pages")
-    counts = extract.links(pages).groupBy("page_id").agg(F.count("*").alias("n_links"))
-    return pages.select("page_id").join(counts, "page_id", "left").select("page_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return extract.links(A.table(spark, d, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query()
@@ -482,10 +488,11 @@ def alert_messages(spark: SparkSession, d: str) -> DataFrame:
     return alerts.alert_messages(A.cards(spark, d).select("id", "number", "source_platform", "subject", "law", "url", F.lit("  ").alias("customer")))
 
 
-@query(f"WITH {PROC}, b AS (SELECT unnest(['telegram', 'webhook']) AS backend) SELECT backend, count(*) AS n FROM proc, b WHERE nmck > 300000 GROUP BY backend")
+@query(f"""WITH {PROC}, b AS (SELECT unnest(['telegram', 'webhook']) AS backend) SELECT backend, id, CASE backend
+    WHEN 'webhook' THEN '{{"id":' || id || ',"number":"' || number || '","subject":"' || subject || '"}}' ELSE '№: ' || number || chr(10) || 'Предмет: ' || subject END AS payload FROM proc, b WHERE nmck > 300000""")
 def alert_outbox(spark: SparkSession, d: str) -> DataFrame:
     cards = A.cards(spark, d).where("nmck > 300000").select("id", "number", "subject")
-    return alerts.outbox(cards, ["telegram", "webhook", "none"]).groupBy("backend").agg(F.count("*").alias("n"))
+    return alerts.outbox(cards, ["telegram", "webhook", "none"])
 
 
 # --- Accuracy --------------------------------------------------------------------------------------------------------

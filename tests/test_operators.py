@@ -32,12 +32,17 @@ def test_external_and_stub_scores(spark):
 
 def test_model_scores_refine(spark):
     cards = spark.createDataFrame([(1, "a")], "procurement_id long, description string")
-    seen = scoring.model_scores(cards, lambda text, hint: 7.0 if hint == "more" else 3.0, lambda text, fit: ("accept" if fit > 5 else "reject", "more", fit), 1)
+    seen = scoring.model_scores(cards, lambda texts, hints: [7.0 if h == "more" else 3.0 for h in hints], lambda texts, fits: [("accept" if f > 5 else "reject", "more", f) for f in fits], 1)
     assert rows(seen, "fit_score", "verdict", "rounds") == [(7.0, "accept", 1)]
-    never = scoring.model_scores(cards, lambda text, hint: 30.0, lambda text, fit: ("reject", "no", fit), 2)
+    never = scoring.model_scores(cards, lambda texts, hints: [30.0] * len(texts), lambda texts, fits: [("reject", "no", f) for f in fits], 2)
     assert rows(never, "fit_score", "verdict", "rounds") == [(10.0, "reject", 2)]
 
 
+def test_prompt(spark):
+    out = spark.createDataFrame([("a {who}", None)], "text string, hint string").select(scoring.prompt("Rate {text}. {hint}|{other}", text=F.col("text"), hint=F.col("hint")))
+    assert out.first()[0] == "Rate a {who}. |{other}"
+
+
 def test_description(spark):
     data = [("  Закупка \n ПО ", '{"customer": " A  B ", "law": null, "nmck": 5}', "44-ФЗ", "C"), (None, None, None, None)]
     cards = spark.createDataFrame(data, "subject string, detail_json string, law string, customer string")
