@@ -399,7 +399,9 @@ def url_encode(spark: SparkSession, d: str) -> DataFrame:
     return A.cards(spark, d).select("id", T.percent_encode(F.concat_ws(" ", "url", F.concat("subject", F.lit("*~+")))).alias("encoded"))
 
 
-_PLAIN = "replace(replace(replace(trim(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_PLAIN = "trim(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1))"
+for _entity, _letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_entity};?', '{_letter}', 'g')"
 
 
 @query(f"""SELECT page_id, {_PLAIN.format("title")} AS title, {_PLAIN.format("h1")} AS heading,
