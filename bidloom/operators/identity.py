@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name, normalize_name_sql
+from ..sources.shared import cut
 
 
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -29,43 +30,70 @@ def surrogate_ids(rows: DataFrame, key: str, order: str, start: int = 1) -> Data
     return ordinal_rank(first, "_first", key, "_n").select(key, (F.col("_n") + (start - 1)).alias("surrogate_id"))
 
 
-FOLDED = "record_id long, customer_id long, new_name string, new_inn string, backfilled_inn string"
+FOLDED = "record_id long, customer_id long, new_name string, new_inn string, backfilled_inn string, created string, held string, since long"
+ANSWER = ["record_id", "customer_id", "new_name", "new_inn", "backfilled_inn"]
+ALWAYS = -(1 << 63)
 
 
 def _fold(frame):
-    """One connected group of names and tax numbers, in order of arrival; known customers come first."""
+    """The deciding records of one connected group of names and tax numbers, in order of arrival; known customers come first.
+
+    Besides the records' answers it tells which name a customer was created for, and which customer a number means since
+    when (held, since).
+    """
     import pandas as pd
 
     text = lambda v: v if isinstance(v, str) and v else None
     by_name, by_inn, inn_of, out = {}, {}, {}, []  # inn_of has the customers in order of age
+    age: dict[int, int] = {}
 
-    def hold(inn, customer) -> None:
-        holder = by_inn.setdefault(inn, customer)
-        if holder != customer:  # two customers with one number: it means the older one
-            by_inn[inn] = next(c for c in inn_of if c in (holder, customer))
+    def hold(inn, customer, since) -> None:
+        holder = by_inn.get(inn)
+        if holder is None or age[customer] < age[holder]:  # two customers with one number: it means the older one
+            by_inn[inn] = customer
+            out.append((None, customer, None, None, None, None, inn, since))
 
     for r in frame.sort_values(["is_record", "arrival"]).itertuples():
         inn = text(r.inn)
         if not r.is_record:
-            by_name[r.norm] = r.arrival
-            inn_of[r.arrival] = inn
+            by_name.setdefault(r.norm, r.arrival)
+            inn_of[r.arrival], age[r.arrival] = inn, len(age)
             if inn:
-                hold(inn, r.arrival)
+                hold(inn, r.arrival, ALWAYS)
             continue
         known, new_name, new_inn, filled = by_name.get(r.norm), None, None, None
         if known is not None:
             if inn and not inn_of[known]:
                 inn_of[known], filled = inn, inn
-                hold(inn, known)
+                hold(inn, known, r.arrival)
         elif inn in by_inn:
             known = by_inn[inn]
         else:
             known = -1 - r.arrival  # a new customer, called by the record that made it
-            by_name[r.norm], inn_of[known], new_name, new_inn = known, inn, r.name_text, inn
+            by_name[r.norm], inn_of[known], age[known], new_name, new_inn = known, inn, len(age), r.name_text, inn
             if inn:
-                hold(inn, known)
-        out.append((r.arrival, known, new_name, new_inn, filled))
-    return pd.DataFrame(out, columns=["record_id", "customer_id", "new_name", "new_inn", "backfilled_inn"])
+                hold(inn, known, r.arrival)
+        out.append((r.arrival, known, new_name, new_inn, filled, r.norm if new_name is not None else None, None, None))
+    rows = pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
+    return rows.astype({c: "Int64" for c in ("record_id", "customer_id", "since")})
+
+
+def _deciding(records: DataFrame, known: DataFrame) -> DataFrame:
+    """arrival of the records that can make a customer or fill in a number; what the others mean follows from them.
+
+    Of names with one number alone, which are new, only the first record of each number counts. Of other names the first
+    with each number does, and the first with a number after the first without one.
+    """
+    number = F.nullif(F.col("inn"), F.lit(""))
+    pairs = cut(records.groupBy("norm", number.alias("number")).agg(F.min("arrival").alias("first")), "pairs")
+    plain = pairs.groupBy("norm").agg(F.count("*").alias("k"), F.count("number").alias("numbers"), F.min(F.when(F.col("number").isNull(), F.col("first"))).alias("bare"))
+    leaf = plain.where("k = 1 and numbers = 1").select("norm").join(known.select("norm").distinct(), "norm", "left_anti").withColumn("leaf", F.lit(True))
+    marked = pairs.join(leaf, "norm", "left")
+    firsts = marked.where("leaf").groupBy("number").agg(F.min("first").alias("arrival")).select("arrival")
+    others = marked.where("leaf is null").select(F.col("first").alias("arrival"))
+    bare = plain.where("bare is not null and numbers > 0").select("norm", "bare")
+    later = records.where(number.isNotNull()).join(bare, "norm").where("arrival > bare").groupBy("norm").agg(F.min("arrival").alias("arrival")).select("arrival")
+    return firsts.unionByName(others).unionByName(later).distinct()
 
 
 def resolve_customers(records: DataFrame, customers: DataFrame, record_id: str = "id", customer: str = "customer", inn: str = "inn") -> DataFrame:
@@ -73,7 +101,9 @@ def resolve_customers(records: DataFrame, customers: DataFrame, record_id: str =
 
     A record takes the customer of its normalised name (and gives it a missing tax number), else the one of its tax
     number, else it makes a new customer; new ones have the id -1 - record id. A number that several customers have means
-    the oldest: known ones by id, then new ones in order of arrival. What one record does later ones see; so records that names and tax numbers connect are folded in order, each connected group by itself.
+    the oldest: known ones by id, then new ones in order of arrival. What one record does later ones see; so the deciding
+    records that names and tax numbers connect are folded in order, each connected group by itself, and the others look
+    up what their name and number meant when they came.
     """
     from .graph import components
 
@@ -85,11 +115,24 @@ def resolve_customers(records: DataFrame, customers: DataFrame, record_id: str =
     # Names that one tax number connects hang together; names are linked to the least name of each number.
     least = every.where("inn <> ''").groupBy("inn").agg(F.min("norm").alias("m"), F.count_distinct("norm").alias("k")).where("k > 1")
     links = every.where("inn <> ''").join(least, "inn").select(F.col("m").alias("a"), F.col("norm").alias("b")).where("a <> b").distinct()
-    roots = components(links)
-    linked = roots.withColumnRenamed("node", "norm")
-    folded = every.join(linked, "norm").groupBy("root").applyInPandas(_fold, FOLDED)
-    alone = new.join(linked.select("norm"), "norm", "left_anti")
-    return _resolve_alone(alone, met).unionByName(folded)
+    linked = components(links).withColumnRenamed("node", "norm")
+    alone = _resolve_alone(new.join(linked.select("norm"), "norm", "left_anti"), met)
+    if not linked.limit(1).count():
+        return alone
+    group = cut(every.join(linked, "norm"), "connected")
+    members, known = group.where("is_record"), group.where("not is_record")
+    deciding = cut(_deciding(members, known), "deciding")
+    folded = known.unionByName(members.join(deciding, "arrival", "left_semi").select(*known.columns)).groupBy("root").applyInPandas(_fold, FOLDED)
+    folded = cut(folded, "folded")
+    names = folded.where("created is not null").select(F.col("created").alias("norm"), F.col("record_id").alias("since"), F.col("customer_id").alias("own"))
+    names = names.unionByName(known.groupBy("norm").agg(F.lit(ALWAYS).alias("since"), F.min("arrival").alias("own")))
+    # A number changes to older customers only, so that its list stays short.
+    numbers = folded.where("held is not null").groupBy(F.col("held").alias("inn")).agg(F.array_sort(F.collect_list(F.struct("since", "customer_id"))).alias("holders"))
+    others = members.join(deciding, "arrival", "left_anti").join(names, "norm", "left").join(numbers, "inn", "left")
+    holder = F.element_at(F.filter("holders", lambda h: h["since"] < F.col("arrival")), -1)["customer_id"]
+    nothing = [F.lit(None).cast("string").alias(c) for c in ANSWER[2:]]
+    looked_up = others.select(F.col("arrival").alias("record_id"), F.when(F.col("since") < F.col("arrival"), F.col("own")).otherwise(holder).alias("customer_id"), *nothing)
+    return alone.unionByName(folded.where("record_id is not null").select(*ANSWER)).unionByName(looked_up)
 
 
 def _resolve_alone(new: DataFrame, known: DataFrame) -> DataFrame:

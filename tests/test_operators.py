@@ -189,6 +189,27 @@ def test_resolve_customers(spark, records, known):
     assert {r["record_id"]: r["customer_id"] for r in out.collect()} == _naive(records, known)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_resolve_customers_like_one_after_another(spark, seed):
+    """Hot names and numbers that connect most records: only deciding ones are folded, and all agree with the rule."""
+    import random
+
+    rng = random.Random(seed)
+    names = [f"n{k}" for k in range(25)] + ["Hot"] * 8
+    inns = [str(k) for k in range(8)] + ["7"] * (3 + 8 * (seed % 2)) + [None, ""]
+    records = [(k, rng.choice(names), rng.choice(inns)) for k in range(300)]
+    records += [(300 + k, f"leaf{rng.randint(0, 40)}", "7") for k in range(120)]
+    rng.shuffle(records)
+    records = [(k, r[1], r[2]) for k, r in enumerate(records)]
+    known = [(1000, "N3", "n3", None), (1001, "N4", "n4", "7"), (1002, "Other", "other", "2"), (1003, "N5", "n5", "2")][: 4 if seed > 1 else 0]
+    old = spark.createDataFrame(known, CUSTOMER)
+    out = identity.resolve_customers(spark.createDataFrame(records, RECORD).repartition(3), old)
+    got = {r["record_id"]: r["customer_id"] for r in out.collect()}
+    assert len(got) == 420 and got == _naive(records, known)
+    made = out.where("new_name is not null")
+    assert sorted(r["customer_id"] for r in made.collect()) == sorted({c for c in got.values() if c < 0})
+
+
 def test_backfilled_inn(spark):
     out = identity.resolve_customers(spark.createDataFrame([(1, "Q", None), (2, "Q", "1"), (3, "Q", "2")], RECORD), spark.createDataFrame([], CUSTOMER))
     assert rows(out, "record_id", "new_name", "backfilled_inn") == [(1, "Q", None), (2, None, "1"), (3, None, None)]
