@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Variable
 from ..functions.handlers import apply_handler
+from ..functions.text import absolute_url
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTAINERS = "page_id long, url string, pos int, matches array<array<string>>"
@@ -158,6 +159,27 @@ def links(pages: DataFrame, selector: str = "a[href]") -> DataFrame:
     return found.select("page_id", F.posexplode(pairs).alias("pos", "l")).select("page_id", "pos", "l.href", "l.name")
 
 
+def first_link(pages: DataFrame, selector: str, base: Column | None = None) -> DataFrame:
+    """page_id, href: where a page's first link of a selector leads, absolute with a ``base``; null without one."""
+    found = pages.select("page_id", "url", "html").mapInPandas(_scan(None, [Variable("href", selector, "href")]), CONTAINERS)
+    href = F.get(F.get("matches", F.lit(0)), F.lit(0))
+    return found.select("page_id", (href if base is None else absolute_url(href, base)).alias("href"))
+
+
+def list_pages(pages: DataFrame, next_selector: str) -> DataFrame:
+    """page_id, has_next: whether a list goes on after a captured page."""
+    found = pages.select("page_id", "url", "html").mapInPandas(_scan(None, [Variable("next", next_selector)]), CONTAINERS)
+    return found.select("page_id", (F.size(F.get("matches", F.lit(0))) > 0).alias("has_next"))
+
+
+def until_last(pages: DataFrame, list_key: str, page_no: str, next_selector: str) -> DataFrame:
+    """The pages of each list up to the first one without a next page; pages beyond it were never reached."""
+    marked = pages.join(list_pages(pages, next_selector), "page_id")
+    last = marked.where("not has_next").groupBy(list_key).agg(F.min(page_no).alias("_last"))
+    kept = pages.join(last, list_key, "left").where(F.col("_last").isNull() | (F.col(page_no) <= F.col("_last")))
+    return kept.select(*pages.columns)
+
+
 def files(pages: DataFrame, selector: str = "a[href]") -> DataFrame:
     """page_id, files array<struct<name,url>>."""
     return links(pages, selector).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("name"), F.col("href").alias("url")))).alias("f")).select("page_id", F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url"))).alias("files"))

@@ -30,6 +30,20 @@ def surrogate_ids(rows: DataFrame, key: str, order: str, start: int = 1) -> Data
     return ordinal_rank(first, "_first", key, "_n").select(key, (F.col("_n") + (start - 1)).alias("surrogate_id"))
 
 
+def append_customers(customers: DataFrame, names: DataFrame, start: int, name: str = "name", order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(customers with one row more for each normalised name that they lack, name key -> customer id of all names asked).
+
+    New ids go on from ``start`` in the order of first arrival; names that are there already change nothing.
+    """
+    asked = names.withColumn("normalized_name", normalize_name(name)).where("normalized_name <> ''")
+    lacking = asked.join(customers.select("normalized_name"), "normalized_name", "left_anti")
+    first = lacking.groupBy("normalized_name").agg(F.min_by(F.col(name), order).alias("name"), F.min(order).alias(order))
+    ids = surrogate_ids(first, "normalized_name", order, start).withColumnRenamed("surrogate_id", "id")
+    added = cut(first.drop(order).join(ids, "normalized_name").select("id", "name", "normalized_name"), "customers")
+    after = customers.unionByName(added, allowMissingColumns=True)
+    return after, asked.select("normalized_name").distinct().join(after.select("normalized_name", F.col("id").alias("customer_id")), "normalized_name")
+
+
 FOLDED = "record_id long, customer_id long, new_name string, new_inn string, backfilled_inn string, created string, held string, since long"
 ANSWER = ["record_id", "customer_id", "new_name", "new_inn", "backfilled_inn"]
 ALWAYS = -(1 << 63)

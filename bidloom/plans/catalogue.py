@@ -715,3 +715,20 @@ def shown_values(spark: SparkSession, d: str) -> DataFrame:
 def schema_copy(spark: SparkSession, d: str) -> DataFrame:
     new = reads.migrated(A.cards(spark, d), "law string, id bigint, nmck double, source_platform string, score_method string, comment string", {"score_method": F.lit("none")})
     return new.join(reads.last_identity(new), F.lit(True)).select("id", F.col("nmck").isNotNull().alias("priced"), "law", "source_platform", "score_method", "last_id")  # one row
+
+
+@query("""SELECT page_id, 'https://portal.example' || regexp_extract(html, '<a href="([^"]*)"', 1) AS href, contains(html, '<footer') AS has_next FROM pages""")
+def page_navigation(spark: SparkSession, d: str) -> DataFrame:
+    """The first link of each page, absolute, and whether an element tells that the list goes on."""
+    pages = A.table(spark, d, "pages")
+    return extract.first_link(pages, "nav a[href]", F.lit("https://portal.example/")).join(extract.list_pages(pages, "body footer"), "page_id")
+
+
+@query("""WITH rec AS (SELECT o_orderkey AS id, c_custkey AS c, c_name FROM orders JOIN customer ON o_custkey = c_custkey), fresh AS (SELECT lower(c_name) AS n, min(id) AS f FROM rec WHERE c % 3 = 0 GROUP BY 1)
+    SELECT lower(c_name) AS normalized_name, CASE WHEN c % 3 <> 0 THEN c ELSE 1000000 - 1 + (SELECT count(*) FROM fresh b WHERE b.f <= fresh.f) END AS customer_id
+    FROM (SELECT DISTINCT c, c_name FROM rec) LEFT JOIN fresh ON n = lower(c_name)""")
+def append_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers that the store lacks get ids in the order of their first card; every name finds its customer."""
+    known = A.customers(spark, d).where("id % 3 <> 0").select("id", "name", "normalized_name")
+    asked = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.upper("c_name").alias("name"))
+    return identity.append_customers(known, asked, 1_000_000)[1]

@@ -23,12 +23,13 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
-def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order: str = "id", after: Callable[[DataFrame], None] | None = None, resume: tuple[Column, int] | None = None) -> StreamingQuery:
+def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order: str = "id", after: Callable[[DataFrame], None] | None = None, resume: tuple[Column, int] | None = None, period: str | None = None) -> StreamingQuery:
     """Appends the cards of each micro-batch that the store at ``store_path`` lacks; ``after`` gets them too.
 
     The store is read anew for each batch, only its key columns. A batch that is run again finds its rows there. With
     ``resume`` (now, days) a platform goes on from the day of its latest update in the store, or from so many days before
-    now where it has none; that day is read again, and the keys keep its repeats out.
+    now where it has none; that day is read again, and the keys keep its repeats out. With a ``period`` ("1 hour") passes
+    follow one another until the query is stopped, else one pass takes what there is.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -47,7 +48,8 @@ def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order:
         if after is not None:
             after(fresh)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=period) if period else out.trigger(availableNow=True)).start()
 
 
 def newer_than_store(stored: DataFrame, rows: DataFrame, now: Column, default_days: int) -> DataFrame:

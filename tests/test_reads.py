@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.functions import numbers
-from bidloom.operators import reads, scoring
+from bidloom.operators import extract, identity, reads, scoring
 from bidloom.config import ScoreConfig
 from bidloom.sources import list_urls, writers
+from bidloom.streaming import jobs as streams
 
 
 def _search(**more):
@@ -66,3 +67,30 @@ def test_existing_score_stays(spark):
     cards = spark.createDataFrame([(1, "62.01", 100.0, None, 5.0, "external"), (2, "62.01", 100.0, None, None, None)], "id int, okpd2_codes string, nmck double, deadline timestamp, score double, score_method string")
     out = scoring.default_scores(cards, F.lit(datetime(2026, 8, 5)), ScoreConfig())
     assert sorted((r["id"], r["score"], r["score_method"]) for r in out.collect()) == [(1, 5.0, "external"), (2, 90.0, "default")]
+
+
+def test_append_customers(spark):
+    known = spark.createDataFrame([(1, "A", "a", 5.0)], "id long, name string, normalized_name string, rating double")
+    asked = spark.createDataFrame([(3, "b  B"), (1, " A "), (2, "C"), (4, "B b"), (5, ""), (6, None), (7, "B B")], "id long, name string")
+    after, ids = identity.append_customers(known, asked, 10)
+    assert sorted(map(tuple, after.collect())) == [(1, "A", "a", 5.0), (10, "C", "c", None), (11, "b  B", "b b", None)]
+    assert sorted(map(tuple, ids.collect())) == [("a", 1), ("b b", 11), ("c", 10)]
+
+
+def test_list_pages(spark):
+    page = lambda more: f"<div class='x'><a class='org' href='/o/1'>O</a></div>{more}"
+    rows = [(1, "u", page("<a class='next' href='?2'>n</a>"), "l", 1), (2, "u", page(""), "l", 2), (3, "u", page(""), "l", 3), (4, "u", "<p>no link", "m", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, list string, page_no int")
+    assert sorted(map(tuple, extract.first_link(pages, "div.x a.org", F.lit("https://p.ru/")).collect()), key=repr) == [(1, "https://p.ru/o/1"), (2, "https://p.ru/o/1"), (3, "https://p.ru/o/1"), (4, None)]
+    assert sorted(r["page_id"] for r in extract.until_last(pages, "list", "page_no", "a.next").collect()) == [1, 2, 4]
+
+
+def test_passes_follow_one_another(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "p")], "id long, number string, source_platform string")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = streams.insert_new_cards(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"), period="1 second")
+    try:
+        query.processAllAvailable()
+        assert query.isActive and spark.read.parquet(str(tmp_path / "store")).count() == 1
+    finally:
+        query.stop()
