@@ -47,6 +47,7 @@ IDENTITY_TERMS = {
 PREFIXES = (4, 5, 6, 7)
 SAMPLE_ROWS = 20_000
 SLICE_ROWS = 200
+COUNTED = 50_000
 #: Found groups: most words that are looked at, terms of a group, least likeness of a word's texts to those of the group's
 #: first word, and how many times the base rate of label 1 its rate may be.
 GROUP_WORDS = 256
@@ -111,15 +112,22 @@ def _words(batches):
 
 
 def _counter(batches):
-    """In how many texts of label 1 (p) and 0 (q) a feature stands, summed up over a batch."""
-    for batch in batches:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        for part in _slices(batch):
-            for y, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                counts[y].update({f for w in words for f in features_of(w)})
-        names = list(counts[0] | counts[1])
+    """In how many texts of label 1 (p) and 0 (q) a feature stands, summed up over about COUNTED features at a time."""
+    counts: tuple[Counter, Counter] = Counter(), Counter()
+
+    def summed_up():
+        names = list(counts[0].keys() | counts[1].keys())
         p, q = (pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), p, q], ["feature", "p", "q"])
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), p, q], ["feature", "p", "q"])
+
+    for part in (p for batch in batches for p in _slices(batch)):
+        for y, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            counts[y].update({f for w in words for f in features_of(w)})
+        if len(counts[0]) + len(counts[1]) > COUNTED:
+            yield summed_up()
+    yield summed_up()
 
 
 def _together(words: list[str]):
