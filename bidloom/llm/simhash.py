@@ -411,55 +411,141 @@ def candidate_links(sketches: DataFrame) -> DataFrame:
     return tree_links(sketches, _points_of("sketch", SHARD_TARGET), SKETCH_BLOCKS, BLOCK_RADIUS, CANDIDATE_BITS, batch_points, values, "near-shards")
 
 
+def _near(a: set, b: set, similarity: float) -> bool:
+    both = len(a & b)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def jaccard_labels(sets: list[set], similarity: float, pivot: int) -> list[int]:
+    """Row numbers that are equal for sets that hang together by pairs of ``similarity``; the pivot meets all sets first,
+    and two sets that hang together already aren't compared."""
+    up = [pivot if _near(s, sets[pivot], similarity) else k for k, s in enumerate(sets)]
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    ranked = sorted(range(len(sets)), key=lambda k: len(sets[k])) if any(k != pivot for k in up) else []
+    for at, p in enumerate(ranked):
+        for q in ranked[at + 1 :]:
+            if len(sets[p]) < similarity * len(sets[q]) - 1e-9:  # larger ones still less
+                break
+            i, j = top(p), top(q)
+            if i != j and _near(sets[p], sets[q], similarity):
+                low, high = (j, i) if j == pivot else (i, j)
+                up[high] = low
+    return [top(k) for k in range(len(sets))]
+
+
 def _verifier(shingle: int, similarity: float):
+    """Of each chunk: node, the node that names what it hangs together with, and whether it is apart from the pivot."""
+
     def run(table: pa.Table) -> pa.Table:
-        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        roots, owns, nodes = (np.asarray(table.column(c)) for c in ("root", "own", "node"))
-        texts, order = table.column("text"), np.argsort(roots, kind="stable")
-        links = []
+        roots, nodes, pivots = (np.asarray(table.column(c)) for c in ("root", "node", "pivot"))
+        texts, order = table.column("text"), np.lexsort((nodes, ~pivots, roots))
+        found = [np.empty((4, 0), np.int64)]
         for group in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-            sets = [shingle_set(texts[int(k)].as_py(), shingle) for k in group]
-            up = list(range(len(group)))
-
-            def top(k: int, up=up) -> int:
-                while up[k] != k:
-                    up[k] = up[up[k]]
-                    k = up[k]
-                return k
-
-            ranked = sorted(range(len(group)), key=lambda k, sets=sets: len(sets[k]))
-            for at, p in enumerate(ranked):
-                for q in ranked[at + 1 :]:
-                    small, large = len(sets[p]), len(sets[q])
-                    if small < similarity * large - 1e-9:  # larger ones still less
-                        break
-                    if cross and owns[group[p]] == owns[group[q]] or top(p) == top(q):
-                        continue
-                    both = len(sets[p] & sets[q])
-                    if both >= similarity * (small + large - both) - 1e-9:
-                        up[top(q)] = top(p)
-                        links.append(sorted((int(nodes[group[p]]), int(nodes[group[q]]))))
+            # A pivot comes first; a whole component in one chunk has none and takes its first row.
+            to = jaccard_labels([shingle_set(texts[int(k)].as_py(), shingle) for k in group], similarity, 0)
+            has_pivot = len(group) > 0 and bool(pivots[group[0]])
+            rows = [(roots[k], nodes[k], nodes[group[t]], int(has_pivot and t != 0)) for k, t in zip(group, to, strict=True) if not pivots[k]]
+            found.append(np.array(rows, np.int64).reshape(-1, 4).T)
+        root, node, to, apart = np.concatenate(found, axis=1)
+        return pa.table({"root": root, "node": node, "to": to, "apart": apart.astype(bool)})
+
+    return run
+
+
+def _tile_verifier(shingle: int, similarity: float):
+    """Links between the rows apart from their pivot and a chunk of all rows; what hangs together already is left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        from bisect import bisect_left, bisect_right
+
+        nodes, to, left = (np.asarray(table.column(c)) for c in ("node", "to", "left"))
+        sets = [shingle_set(t.as_py(), shingle) for t in table.column("text")]
+        up = {int(k): int(k) for k in to}
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        right = sorted(np.flatnonzero(~left), key=lambda k: len(sets[k]))
+        sizes, links = [len(sets[k]) for k in right], []
+        for p in np.flatnonzero(left):
+            n = len(sets[p])
+            for q in right[bisect_left(sizes, similarity * n - 1e-9) : bisect_right(sizes, n / similarity + 1e-9)]:
+                i, j = top(int(to[p])), top(int(to[q]))
+                if i != j and _near(sets[p], sets[q], similarity):
+                    up[j] = i
+                    links.append(sorted((int(nodes[p]), int(nodes[q]))))
         found = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
+def _parts(rows_of, chars_of):
+    """Into how many chunks a component is cut."""
+    return F.greatest(F.lit(1), F.ceil(rows_of / VERIFY_ROWS), F.ceil(chars_of / VERIFY_CHARS)).cast("int")
+
+
+def pivots(rows: DataFrame, large: DataFrame, total: int) -> DataFrame:
+    """root, pivot: of each ``large`` component (root, n) the node whose first 128 bits are nearest to the bits that most of
+    the component's rows have. An original among its near copies is such a node. The choice never decides the result."""
+    heads = [F.conv(F.hex(F.substring("sketch", 4 * k + 1, 4)), 16, 10).cast("bigint").alias(f"h{k}") for k in range(4)]
+    hot, rest = counted_join(rows.select("root", "node", *heads), large.select("root", "n"), ["root"], "n", total, "inner")
+    bits = [F.sum(F.shiftright(f"h{k}", b).bitwiseAND(F.lit(1))).alias(f"s{k}_{b}") for k in range(4) for b in range(32)]
+    counts = hot.unionByName(rest).groupBy("root", "n").agg(*bits)
+    most = [sum((F.when(2 * F.col(f"s{k}_{b}") > F.col("n"), 1 << b).otherwise(0).cast("bigint") for b in range(32)), F.lit(0).cast("bigint")).alias(f"m{k}") for k in range(4)]
+    middle = cut(counts.select("root", "n", *most), "near-middles")
+    hot, rest = counted_join(rows.select("root", "node", *heads), middle, ["root"], "n", total, "inner")
+    away = sum((F.bit_count(F.col(f"h{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(1, 4)), F.bit_count(F.col("h0").bitwiseXOR(F.col("m0"))))
+    return hot.unionByName(rest).groupBy("root").agg(F.min_by("node", F.struct(away, F.col("node"))).alias("pivot"))
+
+
 def verified_links(candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a < b: links that connect what all pairs of one candidate component (node, root, text) connect whose exact Jaccard is
-    ``similarity`` or more. Large components are cut into chunks whose pairs are tiles; small ones share a task."""
+    """a, b: links that connect what all pairs of one candidate component (node, root, sketch, text) connect whose exact
+    Jaccard is ``similarity`` or more.
+
+    A large component is cut into chunks. Each chunk's rows meet the component's pivot and each other. Two rows that hang
+    together with the pivot need not meet; only those apart from it then meet all chunks, in tiles. So the work grows with
+    the component's rows times those apart from its pivot, and with its rows alone where the pivot is like them all.
+    """
     rows = cut(candidates.withColumn("size", F.length("text")), "near-candidates")
-    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / VERIFY_ROWS), F.ceil(F.sum("size") / VERIFY_CHARS))
-    sizes = rows.groupBy("root").agg(parts.cast("int").alias("parts"), F.count("*").alias("n"))
     n, chars = rows.agg(F.count("*"), F.sum("size")).first()
+    sizes = rows.groupBy("root").agg(_parts(F.count("*"), F.sum("size")).alias("parts"), F.count("*").alias("n"))
+    sizes = cut(sizes, "near-sizes")
     bundles = int(max(n / (8 * VERIFY_ROWS), (chars or 0) / (4 * VERIFY_CHARS))) + 1
-    hot, rest = counted_join(rows, sizes, ["root"], "n", n, "inner")
-    split = hot.unionByName(rest)
-    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    hot, rest = counted_join(rows.drop("sketch"), sizes, ["root"], "n", n, "inner")
+    split = hot.unionByName(rest).select("root", "node", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("own"), F.lit(False).alias("pivot"), "text")
+    large = sizes.where("parts > 1")
+    if large.limit(1).count():
+        chosen = large.join(pivots(rows, large, n), "root").select(F.col("pivot").alias("node"), "parts")
+        copies = rows.join(chosen, "node").select("root", "node", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"), F.lit(True).alias("pivot"), "text")
+        split = split.unionByName(copies)
     bundle = F.when(F.col("parts") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bundles)))
-    tiles = split.select(bundle.alias("bundle"), "root", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("bundle", "root", "node", "own", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return tiles.groupBy("bundle", "i", "j").applyInArrow(_verifier(shingle, similarity), "a long, b long")
+    first = split.withColumn("bundle", bundle).groupBy("bundle", "own").applyInArrow(_verifier(shingle, similarity), "root long, node long, to long, apart boolean")
+    first = cut(first, "near-first")
+    links = first.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    left = first.where("apart")
+    if not left.limit(1).count():
+        return links
+    # Components with rows apart from their pivot, and into how many chunks those rows are cut.
+    facts = left.join(rows.select("node", "size"), "node").groupBy("root").agg(_parts(F.count("*"), F.sum("size")).alias("left_parts"))
+    facts = cut(facts.join(sizes, "root"), "near-left")
+    hot, rest = counted_join(rows.select("root", "node", "text"), facts, ["root"], "n", n, "inner")
+    again = hot.unionByName(rest).join(first.select("node", "to", "apart"), "node")
+    own, place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("left_parts")).cast("int")
+    right = F.transform(F.sequence(F.lit(0), F.col("left_parts") - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("left")))
+    lefts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(place.alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    tiles = again.select("root", "node", "to", "text", F.explode(F.when(F.col("apart"), F.concat(right, lefts)).otherwise(right)).alias("t"))
+    tiles = tiles.select("root", "node", "to", "text", "t.*")
+    return links.unionByName(tiles.groupBy("root", "i", "j").applyInArrow(_tile_verifier(shingle, similarity), "a long, b long"))
 
 
 def near_components(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -476,7 +562,7 @@ def near_components(docs: DataFrame, shingle: int, similarity: float, id_col: st
     others = components(candidate_links(texts.select("node", "sketch")))  # all but the roots themselves
     candidates = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
     # Only here are texts dealt out, one of each sha.
-    named = candidates.join(texts.select("node", "sha"), "node")
+    named = candidates.join(texts.select("node", "sha", "sketch"), "node")
     verified = rows.groupBy("sha").agg(F.first("text").alias("text")).join(named, "sha").drop("sha")
     member = components(verified_links(verified, shingle, similarity))
     return texts.drop("sketch").join(member, "node", "left").select("sha", "first_id", "n", "copies", F.coalesce("root", "node").alias("root"))

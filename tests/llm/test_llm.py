@@ -396,6 +396,38 @@ def test_near_copies_by_jaccard(spark, docs, monkeypatch):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pivot_is_the_original(spark):
+    """The original among copies that each differ elsewhere is the pivot, and a lone component keeps its own."""
+    import xxhash
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    texts = {1 << 40: " ".join(base), 7: "quite another text of its own"}
+    for k in range(200):
+        copy = list(base)
+        for at in rng.sample(range(120), 3):
+            copy[at] = f"new{k}x{at}"
+        texts[1000 + k] = " ".join(copy)
+    sketches = [(9 if n == 7 else 1, n, bytearray(simhash.sketch(simhash.shingle_set(t, 5), xxhash.xxh64_intdigest).tobytes())) for n, t in texts.items()]
+    rows = spark.createDataFrame(sketches, "root long, node long, sketch binary")
+    large = rows.groupBy("root").count().withColumnRenamed("count", "n")
+    assert {tuple(r) for r in simhash.pivots(rows, large, len(sketches)).collect()} == {(1, 1 << 40), (9, 7)}
+
+
+@pytest.mark.parametrize("pivot", [0, 3])
+def test_jaccard_labels(pivot):
+    rng = random.Random(6)
+    sets = [set(rng.sample(range(12), rng.randrange(8, 12))) for _ in range(40)] + [set(), set(), {99}]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if near(sets[a], sets[b]) and root[a] != root[b]:
+            root = [root[a] if r == root[b] else r for r in root]
+    labels = simhash.jaccard_labels(sets, 0.8, pivot)
+    assert len(set(zip(labels, root, strict=True))) == len(set(labels)) == len(set(root))
+    assert labels[pivot] == pivot
+
+
 def test_near_copies_of_repeated_and_null_ids(spark):
     near = lambda k: " ".join(f"w{i}" for i in range(100)) + f" end{k}"
     rows = [(1, near(1)), (1, near(2)), (1, "a row of its own with another text"), (2, near(3)), (2, "one more row of its own"), (None, near(4)), (None, "x y"), (None, "X Y"), (3, "twice"), (3, "twice")]
