@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, licenses, packing, simhash, spotsigs, token_ids, toxicity, url_filter
+from . import bpe, exact_dedup, fim, html_text, licenses, online_packing, packing, phrases, simhash, spotsigs, token_ids, toxicity, url_filter
 from .common import table
 
 
@@ -67,6 +67,27 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("bigint").alias("prefix_chars"),
+        F.length("middle").cast("bigint").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_online(table(spark, sf_dir, "documents"), token_ids.vocabulary_path("byte_bpe_50k.json"), 2048, 1)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +99,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_token_ids": op9_token_ids,
     "op10_html_text": op10_html_text,
+    "op11_phrases": op11_phrases,
+    "op12_fim": op12_fim,
+    "op13_online_packing": op13_online_packing,
 }
 
 ORACLE_SQL = {
@@ -109,4 +133,21 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
     "op8_licenses": licenses.oracle_sql(),
+    "op11_phrases": phrases.oracle_sql(),
+    "op12_fim": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), numbers AS (
+            SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+            FROM drawn
+        ), formed AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM numbers
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || text[1:p] || '<S>' || text[q + 1:] || '<M>' || text[p + 1:q]
+                      ELSE '<S>' || text[q + 1:] || '<P>' || text[1:p] || '<M>' || text[p + 1:q] END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM formed""",
 }
