@@ -1,8 +1,8 @@
 """Phrase collocation mining by contiguous pattern growth (PrefixSpan over neighbouring words).
 
-Frequent words are counted first, then frequent pairs of such words. An occurrence of a frequent pair points to what stands
-to its right, as far as each further word makes a frequent pair with the one before: nothing beyond can belong to a frequent
-phrase. These projected occurrences (at most ``max_words`` words; equal ones of a slice of texts are one row with their
+Frequent words are counted first, then hashes of pairs of such words: a pair whose hash is seldom is no frequent prefix. An
+occurrence of another pair points to what stands to its right, as far as each further word makes such a pair with the one
+before: nothing beyond can belong to a frequent phrase. These projected occurrences (at most ``max_words`` words; equal ones of a slice of texts are one row with their
 number) are dealt by ranges of their prefixes and sorted, so a task owns neighbouring prefixes whole and grows each to the
 right, depth first: along sorted occurrences, the phrases open at any place are one for each length, so a task holds no
 group. A prefix with more occurrences than a task's share lies in several neighbouring tasks; each gives what it counted
@@ -30,6 +30,7 @@ from .common import cut
 MOST_BITS = 28
 BITS_PER_KEY = 16
 SLICE_BYTES = 8 << 20
+HELD_PAIRS = 1 << 21
 
 # What parts words and pieces.
 BLANKS = b" \t"
@@ -112,27 +113,23 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _mix(left * np.uint64(0xC2B2AE3D27D4EB4F) + right)
 
 
-def _places(bits: int):
-    def run(batches):
-        for batch in batches:
-            langs = batch.column("lang").dictionary_encode()
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                own = batch.filter(pa.array(langs.indices.to_numpy() == k))
-                hashes = [word_hashes(lang, own.column(c)) for c in own.schema.names if c != "lang"]
-                h = hashes[0] if len(hashes) == 1 else pair_hashes(*hashes)
-                # Spark's bitmap functions number the bits from 1.
-                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64) + 1)], ["place"])
-
-    return run
+def _hashed(batches):
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            own = batch.column("w1").filter(pa.array(langs.indices.to_numpy() == k))
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, own).view(np.int64))], ["key"])
 
 
 class Bitmap:
-    """Marks of keys by the first bits of their hashes."""
+    """Two marks for each key, by the first and the next bits of its hash."""
 
     def __init__(self, keys: DataFrame):
-        """``keys``: lang and one or two columns of words. At most 2 ** MOST_BITS bits reach the driver and the tasks."""
+        """``keys``: a column of hashes. At most 2 ** MOST_BITS bits reach the driver and the tasks."""
         self.bits = min(MOST_BITS, max(15, (BITS_PER_KEY * keys.count()).bit_length()))
-        places = keys.mapInArrow(_places(self.bits), "place long")
+        first = F.shiftrightunsigned("key", 64 - self.bits)
+        second = F.shiftrightunsigned("key", 64 - 2 * self.bits).bitwiseAND((1 << self.bits) - 1)
+        places = keys.select(F.explode(F.array(first + 1, second + 1)).alias("place"))  # Spark's bitmap functions number the bits from 1
         blocks = places.groupBy(F.bitmap_bucket_number("place").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("m")).collect()
         marks = np.zeros(1 << self.bits >> 3, np.uint8)
         for r in blocks:
@@ -140,23 +137,55 @@ class Bitmap:
             marks[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
         self.marks = keys.sparkSession.sparkContext.broadcast(marks)
 
-    def test(self, hashes: np.ndarray) -> np.ndarray:
-        place = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _marked(self, place: np.ndarray) -> np.ndarray:
+        place = place.astype(np.int64)
         return (self.marks.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        found = self._marked(hashes >> np.uint64(64 - self.bits))
+        at = np.flatnonzero(found)
+        found[at] = self._marked(hashes[at] >> np.uint64(64 - 2 * self.bits) & np.uint64((1 << self.bits) - 1))
+        return found
+
 
 # --- Pairs, projected occurrences, growth ---------------------------------------------------------------------------
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[starts], np.add.reduceat(n, starts) if len(k) else n
+
+
 def _pairs(words: Bitmap):
+    """Hashes of the pairs of frequent words with their numbers, summed up over a task as far as HELD_PAIRS go."""
+
+    def batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
     def run(batches):
+        keys, counts, held = [], [], 0
         for lang, texts in _texts(batches):
             codes, names, pieces = words_of(texts)
-            known = words.test(word_hashes(lang, names))[codes]
+            hashes = word_hashes(lang, names)
+            known = words.test(hashes)[codes]
             at = np.flatnonzero(known[:-1] & known[1:] & (pieces[:-1] == pieces[1:]))
-            keys, n = np.unique(codes[at] * len(names) + codes[at + 1], return_counts=True)
-            if len(keys):
-                yield _batch(lang, [names.take(pa.array(keys // len(names))), names.take(pa.array(keys % len(names)))], n, ["lang", "w1", "w2", "n"])
+            pairs, n = np.unique(codes[at] * len(names) + codes[at + 1], return_counts=True)
+            if not len(pairs):
+                continue
+            keys.append(pair_hashes(hashes[pairs // len(names)], hashes[pairs % len(names)]))
+            counts.append(n)
+            held += len(n)
+            if held > HELD_PAIRS:
+                k, n = _summed(keys, counts)
+                keys, counts, held = [k], [n], len(k)
+                if held > HELD_PAIRS // 2:
+                    yield batch(k, n)
+                    keys, counts, held = [], [], 0
+        if keys:
+            yield batch(*_summed(keys, counts))
 
     return run
 
@@ -173,7 +202,7 @@ def _project(words: Bitmap, pairs: Bitmap, max_words: int):
             at = np.flatnonzero(on)
             on[at] = pairs.test(pair_hashes(hashes[codes[at]], hashes[codes[at + 1]]))
             on = np.concatenate([on, np.zeros(max_words, bool)])
-            at = np.flatnonzero(on[:-1] & on[1:])
+            at = np.flatnonzero(on)
             if not len(at):
                 continue
             # Numbers of equal occurrences, one word after another.
@@ -192,7 +221,7 @@ def _project(words: Bitmap, pairs: Bitmap, max_words: int):
 
 
 def _grow(min_count: int, max_words: int):
-    """Phrases of three words and more along sorted occurrences; those at the task's edges whatever they count."""
+    """Phrases of two words and more along sorted occurrences; those at the task's edges whatever they count."""
 
     def emit(phrases: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
@@ -211,8 +240,8 @@ def _grow(min_count: int, max_words: int):
                 begins = last is None or c[0].as_py() != last[i]
                 changes.append(np.concatenate([[begins], pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)]).astype(bool))
             found: list[tuple] = []
-            changed = changes[0] | changes[1] | changes[2]
-            for size in range(3, max_words + 1):
+            changed = changes[0] | changes[1]
+            for size in range(2, max_words + 1):
                 changed = changed | changes[size]
                 starts = np.flatnonzero(changed)
                 if size in held:
@@ -256,19 +285,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     totals = counted.where("w1 is null").select("lang", "n")
     if max_words < 2:
         return single, totals
-    known = Bitmap(words.select("lang", "w1"))
-    pairs = cut(rows.mapInArrow(_pairs(known), "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2").agg(total).where(F.col("n") >= min_count), "phrase-pairs")
-    found = single.unionByName(pairs.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("size"), "n"))
-    if max_words < 3:
-        return cut(found, "phrases"), totals
+    known = Bitmap(words.select("lang", "w1").mapInArrow(_hashed, "key long"))
+    pairs = cut(rows.mapInArrow(_pairs(known), "key long, n long").groupBy("key").agg(total).where(F.col("n") >= min_count).select("key"), "phrase-pairs")
     names = [f"w{k + 1}" for k in range(max_words)]
     shape = ", ".join(["lang string", *(f"{w} string" for w in names), "n long"])
     # Written first, since dealing by ranges reads the rows twice.
-    projected = cut(rows.mapInArrow(_project(known, Bitmap(pairs.select("lang", "w1", "w2")), max_words), shape), "phrase-occurrences")
+    projected = cut(rows.mapInArrow(_project(known, Bitmap(pairs), max_words), shape), "phrase-occurrences")
     order = ["w1", "w2", "lang", *names[2:]]
     grown = projected.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_grow(min_count, max_words), "lang string, phrase string, size int, n long")
     long = grown.groupBy("lang", "phrase", "size").agg(total).where(F.col("n") >= min_count)
-    return cut(found.unionByName(long), "phrases"), totals
+    return cut(single.unionByName(long), "phrases"), totals
 
 
 # --- Scores ---------------------------------------------------------------------------------------------------------
