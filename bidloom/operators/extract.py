@@ -2,123 +2,21 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Variable
 from ..functions.handlers import apply_handler
 from ..functions.text import absolute_url
+from .selectors import Page, compile_selector, select
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTAINERS = "page_id long, url string, pos int, matches array<array<string>>"
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "text")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.text = tag, attrs, parent, [], []
-
-    def walk(self):
-        """The descendants in page order; pages may nest deeper than Python recurses."""
-        todo = self.children[::-1]
-        while todo:
-            child = todo.pop()
-            if isinstance(child, Node):
-                yield child
-                todo += child.children[::-1]
-
-    def inner_text(self) -> str:
-        out, todo = [], self.children[::-1]
-        while todo:
-            child = todo.pop()
-            if not isinstance(child, Node):
-                out.append(child)
-            elif child.tag not in ("script", "style"):
-                todo += child.children[::-1]
-        return "".join(out).strip()
-
-
-class Tree(HTMLParser):
-    """A tolerant tree: stray end tags are ignored, unclosed elements end with their parents."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and self.at.tag == tag:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse(html: str | None) -> Node:
-    tree = Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree.root
-
-
-def _simple(part: str):
-    """tag, classes, id and attribute conditions of one compound selector."""
-    import re
-
-    tag = re.match(r"[a-zA-Z][\w-]*", part)
-    conditions = re.findall(r"\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]", part)
-    bare = re.sub(r"\[[^\]]*\]", "", part)
-    return (tag[0].lower() if tag else None), set(re.findall(r"\.([\w-]+)", bare)), set(re.findall(r"#([\w-]+)", bare)), conditions
-
-
-def _fits(node: Node, want) -> bool:
-    tag, classes, ids, conditions = want
-    if tag and node.tag != tag or not classes <= set(node.attrs.get("class", "").split()) or ids and node.attrs.get("id") not in ids:
-        return False
-    for name, op, value in conditions:
-        own = node.attrs.get(name)
-        if own is None or not {"": True, "=": own == value, "*=": value in own, "^=": own.startswith(value), "$=": own.endswith(value)}[op]:
-            return False
-    return True
-
-
-def select(scope: Node, selector: str) -> list[Node]:
-    """Descendants that fit a selector: compounds of tag, .class, #id and [attribute] parted by spaces or commas. Its
-    ancestors may stand outside the scope."""
-    import re
-
-    found: list[Node] = []
-    chains = [[_simple(p) for p in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", one)] for one in re.split(r",(?![^\[]*\])", selector)]
-    for node in scope.walk():
-        for chain in chains:
-            if not chain or not _fits(node, chain[-1]):
-                continue
-            up, left = node.parent, list(chain[:-1])
-            while left and up is not None:
-                if _fits(up, left[-1]):
-                    left.pop()
-                up = up.parent
-            if not left:
-                found.append(node)
-                break
-    return found
-
-
 def _scan(container: str | None, variables: list[Variable]):
-    """Per container and variable the raw values of all matches."""
+    """Per container and variable the raw values of all matches. Selectors are compiled here, on the driver."""
+    outer = compile_selector(container) if container else None
+    inner = [(compile_selector(v.selector), v.attribute) for v in variables]
 
     def run(frames):
         import pandas as pd
@@ -126,9 +24,9 @@ def _scan(container: str | None, variables: list[Variable]):
         for frame in frames:
             rows = []
             for key, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
-                root = parse(html)
-                for pos, scope in enumerate(select(root, container) if container else [root]):
-                    values = [[(n.attrs.get(v.attribute) if v.attribute else n.inner_text()) for n in select(scope, v.selector)] for v in variables]
+                page = Page(html)
+                for pos, scope in enumerate(select(page, outer) if outer else [0]):
+                    values = [[page.attrs[n].get(a) if a else page.inner_text(n) for n in select(page, selector, scope)] for selector, a in inner]
                     rows.append((key, url, pos, values))
             yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "matches"])
 

@@ -57,98 +57,3 @@ def parse_results(raw: DataFrame, value: str = "value") -> DataFrame:
 
 def result_messages(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct("procurement_id", "score", "fit_score", "p_win", "margin", "score_method")).alias("value"))
-
-
-REPLAY = "name string, seq long, ok boolean, allowed boolean, state string, failures int"
-SUMMARY = "name string, part int, closed_open array<boolean>, closed_value array<double>, until array<double>, exit_open array<boolean>, exit_value array<double>"
-ENTRY = "name string, part int, open boolean, value double"
-RANGE_ROWS = 50_000
-
-
-def _summary(frame, threshold: int, reset: float):
-    """What a range of one name's calls makes of each state before it: (open, time of opening) or (closed, failures).
-
-    Calls are taken from the last to the first. Of the later calls only those matter that come later in time than all
-    between, for the first call after a reset time is one of these; ``late`` holds them with the state each one, as the
-    trial call, leads to at the range's end.
-    """
-    from bisect import bisect_left
-
-    import pandas as pd
-
-    late: list[tuple] = []
-
-    def opened(at: float) -> tuple:
-        k = bisect_left(late, True, key=lambda e: not e[0] - at >= reset) - 1
-        return late[k][1] if k >= 0 else (True, at)
-
-    frame = frame.sort_values("seq", kind="stable")
-    closed = [(False, float(f)) for f in range(threshold)]
-    for at, ok in zip(frame["at"][::-1], frame["ok"][::-1], strict=True):
-        failed = None if ok else opened(at)
-        trial = closed[0] if ok else failed
-        closed = [closed[0]] * threshold if ok else [*closed[1:], failed]
-        while late and late[-1][0] <= at:
-            late.pop()
-        if at == at:
-            late.append((at, trial))
-    pieces = [e for k, e in enumerate(late) if not k or e[1] != late[k - 1][1]][::-1]  # the latest call of each run of equal ends
-    row = (frame["name"].iloc[0], frame["part"].iloc[0], [c[0] for c in closed], [c[1] for c in closed], [e[0] for e in pieces], [e[1][0] for e in pieces], [e[1][1] for e in pieces])
-    return pd.DataFrame([row], columns=["name", "part", "closed_open", "closed_value", "until", "exit_open", "exit_value"])
-
-
-def replay_breaker(calls: DataFrame, failure_threshold: int = 5, reset_seconds: float = 60.0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """name, seq, ok, allowed, state, failures of every call (name, seq, at, ok) to a circuit breaker of that name.
-
-    Closed: counts failures since the last success and opens at the threshold. Open: refuses calls until the reset
-    time is over, then half-open lets one try through; success closes, failure opens again. The calls are cut into
-    ranges of ``seq``; each range of a name is summed up by itself, a name's summaries are folded in order into the
-    state before each range, and the ranges are replayed from these.
-    """
-    threshold, reset = max(1, failure_threshold), max(1.0, reset_seconds)
-
-    def summed(frame):
-        return _summary(frame, threshold, reset)
-
-    def entries(frame):
-        import pandas as pd
-
-        is_open, value, out = False, 0.0, []
-        for r in frame.sort_values("part").itertuples():
-            out.append((r.name, r.part, is_open, value))
-            if not is_open:
-                is_open, value = bool(r.closed_open[int(value)]), r.closed_value[int(value)]
-                continue
-            for k, at in enumerate(r.until):
-                if at - value >= reset:
-                    is_open, value = bool(r.exit_open[k]), r.exit_value[k]
-                    break
-        return pd.DataFrame(out, columns=["name", "part", "open", "value"])
-
-    def fold(frame, entry):
-        import pandas as pd
-
-        was_open, value = entry["open"].iloc[0], entry["value"].iloc[0]
-        state, failures, opened, out = ("open", threshold, value, []) if was_open else ("closed", int(value), 0.0, [])
-        for r in frame.sort_values("seq", kind="stable").itertuples():
-            if state == "open" and r.at - opened >= reset:
-                state = "half_open"
-            allowed = state != "open"
-            if allowed and r.ok:
-                state, failures = "closed", 0
-            elif allowed:
-                failures += state == "closed"
-                if state == "half_open" or failures >= threshold:
-                    state, opened = "open", r.at
-            out.append((r.name, r.seq, r.ok, allowed, state, failures))
-        return pd.DataFrame(out, columns=["name", "seq", "ok", "allowed", "state", "failures"])
-
-    # Only boundaries reach the driver, one for each ``range_rows`` calls.
-    parts = max(1, calls.count() // range_rows)
-    cuts = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(calls.select(F.percentile_approx("seq", cuts, max(10_000, 20 * parts)).alias("b")).first()["b"] or [])) if cuts else []
-    table = calls.sparkSession.createDataFrame([(bounds,)], "bounds array<bigint>")
-    part = F.coalesce(F.aggregate("bounds", F.lit(0), lambda n, b: n + (F.col("seq") > b).cast("int")), F.lit(0))
-    ranged = calls.select("name", "seq", "at", "ok").crossJoin(F.broadcast(table)).withColumn("part", part).drop("bounds")
-    before = ranged.groupBy("name", "part").applyInPandas(summed, SUMMARY).groupBy("name").applyInPandas(entries, ENTRY)
-    return ranged.groupBy("name", "part").cogroup(before.groupBy("name", "part")).applyInPandas(fold, REPLAY)

@@ -14,7 +14,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import alerts, codes, extract, filters, identity, jobs, metrics, ranking, reads, scoring, store
 from ..sources import adapters as A
-from ..sources import generator, list_urls, writers
+from ..sources import list_urls, writers
 from ..sources.shared import shared_folder
 from ..streaming import jobs as streams
 
@@ -399,9 +399,15 @@ def url_encode(spark: SparkSession, d: str) -> DataFrame:
     return A.cards(spark, d).select("id", T.percent_encode(F.concat_ws(" ", "url", F.concat("subject", F.lit("*~+")))).alias("encoded"))
 
 
-_PLAIN = "trim(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1))"
-for _entity, _letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
-    _PLAIN = f"regexp_replace({_PLAIN}, '&{_entity};?', '{_letter}', 'g')"
+def _unescaped(text: str) -> str:
+    """SQL of a page's text without its tags and references."""
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for entity, letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{entity};?', '{letter}', 'g')"
+    return f"trim({text})"
+
+
+_PLAIN = _unescaped("regexp_extract(html, '<{0}>([^<]*)</{0}>', 1)")
 
 
 @query(f"""SELECT page_id, {_PLAIN.format("title")} AS title, {_PLAIN.format("h1")} AS heading,
@@ -418,12 +424,40 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return extract.links(A.table(spark, d, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query()
+_ITEMS = "regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', {})"
+
+
+@query(f"""WITH items AS (SELECT page_id, url, unnest({_ITEMS.format(1)}) AS href, unnest({_ITEMS.format(2)}) AS name, generate_subscripts({_ITEMS.format(1)}, 1) - 1 AS pos FROM pages)
+    SELECT page_id, pos, {_unescaped("name")} AS name, {_unescaped("href")} AS href, CASE WHEN pos % 2 = 0 THEN {_unescaped("name")} ELSE 'even' END AS odd FROM items WHERE href <> ''""")
 def page_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Generated list pages read back: one record for each container, by the variable list."""
-    pages = generator.list_page(generator.demo_cards(spark, A.now(), 20)).select(F.col("page_no").cast("bigint").alias("page_id"), F.lit("").alias("url"), "html")
-    variables = [Variable("number", "a.card__number", handler="strip"), Variable("href", "a.card__number", attribute="href"), Variable("subject", ".card__subject", handler="strip"), Variable("nmck", ".card__price", handler="money"), Variable("published", ".card__dates", handler="pub_date")]
-    return filters.has_link(extract.extract(pages, variables, container="div.card"))
+    """One record for each container of the pages, by the variable list; selectors may name what stands around it."""
+    variables = [Variable("name", "xpath=./a", handler="strip"), Variable("href", "nav > ul a", attribute="href"), Variable("odd", "li:nth-child(odd) > a", handler="strip", default="even")]
+    rows = filters.has_link(extract.extract(A.table(spark, d, "pages"), variables, container="nav li:has(> a)"), "href")
+    return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "name", "href", "odd")
+
+
+_AD = "regexp_extract(html, '<div class=\"ad\">([^<]*)<', 1)"
+_AFTER_HEADING = "regexp_extract(html, '</h1><p>(.*?)(?:</?p>|</article>)', 1, 's')"
+
+
+@query(f"""WITH found AS (SELECT page_id, html, {_unescaped(_AFTER_HEADING)} AS lead, {_ITEMS.format(2)} AS names, {_ITEMS.format(1)} AS hrefs FROM pages)
+    SELECT page_id, lead, {_unescaped("names[3]")} AS third, {_unescaped("names[-1]")} AS last,
+        coalesce({_unescaped("names[list_position(names, 'the') + 1]")}, 'none') AS after_the,
+        CASE WHEN contains(array_to_string(hrefs, ' '), 'th') THEN {_unescaped("names[2]")} END AS second_of_th,
+        CASE WHEN contains(lower(lead), 'the') THEN {_PLAIN.format("h1")} END AS heading_of_the,
+        CASE WHEN starts_with({_PLAIN.format("title")}, 'The') THEN 'main' END AS site FROM found""".replace("list_filter(hrefs, lambda x: contains(x, 'th'))", "regexp_extract_all(array_to_string(hrefs, ' '), 'th')").replace("THEN 'main' END", "THEN trim(regexp_extract(html, '<div class=\"ad\">([^<]*)<', 1)) END"))
+def page_selectors(spark: SparkSession, d: str) -> DataFrame:
+    """Child, sibling, position and text conditions, and paths, over whole pages."""
+    variables = [
+        Variable("lead", "article > h1 + p", handler="strip"),
+        Variable("third", "nav li:nth-child(3) > a", handler="strip"),
+        Variable("last", "xpath=//nav/ul/li[last()]/a", handler="strip"),
+        Variable("after_the", "li:has(> a:text-is('the')) + li > a", handler="strip", default="none"),
+        Variable("second_of_th", "xpath=//nav[.//a[contains(@href,'th')]]//li[2]/a", handler="strip"),
+        Variable("heading_of_the", "h1:has(+ p:has-text('The'))", handler="strip"),
+        Variable("site", "xpath=//html[head/title[starts-with(., 'The')]]/body/div[@class='ad']", handler="strip"),
+    ]
+    return extract.extract(A.table(spark, d, "pages"), variables).select("page_id", *(v.name for v in variables))
 
 
 @query("SELECT page_id, CASE WHEN url LIKE 'http%://%' THEN url END AS safe_url, '&lt;' || url || '&gt;' AS escaped FROM (SELECT page_id, replace(url, '&', '&amp;') AS u2, url AS u1, CASE WHEN contains(url, '&') THEN replace(url, '&', '&amp;') ELSE url END AS url FROM pages)".replace("CASE WHEN url LIKE 'http%://%' THEN url END", "CASE WHEN u1 LIKE 'http%://%' THEN u1 END"))
@@ -464,12 +498,6 @@ def enqueue_new(spark: SparkSession, d: str) -> DataFrame:
     return jobs.enqueueable(store.insert_if_absent(scored.where("id % 2 = 0"), scored), 0.0)
 
 
-@query()
-def breaker_replay(spark: SparkSession, d: str) -> DataFrame:
-    calls = A.table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("value") < 60).alias("ok"))
-    return jobs.replay_breaker(calls.withColumn("at", F.col("us") / 1e6), 3, 60.0)
-
-
 @query("SELECT event_id, least(30.0::double, 1.0::double * pow(2, event_id % 9)) AS delay, 1.5::double * (event_id % 9 + 1) AS linear FROM events")
 def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
     attempt = F.col("event_id") % 9 + 1
@@ -545,14 +573,7 @@ def spearman_ordinal(spark: SparkSession, d: str) -> DataFrame:
     return metrics.spearman_ordinal(A.score_pairs(spark, d))
 
 
-# --- Generated rows, small functions ---------------------------------------------------------------------------------
-
-
-@query(f"""SELECT i + 1 AS id, cast(i + 1 AS varchar) AS number, 1000000.0::double + (i % 4) * 500000.0 AS nmck, [{", ".join(map(repr, CATEGORIES))}][cast(i // 4 AS int) + 1] AS category,
-    'с ' || strftime({NOW} - to_days(cast(i % 6 AS int)), '%d.%m.%Y') || ' до ' || strftime(CASE WHEN i % 5 = 0 THEN {NOW} - INTERVAL 1 DAY ELSE {NOW} + to_days(cast(3 + i % 9 AS int)) END, '%d.%m.%Y %H:%M') || ' (МСК)' AS dates
-    FROM range(20) t(i)""")
-def demo_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return generator.demo_cards(spark, A.now(), 4).select("id", "number", "nmck", "category", "dates")
+# --- Small functions -------------------------------------------------------------------------------------------------
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 100 BETWEEN 10 AND 20 THEN 'записей' WHEN event_id % 10 = 1 THEN 'запись' WHEN event_id % 10 BETWEEN 2 AND 4 THEN 'записи' ELSE 'записей' END AS word,

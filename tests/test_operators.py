@@ -253,12 +253,6 @@ def test_jobs(spark):
     assert rows(jobs.parse_results(raw), "procurement_id", "score") == [(1, 2.5)]
 
 
-def test_breaker(spark):
-    calls = [("a", 1, 0.0, False), ("a", 2, 1.0, False), ("a", 3, 2.0, True), ("a", 4, 12.0, False), ("a", 5, 13.0, True), ("a", 6, 23.0, True), ("a", 7, 24.0, False)]
-    out = jobs.replay_breaker(spark.createDataFrame(calls, "name string, seq long, at double, ok boolean"), 2, 10.0)
-    assert rows(out, "seq", "allowed", "state") == [(1, True, "closed"), (2, True, "open"), (3, False, "open"), (4, True, "open"), (5, False, "open"), (6, True, "closed"), (7, True, "closed")]
-
-
 def test_alerts(spark):
     cards = spark.createDataFrame([(1, 50.0, "<A>", " "), (2, 150.0, None, "u"), (3, None, "x", None)], "id int, score double, subject string, url string")
     hit = alerts.over_threshold(cards, 100.0)
@@ -311,31 +305,3 @@ def test_config():
     with pytest.raises(ValueError, match="platform"):
         require_platforms([])
     assert enabled_sites({"a": True, "b": False, "c": True}, []) == ([], ["a", "c"])
-
-
-def test_breaker_ranges_replay_like_one_fold(spark):
-    import random
-
-    rng, calls = random.Random(4), []
-    for name, bad in (("a", 0.5), ("b", 0.9), (None, 0.2), ("c", 0.99)):
-        at = 0.0
-        for seq in range(300):
-            at += rng.choice([0.1, 1.0, 3.0, 12.0, -4.0])  # clocks may go back
-            calls.append((name, seq, at, rng.random() > bad))
-    table = spark.createDataFrame(calls, "name string, seq long, at double, ok boolean").repartition(5)
-    want = []
-    for key in ("a", "b", None, "c"):
-        state, failures, opened = "closed", 0, 0.0
-        for name, seq, at, ok in (c for c in calls if c[0] == key):
-            state = "half_open" if state == "open" and at - opened >= 10.0 else state
-            allowed = state != "open"
-            if allowed and ok:
-                state, failures = "closed", 0
-            elif allowed:
-                failures += state == "closed"
-                if state == "half_open" or failures >= 3:
-                    state, opened = "open", at
-            want.append((name, seq, ok, allowed, state, failures))
-    for range_rows in (1_000_000, 100, 7):
-        out = [tuple(r) for r in jobs.replay_breaker(table, 3, 10.0, range_rows=range_rows).collect()]
-        assert sorted(out, key=repr) == sorted(want, key=repr)

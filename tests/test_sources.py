@@ -1,4 +1,4 @@
-"""Readers, generator and streams."""
+"""Readers and streams."""
 
 import json
 from datetime import datetime, timedelta
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.operators import jobs
-from bidloom.sources import generator, readers
+from bidloom.sources import readers
 from bidloom.streaming import jobs as streams
 
 
@@ -32,12 +32,6 @@ def test_readers(spark, tmp_path):
         readers.text_document(spark, file("c.txt", " \n"))
 
 
-def test_demo_cards(spark):
-    cards = generator.demo_cards(spark, F.to_timestamp(F.lit("2026-08-05 12:00:00")), 3)
-    assert cards.count() == 15 and cards.select("customer").distinct().count() == 15
-    assert cards.orderBy("id").first()["dates"] == "с 05.08.2026 до 04.08.2026 12:00 (МСК)"
-
-
 def test_incremental_stream(spark, tmp_path):
     base = str(tmp_path)
     rows = spark.createDataFrame([(1, "a", "p"), (2, "a", "p"), (3, "b", "p")], "id long, number string, source_platform string")
