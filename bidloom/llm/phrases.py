@@ -1,15 +1,16 @@
 """Phrase collocation mining by contiguous pattern growth (PrefixSpan over neighbouring words).
 
-Frequent words are counted first, then hashes of pairs of such words: a pair whose hash is seldom is no frequent prefix. An
-occurrence of another pair points to what stands to its right, as far as each further word makes such a pair with the one
-before: nothing beyond can belong to a frequent phrase. These projected occurrences (at most ``max_words`` words; equal ones of a slice of texts are one row with their
+Frequent words are counted first, then hashes of pairs of such words, then of triples of such pairs: where the hash is seldom
+there is no frequent prefix. An occurrence of a pair that may be frequent points to what stands to its right, as far as each
+further word ends a triple that may be frequent: nothing beyond can belong to a frequent phrase.
+These projected occurrences (at most ``max_words`` words; equal ones of a slice of texts are one row with their
 number) are dealt by ranges of their prefixes and sorted, so a task owns neighbouring prefixes whole and grows each to the
 right, depth first: along sorted occurrences, the phrases open at any place are one for each length, so a task holds no
 group. A prefix with more occurrences than a task's share lies in several neighbouring tasks; each gives what it counted
 of the phrases at its edges, and these parts are summed up.
 
-What the tasks know of frequent words and pairs is a bitmap of hashes, at most 2 ** MOST_BITS bits whatever the corpus. It
-has no false negatives; counts are of the words themselves, so false positives cost time only.
+What the tasks know of frequent words, pairs and triples is a bitmap of hashes each, at most 2 ** MOST_BITS bits whatever the
+corpus. It has no false negatives; counts are of the words themselves, so false positives cost time only.
 
 A phrase's words stand in one piece of a text. Everything is counted by language, null being ``und``. Null texts count as
 empty. Repeated rows count again. Other columns, the id included, are not read; empty tables give empty results. Scores
@@ -30,7 +31,9 @@ from .common import cut
 MOST_BITS = 28
 BITS_PER_KEY = 16
 SLICE_BYTES = 8 << 20
-HELD_PAIRS = 1 << 21
+HELD_HASHES = 1 << 21
+#: Phrases up to this length are counted by their hashes before occurrences are projected.
+SEEDED = 3
 
 # What parts words and pieces.
 BLANKS = b" \t"
@@ -159,8 +162,31 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[starts], np.add.reduceat(n, starts) if len(k) else n
 
 
-def _pairs(words: Bitmap):
-    """Hashes of the pairs of frequent words with their numbers, summed up over a task as far as HELD_PAIRS go."""
+def _grams(codes: np.ndarray, hashes: np.ndarray, pieces: np.ndarray, shorter: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of ``size`` words stand whose parts of one word less are marked in ``shorter``, and their hashes."""
+    both = shorter[:-1] & shorter[1:]
+    if size == 2:
+        both &= pieces[:-1] == pieces[1:]
+    at = np.flatnonzero(both)
+    found = hashes[codes[at]]
+    for k in range(1, size):
+        found = pair_hashes(found, hashes[codes[at + k]])
+    return at, found
+
+
+def _marked(codes: np.ndarray, hashes: np.ndarray, pieces: np.ndarray, known: list[Bitmap]) -> list[np.ndarray]:
+    """For each length that ``known`` has, which words begin a phrase that may be frequent."""
+    marks = [known[0].test(hashes)[codes]] if len(codes) else [np.zeros(0, bool)] * len(known)
+    for size in range(len(marks) + 1, len(known) + 1):
+        at, found = _grams(codes, hashes, pieces, marks[-1], size)
+        on = np.zeros(len(codes), bool)
+        on[at] = known[size - 1].test(found)
+        marks.append(on)
+    return marks
+
+
+def _count_hashes(known: list[Bitmap]):
+    """Hashes of phrases one word longer than those known, with their numbers, summed up over a task as far as HELD_HASHES go."""
 
     def batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
@@ -170,46 +196,41 @@ def _pairs(words: Bitmap):
         for lang, texts in _texts(batches):
             codes, names, pieces = words_of(texts)
             hashes = word_hashes(lang, names)
-            known = words.test(hashes)[codes]
-            at = np.flatnonzero(known[:-1] & known[1:] & (pieces[:-1] == pieces[1:]))
-            pairs, n = np.unique(codes[at] * len(names) + codes[at + 1], return_counts=True)
-            if not len(pairs):
-                continue
-            keys.append(pair_hashes(hashes[pairs // len(names)], hashes[pairs % len(names)]))
+            _, found = _grams(codes, hashes, pieces, _marked(codes, hashes, pieces, known)[-1], len(known) + 1)
+            found, n = np.unique(found, return_counts=True)
+            keys.append(found)
             counts.append(n)
             held += len(n)
-            if held > HELD_PAIRS:
+            if held > HELD_HASHES:
                 k, n = _summed(keys, counts)
                 keys, counts, held = [k], [n], len(k)
-                if held > HELD_PAIRS // 2:
+                if held > HELD_HASHES // 2:
                     yield batch(k, n)
                     keys, counts, held = [], [], 0
-        if keys:
+        if held:
             yield batch(*_summed(keys, counts))
 
     return run
 
 
-def _project(words: Bitmap, pairs: Bitmap, max_words: int):
-    """Occurrences of frequent pairs that go on to the right: w1 .. of up to max_words words, null beyond their end."""
+def _project(known: list[Bitmap], max_words: int):
+    """Occurrences of frequent pairs with what goes on to the right: w1 .. of up to max_words words, null beyond their end."""
+    depth = len(known)
 
     def run(batches):
         for lang, texts in _texts(batches):
             codes, names, pieces = words_of(texts)
-            hashes = word_hashes(lang, names)
-            known = words.test(hashes)[codes]
-            on = known[:-1] & known[1:] & (pieces[:-1] == pieces[1:])  # word i and the next may be a frequent pair
-            at = np.flatnonzero(on)
-            on[at] = pairs.test(pair_hashes(hashes[codes[at]], hashes[codes[at + 1]]))
-            on = np.concatenate([on, np.zeros(max_words, bool)])
-            at = np.flatnonzero(on)
+            marks = [np.concatenate([m, np.zeros(max_words, bool)]) for m in _marked(codes, word_hashes(lang, names), pieces, known)]
+            at = np.flatnonzero(marks[1])
             if not len(at):
                 continue
             # Numbers of equal occurrences, one word after another.
             group, alive, columns = np.zeros(len(at), np.int64), np.ones(len(at), bool), []
             for k in range(max_words):
-                if k:
-                    alive = alive & on[at + k - 1]
+                if k >= depth:  # the longest known phrase that ends here
+                    alive = alive & marks[depth - 1][at + k + 1 - depth]
+                elif k:
+                    alive = alive & marks[k][at]
                 word = np.where(alive, codes[np.minimum(at + k, len(codes) - 1)], -1)
                 columns.append(word)
                 _, group = np.unique(group * (len(names) + 1) + word + 1, return_inverse=True)
@@ -285,12 +306,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     totals = counted.where("w1 is null").select("lang", "n")
     if max_words < 2:
         return single, totals
-    known = Bitmap(words.select("lang", "w1").mapInArrow(_hashed, "key long"))
-    pairs = cut(rows.mapInArrow(_pairs(known), "key long, n long").groupBy("key").agg(total).where(F.col("n") >= min_count).select("key"), "phrase-pairs")
+    known = [Bitmap(words.select("lang", "w1").mapInArrow(_hashed, "key long"))]
+    for _ in range(2, min(SEEDED, max_words) + 1):
+        counts = rows.mapInArrow(_count_hashes(list(known)), "key long, n long").groupBy("key").agg(total)
+        known.append(Bitmap(cut(counts.where(F.col("n") >= min_count).select("key"), "phrase-seeds")))
     names = [f"w{k + 1}" for k in range(max_words)]
     shape = ", ".join(["lang string", *(f"{w} string" for w in names), "n long"])
     # Written first, since dealing by ranges reads the rows twice.
-    projected = cut(rows.mapInArrow(_project(known, Bitmap(pairs), max_words), shape), "phrase-occurrences")
+    projected = cut(rows.mapInArrow(_project(known, max_words), shape), "phrase-occurrences")
     order = ["w1", "w2", "lang", *names[2:]]
     grown = projected.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_grow(min_count, max_words), "lang string, phrase string, size int, n long")
     long = grown.groupBy("lang", "phrase", "size").agg(total).where(F.col("n") >= min_count)
