@@ -43,13 +43,89 @@ def yes_no(flag: Column | str) -> Column:
     return F.when(col(flag), "да").otherwise("нет")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _with_digits(digits: Column, exponent: Column) -> Column:
+    return F.struct(digits.alias("digits"), exponent.alias("exponent"))
+
+
+def _shorter(size: Column, found: Column) -> Column:
+    """The nearer number of one digit less, if that is still the double ``size``."""
+    low = F.floor(found["digits"] / F.lit(10).cast("decimal(2,0)")).cast("bigint")
+    is_it = lambda digits: F.concat_ws("E", digits.cast("string"), (found["exponent"] + 1).cast("string")).cast("double") == size
+    down, up = _with_digits(low, found["exponent"] + 1), _with_digits(low + 1, found["exponent"] + 1)
+    nearer_down = found["digits"] % 10 + low % 2 <= 5  # of two equally near ones the even one
+    return F.when(nearer_down & is_it(low), down).when(is_it(low + 1), up).when(is_it(low), down).otherwise(found)
+
+
+def _nearest(size: Column, found: Column) -> Column:
+    """Of numbers of so many digits the nearest one, by the whole number that a double from 2 ** 53 to 10 ** 37 is.
+
+    The cast's digits may be off by one there, and of several that mean the same double the nearest counts.
+    """
+    large = (size >= float(2**53)) & (size < 1e37)
+    bits = F.when(large, F.floor(F.log2(size)) - 53).otherwise(0).cast("int")  # at most 69: two factors that a double holds
+    half = F.floor(bits / 2).cast("int")
+    power = lambda n: F.pow(F.lit(2.0), n).cast("bigint").cast("decimal(19,0)")
+    exact = F.when(large, size / F.pow(F.lit(2.0), bits)).otherwise(0.0).cast("bigint").cast("decimal(19,0)") * (power(half) * power(bits - half)).cast("decimal(22,0)")
+    unit = F.rpad(F.lit("1"), F.when(large, F.greatest(found["exponent"], F.lit(0))).otherwise(0) + 1, "0").cast("decimal(38,0)")
+
+    def rounded(x: Column) -> Column:
+        low = F.call_function("div", x["exact"], x["unit"])
+        rest = (x["exact"] - low.cast("decimal(19,0)") * x["unit"]) * F.lit(2).cast("decimal(1,0)")
+        up = (rest > x["unit"]) | ((rest == x["unit"]) & (low % 2 == 1))
+        return F.when(large & (found["exponent"] > 0), _with_digits(low + up.cast("bigint"), found["exponent"])).otherwise(found)
+
+    return _let(F.struct(exact.cast("decimal(38,0)").alias("exact"), unit.alias("unit")), rounded)
+
+
+def _spread(found: Column) -> Column:
+    """digits * 10 ** exponent: plain from 0.0001 up to below 10 ** 16, else with an exponent."""
+    text = F.rtrim(found["digits"].cast("string"), F.lit("0"))
+    power = F.length(found["digits"].cast("string")) - 1 + found["exponent"]
+
+    def spread(x: Column) -> Column:
+        t, p = x["text"], x["power"]
+        n = F.length(t)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -p - 1), t)
+        whole = F.concat(t, F.repeat(F.lit("0"), p + 1 - n), F.lit(".0"))
+        mixed = F.concat(F.left(t, p + 1), F.lit("."), F.substring(t, p + 2, n))
+        size = F.abs(p).cast("string")
+        far = F.concat(F.left(t, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(t, 2, n))).otherwise(""), F.when(p < 0, "e-").otherwise("e+"), F.when(F.length(size) < 2, "0").otherwise(""), size)
+        return F.when((p < -4) | (p >= 16), far).when(p < 0, small).when(n <= p + 1, whole).otherwise(mixed)
+
+    return _let(F.struct(text.alias("text"), power.alias("power")), spread)
+
+
+def plain_text(c: Column | str) -> Column:
+    """A double by its fewest digits, without an exponent from 0.0001 up to below 10 ** 16: 25000000.0, 0.0001, 1e+16.
+
+    The cast to text may give a digit more than needed, and an exponent from 10 ** 7; its digits are shortened as long as
+    they still mean the same double.
+    """
+    x = col(c).cast("double")
+    size, text = F.abs(x), x.cast("string")
+    whole, fraction = F.regexp_extract(text, r"(\d+)\.(\d+)", 1), F.regexp_extract(text, r"(\d+)\.(\d+)", 2)
+    exponent = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)", 1), F.lit("")).cast("int"), F.lit(0)) - F.length(fraction)
+    found = _with_digits(F.concat(whole, fraction).cast("bigint"), exponent)
+    for _ in range(2):
+        found = _let(found, lambda f: _shorter(size, f))
+    found = _let(found, lambda f: _nearest(size, f))
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    known = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, F.concat(sign, F.lit("0.0")))
+    return known.when(x.isNotNull(), F.concat(sign, _let(found, _spread)))
+
+
 def query_text(c: Column | str, kind: str) -> Column:
     """A criterion as query text: lists are joined by commas, whole doubles lose their fraction."""
     c = col(c)
     if kind == "list":
         return F.array_join(c, ",")
     if kind == "double":
-        return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+        return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(plain_text(c))
     return c.cast("string")
 
 

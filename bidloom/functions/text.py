@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import col
+from .numbers import col, plain_text
 
 #: Unicode white space; Java's \s needs (?U) for it.
 ENDS = r"(?U)^\s+|\s+$"
@@ -95,9 +95,36 @@ def html_escape(c: Column | str) -> Column:
     return out
 
 
+def _shown(kind: Column, text: Column) -> Column:
+    """The text of a value of a type: doubles by their fewest digits, times in ISO form with six digits of a second's
+    parts or none and the offset where they have a zone, flags as True and False; blank text is null."""
+    whole = F.translate(F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text), " ", "T")
+    time = F.when(kind == "timestamp", F.concat(whole, F.date_format(F.try_to_timestamp(text), "xxx"))).otherwise(whole)
+    shown = F.when(kind.isin("double", "float"), plain_text(text)).when(F.startswith(kind, F.lit("timestamp")), time).when(kind == "boolean", F.initcap(text)).otherwise(text)
+    return F.element_at(F.transform(F.array(strip(shown)), lambda t: F.when(t != "", t)), 1)
+
+
+def as_texts(*columns: Column | str) -> Column:
+    """An array of the columns' values as text, null for blank ones; one expression serves all of them."""
+    values = [F.struct(F.typeof(col(c)).alias("kind"), col(c).cast("string").alias("text")) for c in columns]
+    return F.transform(F.array(*values), lambda v: _shown(v["kind"], v["text"]))
+
+
 def as_text(c: Column | str) -> Column:
-    """A value as text; blank text is null."""
-    return F.nullif(strip(c), F.lit(""))
+    return F.element_at(as_texts(c), 1)
+
+
+def json_texts(json: Column | str, *fields: str) -> Column:
+    """An array of a JSON object's fields as as_texts() has them; a number with a point, or beyond 64 bits, is a double."""
+
+    def own(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        double = (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
+        text = F.when(double, F.try_variant_get(v, "$", "double").cast("string")).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.struct(F.when(double, "double").when(kind == "BOOLEAN", "boolean").otherwise("string").alias("kind"), text.alias("text"))
+
+    parsed = F.transform(F.array(F.try_parse_json(col(json))), lambda v: F.array(*[F.try_variant_get(v, f"$.{f}", "variant") for f in fields]))
+    return F.transform(F.transform(F.element_at(parsed, 1), own), lambda v: _shown(v["kind"], v["text"]))
 
 
 def safe_file_url(c: Column | str) -> Column:

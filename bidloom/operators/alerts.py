@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text, html_escape
+from ..functions.text import as_texts, html_escape
 
 # Labels of a message's lines and the fields that they show.
 LINES = (
@@ -28,11 +28,14 @@ def over_threshold(cards: DataFrame, least: float) -> DataFrame:
 
 def message(columns: list[str]) -> Column:
     """Labelled lines of the fields that aren't blank, then the link; values are escaped."""
-    lines = [F.concat(F.lit(f"{label}: "), html_escape(as_text(field))) for label, field in LINES if field in columns]
+    shown = [(f"{label}: ", field) for label, field in LINES if field in columns]
+    labels = F.array(*[F.lit(label) for label, _ in shown]).cast("array<string>")
+    fields = as_texts(*[field for _, field in shown]) if shown else labels
+    lines = F.transform(fields, lambda value, i: F.concat(F.element_at(labels, i + 1), html_escape(value)))
     if "url" in columns:
-        url = html_escape(as_text("url"))
-        lines.append(F.concat(F.lit('<a href="'), url, F.lit('">'), url, F.lit("</a>")))
-    return F.array_join(F.array_compact(F.array(*lines)), "\n")
+        link = F.transform(as_texts("url"), lambda url: F.concat(F.lit('<a href="'), html_escape(url), F.lit('">'), html_escape(url), F.lit("</a>")))
+        lines = F.concat(lines, link)
+    return F.array_join(F.array_compact(lines), "\n")
 
 
 def alert_messages(cards: DataFrame) -> DataFrame:

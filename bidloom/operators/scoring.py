@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import METHOD_DEFAULT, METHOD_EXPIRED, ScoreConfig
 from ..functions.numbers import clamp, col, round_half
-from ..functions.text import first_code, strip
+from ..functions.text import as_texts, first_code, json_texts, strip
 from .codes import fit_for_codes
 
 # The fields of a description after the subject, in order, and the text for none.
@@ -53,19 +53,28 @@ def stub_scores(cards: DataFrame, config: ScoreConfig, score: str = "score") ->
 
 def description(detail_json: Column | str | None, *flat: str, subject: str = "subject") -> Column:
     """The subject, the JSON's fields, then flat fields that no line names yet, each on a line of its own."""
-    clean = lambda c: F.nullif(F.array_join(F.filter(F.split(strip(c), r"(?U)\s+"), lambda w: w != ""), " "), F.lit(""))
-    lines = [clean(F.col(subject))]
-    if detail_json is not None:
-        lines += [F.concat(F.lit(f"{f}: "), clean(F.get_json_object(col(detail_json), f"$.{f}"))) for f in DETAIL_FIELDS]
-    found = F.array_compact(F.array(*lines))
-    more = [F.struct(F.lit(f"{f}:").alias("mark"), F.concat(F.lit(f"{f}: "), clean(F.col(f))).alias("line")) for f in DETAIL_FIELDS if f in flat]
-    if more:
+    words = lambda c: F.array_join(F.filter(F.split(strip(c), r"(?U)\s+"), lambda w: w != ""), " ")
 
-        def add(lines: Column, x: Column) -> Column:
-            named = F.exists(lines, lambda line: F.contains(line, x["mark"]))
-            return F.when(x["line"].isNull() | named, lines).otherwise(F.concat(lines, F.array(x["line"])))
+    def lines(values: Column, names: list[str]) -> Column:
+        """``name: words`` of each value, null where there are none."""
+        named = F.transform(values, lambda v, i: F.struct(F.element_at(F.array(*map(F.lit, names)), i + 1).alias("name"), words(v).alias("words")))
+        return F.transform(named, lambda x: F.when(x["words"] != "", F.concat(x["name"], x["words"])))
 
-        found = F.aggregate(F.array(*more), found, add)
+    found = lines(as_texts(subject), [""])
+    if detail_json is not None:
+        own = lines(json_texts(detail_json, *DETAIL_FIELDS), [f"{f}: " for f in DETAIL_FIELDS])
+        found = F.concat(found, F.coalesce(own, F.array().cast("array<string>")))
+    found = F.array_compact(found)
+    given = [f for f in DETAIL_FIELDS if f in flat]
+    more = lines(as_texts(*given), [f"{f}: " for f in given]) if given else None
+    if more is not None:
+
+        def add(lines: Column, line: Column) -> Column:
+            mark = F.substring_index(line, " ", 1)
+            named = F.exists(lines, lambda x: F.contains(x, mark))
+            return F.when(named, lines).otherwise(F.concat(lines, F.array(line)))
+
+        found = F.aggregate(F.array_compact(more), found, add)
     return F.element_at(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(NO_DESCRIPTION)), 1)
 
 

@@ -123,13 +123,13 @@ def clamp_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PROC} SELECT id, subject || CASE WHEN id % 2 = 0 THEN chr(10) || 'customer: Заказчик ' || customer_id ELSE '' END
-        || CASE WHEN law IS NOT NULL THEN chr(10) || 'law: ' || law ELSE '' END AS description FROM proc"""
+    f"""WITH {PROC} SELECT id, subject || CASE WHEN id % 2 = 0 THEN chr(10) || 'customer: Заказчик ' || customer_id || chr(10) || 'nmck: ' || (nmck * 100)::double::varchar ELSE '' END
+        || CASE WHEN id % 2 = 1 THEN chr(10) || 'nmck: ' || nmck::double::varchar ELSE '' END || CASE WHEN law IS NOT NULL THEN chr(10) || 'law: ' || law ELSE '' END AS description FROM proc"""
 )
 def description(spark: SparkSession, d: str) -> DataFrame:
     who = F.concat(F.lit("  Заказчик \t"), F.col("customer_id").cast("string"))
-    cards = A.cards(spark, d).withColumn("detail_json", F.when(F.col("id") % 2 == 0, F.to_json(F.struct(who.alias("customer"), F.col("subject")))))
-    return cards.select("id", scoring.description("detail_json", "law").alias("description"))
+    cards = A.cards(spark, d).withColumn("detail_json", F.when(F.col("id") % 2 == 0, F.to_json(F.struct(who.alias("customer"), F.col("subject"), (F.col("nmck") * 100).alias("nmck")))))
+    return cards.select("id", scoring.description("detail_json", "law", "nmck").alias("description"))
 
 
 @query(f"""WITH {PROC}, t AS (SELECT id, length(subject || CASE WHEN law IS NOT NULL THEN chr(10) || 'law: ' || law ELSE '' END || chr(10) || 'nmck: ' || nmck) % 11 AS n FROM proc)
@@ -512,10 +512,23 @@ def threshold_alerts(spark: SparkSession, d: str) -> DataFrame:
     return alerts.over_threshold(scoring.default_scores(A.cards(spark, d), A.now(), ScoreConfig()), 200_000.0).select("id", "score")
 
 
-@query(f"""WITH {PROC} SELECT id, '№: ' || number || chr(10) || 'Площадка: ' || source_platform || chr(10) || 'Предмет: ' || subject
-    || CASE WHEN law IS NOT NULL THEN chr(10) || 'Закон: ' || law ELSE '' END || chr(10) || '<a href="' || url || '">' || url || '</a>' AS message FROM proc""")
+#: Amounts from cents to far beyond 10 ** 7, as shown in messages and urls.
+_WIDE = "(o_totalprice * [0.0000001, 1, 100, 1000.5][cast(o_orderkey % 4 AS int) + 1])::double"
+
+
+def _wide(key: str = "o_orderkey", amount: str = "o_totalprice") -> Column:
+    return F.col(amount) * F.element_at(F.array(*map(F.lit, (0.0000001, 1.0, 100.0, 1000.5))), (F.col(key) % 4).cast("int") + 1)
+
+
+@query(f"""WITH {SCORED}, wide AS (SELECT o_orderkey AS id, {_WIDE} AS amount FROM orders)
+    SELECT id, '№: ' || number || chr(10) || 'Площадка: ' || source_platform || chr(10) || 'Предмет: ' || subject
+    || CASE WHEN law IS NOT NULL THEN chr(10) || 'Закон: ' || law ELSE '' END || chr(10) || 'НМЦК: ' || amount::varchar
+    || chr(10) || 'Опубликовано: ' || strftime(publication_date, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'Срок подачи: ' || strftime(deadline, '%Y-%m-%dT%H:%M:%S')
+    || chr(10) || 'Оценка: ' || score::varchar || chr(10) || '<a href="' || url || '">' || url || '</a>' AS message FROM scored JOIN wide USING (id)""")
 def alert_messages(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.alert_messages(A.cards(spark, d).select("id", "number", "source_platform", "subject", "law", "url", F.lit("  ").alias("customer")))
+    cards = scoring.default_scores(A.cards(spark, d), A.now(), ScoreConfig())
+    shown = cards.withColumns({"nmck": _wide("id", "nmck"), "customer": F.lit("  ")})
+    return alerts.alert_messages(shown.select("id", "number", "source_platform", "subject", "law", "nmck", "publication_date", "deadline", "score", "url", "customer"))
 
 
 @query(f"""WITH {PROC}, b AS (SELECT unnest(['telegram', 'webhook']) AS backend) SELECT backend, id, CASE backend
@@ -693,9 +706,14 @@ def out_of_order(spark: SparkSession, d: str) -> DataFrame:
     return reads.out_of_order(cards, "publication_date", "page_no", "id").select("id")
 
 
-@query("""WITH r AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS fz, CASE WHEN c_custkey % 3 <> 0 THEN 1000 * c_custkey END AS low FROM customer)
-    SELECT id, 'https://portal.example/purchase/list?page=1&filter=' || url_encode('{"typeIn":{"values":[2]},"need":{"paths":["x.' || id || '."]' || CASE WHEN low IS NOT NULL THEN ',"from":' || low || '.0' ELSE '' END
-    || '},"published":"01.07.1998 15:00:00"}') || '&state=' || url_encode('{"tab":2}') || CASE WHEN fz THEN '&fz44=on' ELSE '' END || CASE WHEN low IS NOT NULL THEN '&priceFrom=' || low ELSE '' END AS list_url,
+@query(f"""WITH {_ASKED}, {_TREE_SQL},
+    node AS (SELECT q.id, pos, coalesce((SELECT k FROM tree WHERE code = q.code), (SELECT arg_max(k, length(k)) FROM tree WHERE starts_with(q.d, k))) AS n FROM q),
+    kept AS (SELECT id, n, min(pos) AS o FROM node WHERE n IS NOT NULL GROUP BY id, n),
+    ids AS (SELECT id, string_agg(n, ',' ORDER BY o) AS ids FROM kept GROUP BY id),
+    r AS (SELECT proc.id, id % 2 = 0 AS fz, CASE WHEN id % 3 <> 0 THEN {_WIDE.replace("o_totalprice", "nmck").replace("o_orderkey", "id")} END AS low, ids.ids FROM proc LEFT JOIN ids USING (id))
+    SELECT id, 'https://portal.example/purchase/list?page=1&filter=' || url_encode('{{"typeIn":{{"values":[2]}},"need":{{"paths":["x.' || id || '."]' || CASE WHEN low IS NOT NULL THEN ',"from":' || low::varchar ELSE '' END
+    || '}},"published":"01.07.1998 15:00:00","note":"a\\"b\\\\c\\n' || id || '"}}') || '&state=' || url_encode('{{"tab":2}}') || CASE WHEN fz THEN '&fz44=on' ELSE '' END
+    || CASE WHEN low IS NOT NULL THEN '&priceFrom=' || url_encode(CASE WHEN low = floor(low) THEN low::bigint::varchar ELSE low::varchar END) ELSE '' END || CASE WHEN ids IS NOT NULL THEN '&okpd2Ids=' || url_encode(ids) ELSE '' END AS list_url,
     'https://portal.example/purchase/list' AS plain_url FROM r""")
 def list_page_urls(spark: SparkSession, d: str) -> DataFrame:
     m = list_urls.Mapping
@@ -703,13 +721,16 @@ def list_page_urls(spark: SparkSession, d: str) -> DataFrame:
         {"page": "1", "filter": "{filter_json}", "state": "{state_json}"},
         {"typeIn": {"values": [2]}},
         {"tab": 2},
-        {"okpd2": m("need.paths"), "fz44": m(query_param="fz44"), "fz223": m(query_param="fz223"), "nmck_min": m("need.from", "priceFrom"), "publish_date": m("published")},
+        {"paths": m("need.paths"), "fz44": m(query_param="fz44"), "fz223": m(query_param="fz223"), "nmck_min": m("need.from", "priceFrom"), "publish_date": m("published"), "note": m("note"), "okpd2": m(query_params={"okpd2Ids": "{okpd2_ids}"})},
     )
-    k = F.col("c_custkey")
-    paths = F.array(F.concat(F.lit("x."), k.cast("string"), F.lit(".")))
-    criteria = list_urls.Criteria(cutoff=A.now(), okpd_paths=paths, fz44=k % 2 == 0, fz223=F.lit(False), nmck_min=F.when(k % 3 != 0, k * 1000.0))
+    cards = A.cards(spark, d).withColumn("codes", F.split("okpd2_codes", ","))
+    tree = _tree(spark).withColumn("node_id", T.digits("code"))
+    asked = cards.join(codes.resolve_code_ids(cards.select("id", "codes"), tree, "id"), "id")
+    k = F.col("id")
+    criteria = list_urls.Criteria(cutoff=A.now(), okpd_ids=F.col("ids"), fz44=k % 2 == 0, fz223=F.lit(False), nmck_min=F.when(k % 3 != 0, _wide("id", "nmck")))
+    terms = {"paths": lambda c, s: F.array(F.concat(F.lit("x."), k.cast("string"), F.lit("."))), "note": lambda c, s: F.concat(F.lit('a"b\\c\n'), k.cast("string"))}
     site = ("https://portal.example/", "/purchase/list")
-    return A.table(spark, d, "customer").select(k.alias("id"), list_urls.list_url(*site, search, criteria).alias("list_url"), list_urls.list_url(*site, None, criteria).alias("plain_url"))
+    return asked.select("id", list_urls.list_url(*site, search, criteria, terms).alias("list_url"), list_urls.list_url(*site, None, criteria).alias("plain_url"))
 
 
 @query(f"""WITH {PROC} SELECT id, '{{"card":{{"id":' || id || ',"law":' || coalesce('"' || law || '"', 'null') || ',"deadline":"' || strftime(deadline, '%Y-%m-%dT%H:%M:%S') || '"}},"dates":["' || strftime(update_date, '%Y-%m-%dT%H:%M:%S') || '"]}}' AS value FROM proc""")

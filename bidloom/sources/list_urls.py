@@ -12,15 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.handlers import PORTAL_ZONE
+from ..functions.numbers import plain_text
 from ..functions.text import percent_encode
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a criterion goes: a dotted path of the filter, a parameter of its own, or both."""
+    """Where a criterion goes: a dotted path of the filter, a parameter of its own, or both; or several parameters, whose
+    templates name the codes' ids and the codes: {okpd2_ids}, {okpd2_codes}."""
 
     json_path: str | None = None
     query_param: str | None = None
+    query_params: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,9 @@ class Criteria:
     cutoff: Column | None = None
     now: Column | None = None
     okpd_paths: Column | None = None
+    #: Joined by commas, as codes.resolve_code_ids() gives them; null where no code has an id.
+    okpd_ids: Column | None = None
+    okpd_codes: Column | None = None
     fz44: Column | None = None
     fz223: Column | None = None
     nmck_min: Column | None = None
@@ -67,7 +73,7 @@ TERMS: dict[str, Callable[[Criteria, Search], Column | None]] = {
     "nmck_min": lambda c, s: c.nmck_min,
     "nmck_max": lambda c, s: c.nmck_max,
 }
-LISTS, NUMBERS = frozenset(("okpd2",)), frozenset(("nmck_min", "nmck_max"))
+LISTS, NUMBERS = frozenset(("okpd2", "paths")), frozenset(("nmck_min", "nmck_max"))
 
 
 def put(tree: dict[str, Any], path: str, value: Any) -> dict[str, Any]:
@@ -76,10 +82,6 @@ def put(tree: dict[str, Any], path: str, value: Any) -> dict[str, Any]:
     return tree | {first: put(tree.get(first, {}), rest, value) if rest else value}
 
 
-def _whole(c: Column) -> Column:
-    return c == F.floor(c)
-
-
 def as_json(tree: Any) -> Column:
     """Compact JSON of nested objects whose leaves are constants or columns of JSON text; null columns leave their key out."""
     if isinstance(tree, Column):
@@ -94,15 +96,39 @@ def _json_value(key: str, c: Column) -> Column:
     if key in LISTS:
         return F.to_json(c)
     if key in NUMBERS:
-        return F.when(_whole(c), F.concat(c.cast("bigint").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
-    quoted = F.regexp_replace(c.cast("string"), r'(["\\\\])', r"\\$1")
-    return F.concat(F.lit('"'), quoted, F.lit('"'))
+        return plain_text(c)
+    quoted = F.to_json(F.array(c.cast("string")))
+    return F.when(c.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def _text_value(key: str, c: Column) -> Column:
     if key in LISTS:
         return F.array_join(c, ",")
-    return F.when(_whole(c), c.cast("bigint").cast("string")).otherwise(c.cast("string")) if key in NUMBERS else c.cast("string")
+    if key not in NUMBERS:
+        return c.cast("string")
+    whole = (c == F.floor(c)) & (F.abs(c) < float(2**63))
+    return F.when(whole, F.when(whole, c).cast("bigint").cast("string")).otherwise(plain_text(c))
+
+
+def _filled(template: str, criteria: Criteria) -> Column:
+    """A parameter's template with the codes' ids and codes; null where it needs some that aren't given."""
+    text = F.lit(template)
+    for name, value in (("{okpd2_ids}", criteria.okpd_ids), ("{okpd2_codes}", criteria.okpd_codes)):
+        if name in template:
+            text = F.replace(text, F.lit(name), F.lit(None).cast("string") if value is None else F.nullif(value, F.lit("")))
+    return text
+
+
+def _parameters(given: list[tuple[str, Column]]) -> list[Column]:
+    """name=value of each parameter where it is given first; of several values the last stands."""
+    out = []
+    for k, (name, value) in enumerate(given):
+        same = [v for n, v in given if n == name]
+        first = value.isNotNull()
+        for n, v in given[:k]:
+            first = first & v.isNull() if n == name else first
+        out.append(F.when(first, F.concat(F.lit(f"{name}="), percent_encode(F.coalesce(*reversed(same))))))
+    return out
 
 
 def query_string(search: Search, criteria: Criteria, terms: dict[str, Callable[[Criteria, Search], Column | None]] | None = None) -> Column:
@@ -110,6 +136,9 @@ def query_string(search: Search, criteria: Criteria, terms: dict[str, Callable[[
     Criteria that aren't given, and unknown ones, with a warning, are left out."""
     known, tree, extra = TERMS | (terms or {}), search.filter_json, []
     for key, mapping in search.criteria_map.items():
+        if mapping.query_params:
+            extra += [(name, _filled(template, criteria)) for name, template in mapping.query_params.items()]
+            continue
         if key not in known:
             warnings.warn(f"unknown search criterion {key}", stacklevel=2)
             continue
@@ -119,7 +148,7 @@ def query_string(search: Search, criteria: Criteria, terms: dict[str, Callable[[
         if mapping.json_path:
             tree = put(tree, mapping.json_path, _json_value(key, value))
         if mapping.query_param:
-            extra.append(F.concat(F.lit(f"{mapping.query_param}="), percent_encode(_text_value(key, value))))
+            extra.append((mapping.query_param, _text_value(key, value)))
     own = []
     for key, template in search.query_params.items():
         text = F.lit(template)
@@ -127,7 +156,7 @@ def query_string(search: Search, criteria: Criteria, terms: dict[str, Callable[[
             if name in template:
                 text = F.replace(text, F.lit(name), as_json(value))
         own.append(F.concat(F.lit(f"{key}="), percent_encode(text)))
-    return F.array_join(F.array_compact(F.array(*own, *extra)), "&") if own or extra else F.lit("")
+    return F.array_join(F.array_compact(F.array(*own, *_parameters(extra))), "&") if own or extra else F.lit("")
 
 
 def list_url(url: str, list_path: str, search: Search | None, criteria: Criteria, terms: dict | None = None) -> Column:

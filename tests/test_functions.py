@@ -112,3 +112,34 @@ def test_numbers(spark):
     assert one(spark, N.query_text("c", "double"), c=5.0) == "5"
     assert one(spark, N.query_text("c", "double"), c=5.5) == "5.5"
     assert [one(spark, N.retry_delay("c", 1, 10), c=n) for n in (1, 2, 4, 9)] == [1.0, 2.0, 8.0, 10.0]
+
+
+def test_plain_text_is_the_shortest(spark):
+    """As Python's str of floats, over all magnitudes."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    hard = [0.0, -0.0, 1e16, 1e15, 9999999999999998.0, 1e-4, 1e-5, 0.00012, 123456789012345680.0, 1e22, 1e23, 2e23, 8.41e21, 5e-324, 1.7976931348623157e308, 25000000.0, 12345678.5, 1e7, 1e-3]
+    hard += [float("nan"), float("inf"), -float("inf"), 2.2250738585072014e-308, -7.185939415176897e18, 2.0691299989270937e25, 2.0**63, 2.0**53, 1e36, 9.9e36, 1e37]
+    values = np.concatenate([rng.integers(0, 2**64, 60_000, dtype=np.uint64).view(np.float64), 10 ** rng.uniform(-8, 26, 60_000), np.round(10 ** rng.uniform(0, 14, 30_000), 2), hard])
+    out = spark.createDataFrame(pd.DataFrame({"x": values})).select("x", N.plain_text("x").alias("t")).toPandas()
+    assert out["t"].tolist() == [repr(x) for x in out["x"].tolist()]
+    assert spark.range(1).select(N.plain_text(F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_shown_values_by_type(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    rows = spark.createDataFrame(
+        [(25000000.0, True, datetime(2026, 8, 5, 9, 0), datetime(2026, 8, 5, 9, 0, 1, 500), " x ", 7, Decimal("1.50")), (None, None, None, None, " ", None, None)],
+        "d double, f boolean, t timestamp, n timestamp_ntz, s string, i long, m decimal(9,2)",
+    )
+    out = [r[0] for r in rows.select(T.as_texts(*rows.columns)).collect()]
+    assert out == [["25000000.0", "True", "2026-08-05T09:00:00+00:00", "2026-08-05T09:00:01.000500", "x", "7", "1.50"], [None] * 7]
+    assert rows.select(T.as_text("d")).first()[0] == "25000000.0"
+    told = """{"a": 1, "b": 2.50, "c": "2.5E7", "d": 2.5E7, "e": null, "f": true, "g": 12345678901234567890123.5, "h": " "}"""
+    texts = spark.range(1).select(T.json_texts(F.lit(told), *"abcdefghi")).first()[0]
+    assert texts == ["1", "2.5", "2.5E7", "25000000.0", None, "True", "1.2345678901234568e+22", None, None]
+    assert spark.range(1).select(T.json_texts(F.lit("no json"), "a")).first()[0] in (None, [None])

@@ -29,6 +29,11 @@ def test_query_string(spark):
     assert (json.loads(got["state"]), got["q"], got["codes"], got["fz44"], got["low"]) == ({"tab": 2}, "a b", "x.y.,a.b.", "on", "2.5") and "q=a%20b" in text
     bare = spark.range(1).select(list_urls.query_string(search := _search(criteria_map={"publish_date": m("dates.from"), "fz44": m(query_param="fz44"), "okpd2": m("paths")}), list_urls.Criteria(fz44=F.lit(False), okpd_paths=F.array().cast("array<string>")))).first()[0]
     assert json.loads(dict(urllib.parse.parse_qsl(bare))["filter"]) == {"typeIn": {"values": [2]}, "need": {"kept": True}} and "fz44" not in bare
+    both = _search(criteria_map={"nmck_min": m("from", "price"), "nmck_max": m("to", "price"), "okpd2": m(query_params={"okpd2Ids": "{okpd2_ids}", "okpd2IdsCodes": "{okpd2_codes}"})})
+    lit = lambda v: F.lit(v).cast("double")
+    for low, high, ids, wanted in ((25000000.0, 12345678.5, "8873937,8873938", "&price=12345678.5&okpd2Ids=8873937%2C8873938"), (0.0001, None, None, "&price=0.0001"), (None, 2e7, "", "&price=20000000")):
+        text = spark.range(1).select(list_urls.query_string(both, list_urls.Criteria(nmck_min=lit(low), nmck_max=lit(high), okpd_ids=F.lit(ids).cast("string")))).first()[0]
+        assert text.endswith(wanted) and ("25000000.0" in text) == (low == 25000000.0)
     off = list_urls.Search(enabled=False)
     assert [spark.range(1).select(list_urls.list_url("https://x.ru//", "/list", s, list_urls.Criteria())).first()[0] for s in (None, off)] == ["https://x.ru/list"] * 2
     assert search.filter_json == {"typeIn": {"values": [2]}, "need": {"kept": True}}  # not changed
