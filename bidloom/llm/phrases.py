@@ -3,8 +3,8 @@
 Frequent words are counted first, then hashes of pairs of such words, then of triples of such pairs: where the hash is seldom
 there is no frequent prefix. An occurrence of a pair that may be frequent points to what stands to its right, as far as each
 further word ends a triple that may be frequent: nothing beyond can belong to a frequent phrase.
-These projected occurrences (at most ``max_words`` words; equal ones of a slice of texts are one row with their
-number) are dealt by ranges of their prefixes and sorted, so a task owns neighbouring prefixes whole and grows each to the
+These projected occurrences (at most ``max_words`` words; equal ones become one row with their number, in each task before
+they are dealt out) are dealt by ranges of their prefixes and sorted, so a task owns neighbouring prefixes whole and grows each to the
 right, depth first: along sorted occurrences, the phrases open at any place are one for each length, so a task holds no
 group. A prefix with more occurrences than a task's share lies in several neighbouring tasks; each gives what it counted
 of the phrases at its edges, and these parts are summed up.
@@ -84,9 +84,9 @@ def _texts(batches):
             at = stop
 
 
-def _batch(lang: str, columns: list, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), *(c.cast(pa.string()) for c in columns), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names)
+def _batch(lang: str, columns: list, names: list[str]) -> pa.RecordBatch:
+    langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(columns[0]), np.int32)))
+    return pa.RecordBatch.from_arrays([langs, *(c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns)], names)
 
 
 def _count_words(batches):
@@ -94,7 +94,7 @@ def _count_words(batches):
     for lang, texts in _texts(batches):
         codes, words, _ = words_of(texts)
         counts = np.bincount(codes, minlength=len(words))
-        yield _batch(lang, [pa.concat_arrays([words, pa.nulls(1, words.type)])], np.append(counts, len(codes)), ["lang", "w1", "n"])
+        yield _batch(lang, [pa.concat_arrays([words, pa.nulls(1, words.type)]), pa.array(np.append(counts, len(codes)))], ["lang", "w1", "n"])
 
 
 # --- What is frequent, in bounded space -----------------------------------------------------------------------------
@@ -224,19 +224,14 @@ def _project(known: list[Bitmap], max_words: int):
             at = np.flatnonzero(marks[1])
             if not len(at):
                 continue
-            # Numbers of equal occurrences, one word after another.
-            group, alive, columns = np.zeros(len(at), np.int64), np.ones(len(at), bool), []
+            alive, columns = np.ones(len(at), bool), []
             for k in range(max_words):
                 if k >= depth:  # the longest known phrase that ends here
                     alive = alive & marks[depth - 1][at + k + 1 - depth]
                 elif k:
                     alive = alive & marks[k][at]
-                word = np.where(alive, codes[np.minimum(at + k, len(codes) - 1)], -1)
-                columns.append(word)
-                _, group = np.unique(group * (len(names) + 1) + word + 1, return_inverse=True)
-            _, row, n = np.unique(group, return_index=True, return_counts=True)
-            taken = [names.take(pa.array(c[row], mask=c[row] < 0)) for c in columns]
-            yield _batch(lang, taken, n, ["lang", *(f"w{k + 1}" for k in range(max_words)), "n"])
+                columns.append(names.take(pa.array(codes[np.minimum(at + k, len(codes) - 1)], mask=~alive)))
+            yield _batch(lang, columns, ["lang", *(f"w{k + 1}" for k in range(max_words))])
 
     return run
 
@@ -311,9 +306,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
         counts = rows.mapInArrow(_count_hashes(list(known)), "key long, n long").groupBy("key").agg(total)
         known.append(Bitmap(cut(counts.where(F.col("n") >= min_count).select("key"), "phrase-seeds")))
     names = [f"w{k + 1}" for k in range(max_words)]
-    shape = ", ".join(["lang string", *(f"{w} string" for w in names), "n long"])
+    shape = ", ".join(["lang string", *(f"{w} string" for w in names)])
     # Written first, since dealing by ranges reads the rows twice.
-    projected = cut(rows.mapInArrow(_project(known, max_words), shape), "phrase-occurrences")
+    projected = cut(rows.mapInArrow(_project(known, max_words), shape).groupBy("lang", *names).agg(F.count("*").alias("n")), "phrase-occurrences")
     order = ["w1", "w2", "lang", *names[2:]]
     grown = projected.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_grow(min_count, max_words), "lang string, phrase string, size int, n long")
     long = grown.groupBy("lang", "phrase", "size").agg(total).where(F.col("n") >= min_count)
