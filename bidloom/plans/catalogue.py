@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, ScoreConfig, SearchCriteria, StopConditions, Variable
@@ -15,8 +15,10 @@ from ..functions import text as T
 from ..operators import alerts, codes, extract, filters, identity, jobs, metrics, ranking, reads, scoring, store
 from ..sources import adapters as A
 from ..sources import list_urls, writers
+from ..sources.committed import CommittedTable
 from ..sources.shared import shared_folder
 from ..streaming import jobs as streams
+from ..streaming import queue as queues
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -651,6 +653,72 @@ def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/store").select("id", "source_platform")
 
 
+# --- Committed tables, the queue -------------------------------------------------------------------------------------
+
+
+def _committed_cards(spark: SparkSession, d: str) -> CommittedTable:
+    """Versions: the even cards, then the absent ones, new amounts of every fifth, without every seventh."""
+    cards = A.cards(spark, d).select("id", "number", "source_platform", "nmck")
+    table = CommittedTable.create(spark, f"{shared_folder(spark)}/bidloom/cards-{uuid.uuid4().hex}", cards.schema, ["number", "source_platform"], 16)
+    table.insert(cards.where("id % 2 = 0"), "id")
+    table.insert(cards.withColumn("nmck", F.lit(-1.0)), "id")
+    table.update(cards.where("id % 5 = 0").withColumn("nmck", F.col("nmck") + 1), ["nmck"])
+    table.delete(cards.where("id % 7 = 0").select("number", "source_platform"))
+    return table
+
+
+_VERSIONS = f"""{PROC}, v1 AS (SELECT id, number, source_platform, nmck FROM proc WHERE id % 2 = 0),
+    v4 AS (SELECT id, number, source_platform, CASE WHEN id % 5 = 0 THEN nmck + 1 WHEN id % 2 = 0 THEN nmck ELSE -1.0 END AS nmck FROM proc WHERE id % 7 <> 0)"""
+
+
+@query(f"WITH {_VERSIONS} SELECT * FROM v4")
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The last version of a committed table after inserts, updates and deletes by key."""
+    return _committed_cards(spark, d).read()
+
+
+@query(f"""WITH {_VERSIONS} SELECT CASE WHEN v1.id IS NULL THEN 'insert' WHEN v4.id IS NULL THEN 'delete' ELSE 'update' END AS kind,
+    coalesce(v1.number, v4.number) AS number, coalesce(v1.source_platform, v4.source_platform) AS source_platform, v1.nmck AS before_nmck, v4.nmck AS after_nmck
+    FROM v1 FULL JOIN v4 USING (number, source_platform) WHERE v1.id IS NULL OR v4.id IS NULL OR v1.nmck <> v4.nmck""")
+def change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """What differs between the first version and the last: inserts, deletes, and updates with both sides."""
+    changes = _committed_cards(spark, d).changes(1)
+    return changes.select("kind", "number", "source_platform", F.col("before.nmck").alias("before_nmck"), F.col("after.nmck").alias("after_nmck"))
+
+
+def _queue_sql(steps: int, n: int) -> str:
+    ctes = ["""ev AS (SELECT event_id % 3 AS batch, CASE WHEN event_type = 'error' THEN 'finish' ELSE 'enqueue' END AS kind, user_id AS id, value AS priority,
+        ts + to_days(cast(event_id % 3 AS int)) AS moment, event_id AS seq FROM events)""", "s0 AS (SELECT NULL::bigint AS id, NULL::double AS priority, NULL::timestamp AS claimed_at, NULL::double AS claimed_priority WHERE false)"]
+    for k in range(steps):
+        ctes.append(f"""e{k} AS (SELECT id, arg_max(priority, moment::varchar || lpad(seq::varchar, 20, '0')) FILTER (kind = 'enqueue') AS new, coalesce(bool_or(kind = 'finish'), false) AS finished FROM ev WHERE batch = {k} GROUP BY id),
+    n{k} AS (SELECT max(moment) AS now FROM ev WHERE batch = {k}),
+    j{k} AS (SELECT coalesce(s.id, e.id) AS id, s.priority, s.claimed_at, s.claimed_priority, new, coalesce(finished, false) AS finished, coalesce(claimed_at <= now - INTERVAL 12 HOUR, false) AS stale
+        FROM s{k} s FULL JOIN e{k} e ON s.id = e.id, n{k}),
+    a{k} AS (SELECT id, coalesce(new, CASE WHEN stale AND NOT finished THEN claimed_priority END, priority) AS priority,
+        CASE WHEN NOT (stale OR finished) THEN claimed_at END AS claimed_at, CASE WHEN NOT (stale OR finished) THEN claimed_priority END AS claimed_priority FROM j{k}),
+    c{k} AS (SELECT {k} AS batch, id, priority, row_number() OVER (ORDER BY priority DESC, 'proc:' || id DESC) AS place FROM a{k} WHERE priority IS NOT NULL QUALIFY place <= {n}),
+    s{k + 1} AS (SELECT a.id, CASE WHEN c.id IS NULL THEN a.priority END AS priority, CASE WHEN c.id IS NULL THEN a.claimed_at ELSE now END AS claimed_at, coalesce(c.priority, a.claimed_priority) AS claimed_priority
+        FROM a{k} a LEFT JOIN c{k} c ON a.id = c.id, n{k})""")
+    claims = " UNION ALL ".join(f"SELECT batch, place, id AS procurement_id, priority FROM c{k}" for k in range(steps))
+    return f"WITH {', '.join(ctes)} {claims}"
+
+
+@query(_queue_sql(3, 20))
+def queue_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The events as three micro-batches of the job queue; what each step claims, in order."""
+    base = f"{shared_folder(spark)}/bidloom/claims-{uuid.uuid4().hex}"
+    part = F.col("event_id") % 3
+    kind = F.when(F.col("event_type") == "error", "finish").otherwise("enqueue")
+    at = F.col("ts") + F.make_dt_interval(days=part.cast("int"))
+    events = A.table(spark, d, "events").select(part.alias("batch"), kind.alias("kind"), F.col("user_id").alias("procurement_id"), F.col("value").alias("priority"), at.alias("at"), F.col("event_id").alias("seq"))
+    queue = queues.open_queue(spark, f"{base}/queue", 16)
+    for k in range(3):
+        claims = queues.step(queue, events.where(F.col("batch") == k), k, 20, 43_200, 0.0)
+        place = F.row_number().over(Window.orderBy(F.desc("priority"), F.desc(jobs.member())))  # at most 20 rows
+        claims.withColumn("place", place).write.parquet(f"{base}/claims/batch={k}")
+    return spark.read.parquet(f"{base}/claims").select(F.col("batch").cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place"), "procurement_id", "priority")
+
+
 # --- Reads, list urls, output -----------------------------------------------------------------------------------------
 
 
