@@ -16,9 +16,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    roots = cut(roots, "roots")
-    if not both.limit(1).count():
+    if both.isEmpty():
         return roots
+    roots = cut(roots, "roots")
     for _ in range(most_rounds):
         seen = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         near = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))

@@ -2,51 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-BUCKET_ROWS = 5_000
-SAMPLE = 20_000
+from ..sources.shared import cut
 
+#: A part's rows are numbered by monotonically_increasing_id(): the part's number above so many bits.
+PLACE_BITS = 33
 
-def ordinal_rank(rows: DataFrame, value: str, tie: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``out``: 1, 2, ... by ``value`` then ``tie``, nulls first.
 
-    Boundaries cut the values into ordered buckets; a rank is the number of rows in the buckets before plus the place
-    in the own bucket. Where one value fills several buckets' share, its rows are cut by ranges of the tie.
+def in_parts(rows: DataFrame, order: list[Column | str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with _part and _place, written in order; one row for each part: _part, _before, the rows of the parts before).
+
+    Spark deals the rows by ranges of the whole order, ties included, so equal values spread over parts like others. There
+    are as many parts as the session's shuffle has, or fewer where they would be small.
     """
-    buckets = max(1, min(buckets, rows.count() // BUCKET_ROWS))
-    cuts = [i / buckets for i in range(1, buckets)]
-    # value and tie together are the order, so equal values still spread over buckets.
-    found = (rows.agg(F.percentile_approx(value, cuts, 10_000).alias("v")).first()["v"] or []) if cuts else []
-    bounds = sorted(set(found))
-    hot = sorted({b for b in found if found.count(b) > 2})
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(value))) if bounds else F.lit(0)
-    bucket = F.when(F.col(value).isNull(), -1).otherwise(bucket)
-    split = F.lit(0)
-    if hot:
-        some = rows.where(F.col(value).isin(hot)).select(F.col(value).alias("h"), F.col(tie).alias("t"))
-        total = max(some.count(), 1)
-        # About SAMPLE ties, by their hash; they only set how even the parts are.
-        share = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / total) * (1 << 30))
-        seen: dict = {}
-        for r in some.where(share).limit(2 * SAMPLE).collect():
-            seen.setdefault(r["h"], []).append(r["t"])
-        for h, ts in seen.items():
-            own, parts = sorted(ts), found.count(h)
-            ties = sorted({own[k * len(own) // parts] for k in range(1, parts)})
-            if not ties:
-                continue
-            split = F.when(F.col(value) == h, F.size(F.filter(F.array(*[F.lit(t) for t in ties]), lambda t: t < F.col(tie)))).otherwise(split)
-    # Within a bucket a hot value is the bucket's last: parts of it come after the rest.
-    part = F.when(F.col(value).isin(hot), split + 1).otherwise(0) if hot else F.lit(0)
-    dealt = rows.withColumns({"_b": bucket.cast("int"), "_p": part.cast("int")})
-    sizes = dealt.groupBy("_b", "_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_b", "_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row a bucket
-    inside = F.row_number().over(W.partitionBy("_b", "_p").orderBy(F.asc_nulls_first(value), tie))
-    return dealt.withColumn("_r", inside).join(F.broadcast(before.drop("_n")), ["_b", "_p"]).withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_p", "_r", "_before")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(placed, "in-order")
+    parts = placed.withColumns({"_part": F.shiftright("_at", PLACE_BITS), "_place": F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1)}).drop("_at")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    return parts, sizes.select("_part", before.alias("_before"))
+
+
+def ordinal_rank(rows: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, ... by ``value`` then ``tie``, nulls first: the rows in the parts before and the place in the own one."""
+    parts, before = in_parts(rows, [F.asc_nulls_first(value), F.asc_nulls_first(tie)])
+    ranked = parts.join(before, "_part").withColumn(out, F.col("_before") + F.col("_place") + 1)
+    return ranked.select(*rows.columns, out)
 
 
 def top_ranks(rows: DataFrame, order: list, out: str = "rank") -> DataFrame:
