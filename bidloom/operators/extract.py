@@ -72,8 +72,8 @@ def list_pages(pages: DataFrame, next_selector: str) -> DataFrame:
 
 def until_last(pages: DataFrame, list_key: str, page_no: str, next_selector: str) -> DataFrame:
     """The pages of each list up to the first one without a next page; pages beyond it were never reached."""
-    marked = pages.join(list_pages(pages, next_selector), "page_id")
-    last = marked.where("not has_next").groupBy(list_key).agg(F.min(page_no).alias("_last"))
+    marked = pages.select("page_id", list_key, page_no).join(list_pages(pages, next_selector).where("not has_next"), "page_id", "left_semi")
+    last = marked.groupBy(list_key).agg(F.min(page_no).alias("_last"))
     kept = pages.join(last, list_key, "left").where(F.col("_last").isNull() | (F.col(page_no) <= F.col("_last")))
     return kept.select(*pages.columns)
 
