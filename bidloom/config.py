@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import Any
+from dataclasses import dataclass, field, fields, is_dataclass
+from typing import Any, get_args, get_origin, get_type_hints
 
 # Coefficients by classification code, and the methods' names.
 FIT_TABLE = {"62.01": 0.9, "62.02": 0.8, "62.09": 0.7, "63.11": 0.6}
@@ -87,3 +87,22 @@ def layered(*layers: dict[str, Any] | None) -> dict[str, Any]:
 def redacted(settings: dict[str, Any], secrets: tuple[str, ...] = ("dsn", "token", "password", "secret", "api_key")) -> dict[str, Any]:
     """Settings without their secret keys, at any depth."""
     return {k: redacted(v, secrets) if isinstance(v, dict) else v for k, v in settings.items() if not any(s in k.lower() for s in secrets)}
+
+
+def from_settings(kind: type, data: dict[str, Any], path: str = "") -> Any:
+    """A settings object of nested dictionaries and lists; a key that its class doesn't have is an error, at any depth."""
+    hints, known = get_type_hints(kind), {f.name for f in fields(kind)}
+    if unknown := [f"{path}{k}" for k in data if k not in known]:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+
+    def value(hint: Any, given: Any, at: str) -> Any:
+        inner = [a for a in get_args(hint) if is_dataclass(a)]
+        if is_dataclass(hint) and isinstance(given, dict):
+            return from_settings(hint, given, f"{at}.")
+        if get_origin(hint) is tuple and isinstance(given, list | tuple):
+            return tuple(value(inner[0], v, f"{at}[{k}]") if inner else v for k, v in enumerate(given))
+        if get_origin(hint) is dict and inner and isinstance(given, dict):
+            return {k: value(inner[0], v, f"{at}.{k}") for k, v in given.items()}
+        return from_settings(inner[0], given, f"{at}.") if inner and isinstance(given, dict) else given
+
+    return kind(**{k: value(hints[k], v, f"{path}{k}") for k, v in data.items()})

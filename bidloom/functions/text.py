@@ -153,3 +153,8 @@ def bem_classes(selector: Column | str) -> Column:
 
 def first_class(selector: Column | str, default: str) -> Column:
     return F.coalesce(first_group(selector, r"\.([A-Za-z0-9_-]+)"), F.lit(default))
+
+
+def json_time(json: Column | str, field: str) -> Column:
+    """A JSON field as a time with a zone; null where it is missing or no time."""
+    return F.try_to_timestamp(F.get_json_object(col(json), f"$.{field}"))

@@ -55,11 +55,12 @@ def resolve_codes(requests: DataFrame, tree: DataFrame, id_col: str = "request_i
     nodes = tree.select(digits(F.col(code)).alias("d"), F.col(code).alias("key"), F.col(path).alias("path")).groupBy("d").agg(F.max(F.struct("key", "path")).alias("n")).select("d", "n.key", "n.path")
     asked = requests.select(id_col, F.posexplode(codes_col).alias("_at", "_code")).withColumn("_q", digits(F.col("_code"))).where("_q <> ''")
     wanted = asked.select("_q").distinct()
-    exact = wanted.join(small(nodes), F.col("_q") == F.col("d")).select("_q", F.array("path").alias("paths"), F.lit(1).alias("tier"))
+    near = small(nodes)
+    exact = wanted.join(near, F.col("_q") == F.col("d")).select("_q", F.array("path").alias("paths"), F.lit(1).alias("tier"))
     below = nodes.where(F.length("d") > 1).select("key", "path", F.explode(prefixes(F.left(F.col("d"), F.length("d") - 1))).alias("_q"))
     down = wanted.join(below, "_q").groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("key", "path"))).alias("n"))
     down = down.select("_q", F.col("n.path").alias("paths"), F.lit(2).alias("tier"))
-    up = wanted.select("_q", F.explode(prefixes(F.col("_q"))).alias("d")).join(small(nodes), "d").groupBy("_q").agg(F.max_by("path", F.length("d")).alias("p"))
+    up = wanted.select("_q", F.explode(prefixes(F.col("_q"))).alias("d")).join(near, "d").groupBy("_q").agg(F.max_by("path", F.length("d")).alias("p"))
     up = up.select("_q", F.array("p").alias("paths"), F.lit(3).alias("tier"))
     resolved = exact.unionByName(down).unionByName(up).groupBy("_q").agg(F.min_by("paths", "tier").alias("paths"))
     found = asked.join(resolved, "_q").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "paths"))).alias("n"))
@@ -69,11 +70,11 @@ def resolve_codes(requests: DataFrame, tree: DataFrame, id_col: str = "request_i
 
 def resolve_code_ids(requests: DataFrame, tree: DataFrame, id_col: str = "request_id", codes_col: str = "codes", code: str = "code", node_id: str = "node_id") -> DataFrame:
     """id, ids: exact text match, else the nearest ancestor; joined by commas without repeats; null if none."""
-    nodes = tree.select(F.col(code).alias("key"), digits(F.col(code)).alias("d"), F.col(node_id).alias("node"))
+    nodes = small(tree.select(F.col(code).alias("key"), digits(F.col(code)).alias("d"), F.col(node_id).alias("node")))
     asked = requests.select(id_col, F.posexplode(codes_col).alias("_at", "_code"))
     wanted = asked.select("_code").distinct()
-    exact = wanted.join(small(nodes), F.col("_code") == F.col("key")).groupBy("_code").agg(F.max("node").alias("exact"))
-    up = wanted.select("_code", F.explode(prefixes(digits(F.col("_code")))).alias("d")).join(small(nodes), "d").groupBy("_code").agg(F.max_by("node", F.struct(F.length("d"), F.col("node"))).alias("up"))
+    exact = wanted.join(nodes, F.col("_code") == F.col("key")).groupBy("_code").agg(F.max("node").alias("exact"))
+    up = wanted.select("_code", F.explode(prefixes(digits(F.col("_code")))).alias("d")).join(nodes, "d").groupBy("_code").agg(F.max_by("node", F.struct(F.length("d"), F.col("node"))).alias("up"))
     known = wanted.join(exact, "_code", "left").join(up, "_code", "left").select("_code", F.coalesce("exact", "up").alias("node")).where("node <> ''")
     found = asked.join(known, "_code").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "node"))).alias("n"))
     found = found.select(id_col, F.array_join(F.array_distinct(F.col("n.node")), ",").alias("ids"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,3 +121,37 @@ def prompt(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+# The headings of a model's inputs.
+COMPETENCIES, DESCRIPTION, ESTIMATE = "КОМПЕТЕНЦИИ ПОСТАВЩИКА:\n", "ОПИСАНИЕ ЗАКУПКИ:\n", "ОЦЕНКА МОДЕЛИ (JSON):\n"
+
+
+@dataclass(frozen=True)
+class Example:
+    """A card's description with the answer that a model should give; negative ones share words, not meaning."""
+
+    description: str
+    fit_score: float
+    reasoning: dict[str, str]
+    negative: bool = False
+
+
+def _message(role: str, *parts: Column | str) -> Column:
+    content = F.concat(*[F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def fit_messages(system: str, examples: list[Example], competencies: Column, description: Column) -> Column:
+    """array<struct<role, content>>: the system's text, question and answer of each example, then the card's question."""
+    out = [_message("system", system)]
+    for e in examples:
+        answer = {"reasoning": e.reasoning, "fit_score": e.fit_score}
+        out.append(_message("human", f"[{'NEGATIVE' if e.negative else 'POSITIVE'}] {DESCRIPTION}{e.description}"))
+        out.append(_message("ai", json.dumps(answer, ensure_ascii=False)))
+    return F.array(*out, _message("human", COMPETENCIES, competencies, "\n\n" + DESCRIPTION, description))
+
+
+def judge_messages(system: str, competencies: Column, description: Column, answer: Column, task: str = "") -> Column:
+    """The same for a judge, who sees the answer but no examples."""
+    return F.array(_message("system", system), _message("human", COMPETENCIES, competencies, "\n\n" + DESCRIPTION, description, "\n\n" + ESTIMATE, answer, f"\n\n{task}" if task else ""))

@@ -12,10 +12,10 @@ from ..config import CATEGORIES, ScoreConfig, SearchCriteria, StopConditions, Va
 from ..functions import handlers as H
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import alerts, codes, extract, filters, identity, jobs, metrics, ranking, reads, scoring, store
+from ..operators import alerts, codes, extract, filters, identity, jobs, metrics, paging, ranking, reads, scoring, store, trigrams
 from ..sources import adapters as A
-from ..sources import list_urls, writers
-from ..sources.committed import CommittedTable
+from ..sources import list_urls, pages, writers
+from ..sources.committed import ChangeSet, CommittedTable
 from ..sources.shared import shared_folder
 from ..streaming import jobs as streams
 from ..streaming import queue as queues
@@ -462,6 +462,37 @@ def page_selectors(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(A.table(spark, d, "pages"), variables).select("page_id", *(v.name for v in variables))
 
 
+_CAPTURED = """captured AS (SELECT page_id, regexp_extract(url, '/(en|de|fr|es)/', 1) AS list, cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS int) AS page_no, url, html,
+    regexp_extract(url, '://[^/]*[.]([a-z]+)', 1) AS platform FROM pages)"""
+
+
+def _captured(spark: SparkSession, d: str) -> str:
+    """The pages as a source by platform."""
+    url = F.col("url")
+    group = lambda pattern: F.regexp_extract(url, pattern, 1)
+    rows = A.table(spark, d, "pages").select("page_id", group("/(en|de|fr|es)/").alias("list"), F.nullif(group("/([0-9]+)"), F.lit("")).alias("page_no"), "url", "html", group(r"://[^/]*[.]([a-z]+)").alias("platform"))
+    path = f"{shared_folder(spark)}/bidloom/captured-{uuid.uuid4().hex}"
+    pages.write_pages(rows, path)
+    return path
+
+
+@query(f"""WITH {_CAPTURED}, asked AS (SELECT * FROM captured WHERE platform IN ('com', 'org') AND page_no BETWEEN 100 AND 900), last AS (SELECT list, min(page_no) AS l FROM asked WHERE NOT contains(html, '<p><b>') GROUP BY list)
+    SELECT page_id, platform, asked.list, page_no FROM asked LEFT JOIN last ON asked.list = last.list WHERE l IS NULL OR page_no <= l""")
+def captured_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of two platforms by number, each list up to the first one without a next page."""
+    asked = pages.read_pages(spark, _captured(spark, d), ["com", "org"], page_from=100, page_to=900)
+    return extract.until_last(asked, "list", "page_no", "article p > b").select("page_id", "platform", "list", "page_no")
+
+
+@query(f"WITH {_CAPTURED} SELECT page_id, platform, list, page_no, length(html) AS chars FROM captured WHERE list = 'en' AND platform = 'com'")
+def captured_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same source as a stream, filtered."""
+    path = _captured(spark, d)
+    rows = pages.stream_pages(spark, path, platforms=["com"], lists=["en"]).select("page_id", "platform", "list", "page_no", F.length("html").cast("bigint").alias("chars"))
+    rows.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}-out").awaitTermination()
+    return spark.read.parquet(f"{path}-out")
+
+
 @query("SELECT page_id, CASE WHEN url LIKE 'http%://%' THEN url END AS safe_url, '&lt;' || url || '&gt;' AS escaped FROM (SELECT page_id, replace(url, '&', '&amp;') AS u2, url AS u1, CASE WHEN contains(url, '&') THEN replace(url, '&', '&amp;') ELSE url END AS url FROM pages)".replace("CASE WHEN url LIKE 'http%://%' THEN url END", "CASE WHEN u1 LIKE 'http%://%' THEN u1 END"))
 def safe_urls(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "pages").select("page_id", T.safe_file_url("url").alias("safe_url"), T.html_escape(F.concat(F.lit("<"), "url", F.lit(">"))).alias("escaped"))
@@ -602,6 +633,15 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN strftime(CASE WHEN event_id % 2 = 0 THEN ts - INTERVAL 3 HOUR ELSE ts END, '%Y-%m-%d %H:%M:%S') END AS update_date FROM events")
+def json_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times with a zone out of JSON, null where the field is missing or no time."""
+    zone = F.when(F.col("event_id") % 2 == 0, "+03:00").otherwise("Z")
+    text = F.when(F.col("event_id") % 3 != 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)).when(F.col("event_id") % 2 == 0, "soon")
+    events = A.table(spark, d, "events").select("event_id", F.to_json(F.struct(text.alias("update_date"))).alias("detail_json"))
+    return events.select("event_id", stamp(T.json_time("detail_json", "update_date")).alias("update_date"))
+
+
 @query(f"WITH {PROC} SELECT DISTINCT source_platform FROM proc")
 def platforms(spark: SparkSession, d: str) -> DataFrame:
     return A.cards(spark, d).select("source_platform").distinct()
@@ -686,6 +726,52 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
     return changes.select("kind", "number", "source_platform", F.col("before.nmck").alias("before_nmck"), F.col("after.nmck").alias("after_nmck"))
 
 
+@query("SELECT min(event_id) AS id, cast(user_id AS varchar) AS number, event_type AS source_platform FROM events GROUP BY user_id, event_type")
+def stream_committed(spark: SparkSession, d: str) -> DataFrame:
+    """The events' file as a stream of cards into a committed table; its last version."""
+    base = f"{shared_folder(spark)}/bidloom/committed-{uuid.uuid4().hex}"
+    rows = streams.file_stream(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("number"), F.col("event_type").alias("source_platform"))
+    table = CommittedTable.create(spark, f"{base}/store", rows.schema, ["number", "source_platform"], 16)
+    streams.insert_committed(rows, table, f"{base}/checkpoint").awaitTermination()
+    return table.read()
+
+
+@query(f"""WITH {_VERSIONS} SELECT id, number, source_platform, nmck, CASE WHEN id % 5 = 0 THEN 'checked' END AS note, cast(floor(nmck) AS bigint) AS whole FROM v4""")
+def change_sets(spark: SparkSession, d: str) -> DataFrame:
+    """A committed table after ordered change sets: an added column, new values in it, a copy with a computed column."""
+    table = _committed_cards(spark, d)
+    first = ChangeSet("1", add="note string")
+    table.migrate([first])
+    table.update(A.cards(spark, d).where("id % 5 = 0").select("number", "source_platform", F.lit("checked").alias("note")), ["note"])
+    table.migrate([first, ChangeSet("2", copy=lambda rows: rows.withColumn("whole", F.floor("nmck")))])
+    return table.read()
+
+
+_OFFSETS = (0, 7_000, 14_990)
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey AS id, {o} + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET {o})" for o in _OFFSETS))
+def cursor_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of cards by falling amount at several offsets, each from the files that hold it."""
+    path = f"{shared_folder(spark)}/bidloom/pages-{uuid.uuid4().hex}"
+    paging.write_in_order(A.cards(spark, d).select("id", "nmck"), [F.desc("nmck"), F.asc("id")], path, 5_000)
+    pages = [paging.page(spark, path, offset, 20).select("id", "rank") for offset in _OFFSETS]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+@query("""WITH asked AS (SELECT c_custkey AS pattern_id, CASE (c_custkey // 100) % 4 WHEN 0 THEN right(c_name, 4) WHEN 1 THEN '_' || right(c_name, 3) WHEN 2 THEN upper(left(c_name, 8)) || '%' || right(c_name, 3) ELSE right(c_name, 2) END AS part
+        FROM customer WHERE c_custkey % 100 = 0) SELECT pattern_id, c_custkey AS id FROM asked, customer WHERE c_name ILIKE '%' || part || '%'""")
+def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns made of every hundredth customer's name, against all names, through the index of substrings."""
+    path = f"{shared_folder(spark)}/bidloom/trigrams-{uuid.uuid4().hex}"
+    names = A.customers(spark, d).select("id", "name")
+    trigrams.build_index(names, "id", "name", path)
+    name, kind = F.col("name"), F.floor(F.col("id") / 100) % 4
+    part = F.when(kind == 0, F.right(name, F.lit(4))).when(kind == 1, F.concat(F.lit("_"), F.right(name, F.lit(3)))).when(kind == 2, F.concat(F.upper(F.left(name, F.lit(8))), F.lit("%"), F.right(name, F.lit(3)))).otherwise(F.right(name, F.lit(2)))
+    patterns = names.where("id % 100 = 0").select(F.col("id").alias("pattern_id"), trigrams.containing(part).alias("pattern"))
+    return trigrams.search(names, patterns, path, "id", "name").select("pattern_id", "id")
+
+
 def _queue_sql(steps: int, n: int) -> str:
     ctes = ["""ev AS (SELECT event_id % 3 AS batch, CASE WHEN event_type = 'error' THEN 'finish' ELSE 'enqueue' END AS kind, user_id AS id, value AS priority,
         ts + to_days(cast(event_id % 3 AS int)) AS moment, event_id AS seq FROM events)""", "s0 AS (SELECT NULL::bigint AS id, NULL::double AS priority, NULL::timestamp AS claimed_at, NULL::double AS claimed_priority WHERE false)"]

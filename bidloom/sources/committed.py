@@ -18,11 +18,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,6 +46,17 @@ class Commit:
     touched: tuple[int, ...] = ()
     rewritten: bool = False
     zones: tuple[str, ...] = ()
+    applied: tuple[str, ...] = ()  # the change sets that made the schema
+
+
+@dataclass(frozen=True)
+class ChangeSet:
+    """One step of a schema's history: columns to add (DDL), null in the rows that are there, or a copy of all rows into
+    other columns, which must keep the keys."""
+
+    id: str
+    add: str | None = None
+    copy: Callable[[DataFrame], DataFrame] | None = None
 
 
 class _Folder:
@@ -111,7 +121,7 @@ class CommittedTable:
 
     def commit(self, version: int | None = None) -> Commit:
         known = json.loads(self.folder.read(self._name(self.versions()[-1] if version is None else version)))
-        return Commit(**known | {"keys": tuple(known["keys"]), "touched": tuple(known["touched"]), "zones": tuple(known["zones"])})
+        return Commit(**known | {"keys": tuple(known["keys"]), "touched": tuple(known["touched"]), "zones": tuple(known["zones"]), "applied": tuple(known["applied"])})
 
     # --- Reading ------------------------------------------------------------------------------------------------------
 
@@ -170,7 +180,9 @@ class CommittedTable:
         manifest = f"manifests/{before.version + 1:020d}-{uuid.uuid4().hex}"
         old.unionByName(new).coalesce(1 + before.buckets // 10_000).write.parquet(f"{self.path}/{manifest}")
         writers = before.writers | ({writer: batch} if writer is not None else {})
-        after = Commit(before.version + 1, before.schema, before.keys, before.buckets, manifest, writers, tuple(touched), replaced is not None, before.zones)
+        return self._commit(replace(before, version=before.version + 1, manifest=manifest, writers=writers, touched=tuple(touched), rewritten=replaced is not None))
+
+    def _commit(self, after: Commit) -> Commit:
         if not self.folder.put(self._name(after.version), json.dumps(after.__dict__)):
             raise CommitConflict(f"version {after.version} of {self.path} is there already")
         return after
@@ -196,8 +208,7 @@ class CommittedTable:
         if self._done(before, writer, batch):
             return before, self._rows(before, [])
         keyed = rows.select(*names, F.xxhash64(*before.keys).alias(HASH), self.bucket(before).alias(BUCKET))
-        first = W.partitionBy(*before.keys).orderBy(*([order] if order else []), F.xxhash64(*names))
-        own = cut(keyed.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k"), "incoming")
+        own = cut(_one_each(keyed, before.keys, F.min_by, order), "incoming")
         touched = sorted(r[0] for r in own.select(BUCKET).distinct().collect())
         known = self._rows(before, self.files(before, touched), True).select(HASH).distinct()
         maybe = cut(own.join(known, HASH, "left_semi").select(*before.keys, BUCKET), "known-hashes")
@@ -217,8 +228,7 @@ class CommittedTable:
 
         def combine(old: DataFrame, new: DataFrame) -> DataFrame:
             keys = self.commit().keys
-            last = W.partitionBy(*keys).orderBy(*([F.desc(order)] if order else []), F.xxhash64(*old.columns))
-            one = new.withColumn("_k", F.row_number().over(last)).where("_k = 1").select(*old.columns)
+            one = _one_each(new, keys, F.max_by, order).select(*old.columns)
             return _null_safe(old, one, keys, "left_anti").unionByName(one)
 
         return self.merge(rows, combine, writer, batch)
@@ -244,12 +254,37 @@ class CommittedTable:
         many = sorted(r["bucket"] for r in self.manifest(before).groupBy("bucket").count().where(F.col("count") > most_files).collect())
         return self._publish(before, self._rows(before, self.files(before, many)), many, many, None, 0) if many else before
 
+    def migrate(self, sets: list[ChangeSet]) -> Commit:
+        """Applies the change sets that the table doesn't have yet, in order, a version each; those it has must be the first.
+
+        Added columns are a commit without data: files that lack a column have nulls there.
+        """
+        commit = self.commit()
+        if tuple(s.id for s in sets[: len(commit.applied)]) != commit.applied:
+            raise ValueError(f"the table has {commit.applied}, which aren't the first of the change sets")
+        for one in sets[len(commit.applied) :]:
+            shape, applied = StructType.fromJson(json.loads(commit.schema)), (*commit.applied, one.id)
+            if one.add is not None:
+                for f in StructType.fromDDL(one.add).fields:
+                    if f.name in shape.fieldNames():
+                        raise ValueError(f"column {f.name} is there already")
+                    shape = shape.add(f.name, f.dataType)
+                commit = self._commit(replace(commit, version=commit.version + 1, schema=shape.json(), applied=applied, touched=(), rewritten=False))
+            if one.copy is not None:
+                rows = one.copy(self._rows(commit, self.files(commit)))
+                if missing := [k for k in (*commit.keys, *commit.zones) if k not in rows.columns]:
+                    raise ValueError(f"{one.id} loses {missing}")
+                every = list(range(commit.buckets))
+                commit = self._publish(replace(commit, schema=rows.schema.json(), applied=applied), rows, every, every, None, 0)
+        return commit
+
     # --- Change feed --------------------------------------------------------------------------------------------------
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """kind (insert, update, delete), keys, before and after of each row that differs between two versions.
 
-        Files that both versions have hold no change and aren't read. ``before`` and ``after`` are structs of all columns.
+        Files that both versions have hold no change and aren't read. ``before`` and ``after`` are structs of the later version's
+        columns; what the earlier one lacks is null there.
         """
         old, new = self.commit(since), self.commit(until)
         one, other = self.manifest(old).select("file"), self.manifest(new).select("file")
@@ -258,7 +293,7 @@ class CommittedTable:
         names = StructType.fromJson(json.loads(new.schema)).fieldNames()
         side = lambda commit, files, alias: self._rows(commit, files).select(*[F.col(k).alias(f"{alias}_{k}") for k in new.keys], F.struct(*names).alias(alias))
         same = [F.col(f"before_{k}").eqNullSafe(F.col(f"after_{k}")) for k in new.keys]
-        both = side(old, gone, "before").join(side(new, come, "after"), same, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+        both = side(replace(old, schema=new.schema), gone, "before").join(side(new, come, "after"), same, "full").where(~F.col("before").eqNullSafe(F.col("after")))
         kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
         key = [F.when(F.col("before").isNull(), F.col(f"after_{k}")).otherwise(F.col(f"before_{k}")).alias(k) for k in new.keys]
         return both.select(kind.alias("kind"), *key, "before", "after")
@@ -276,6 +311,12 @@ class CommittedTable:
         return commits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _one_each(rows: DataFrame, keys: tuple[str, ...], pick: Callable[[Column, Column], Column], order: str | None) -> DataFrame:
+    """A row for each key, the first or last by ``order``: an aggregate, so that a key with very many rows is no matter."""
+    place = F.struct(*([F.col(order)] if order else []), F.xxhash64(*rows.columns))
+    return rows.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(pick(F.struct(*rows.columns), place).alias("_r")).select("_r.*")
+
+
 def _seconds(commit: Commit) -> list[Column]:
     """The zones' columns as numbers, times as seconds."""
     kinds = {f.name: f.dataType.typeName() for f in StructType.fromJson(json.loads(commit.schema))}

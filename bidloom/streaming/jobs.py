@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.jobs import parse_results
 from ..operators.store import new_cards, watermarks
+from ..sources.committed import CommittedTable
 from ..sources.shared import cut
 
 
@@ -52,6 +53,21 @@ def insert_new_cards(stream: DataFrame, store_path: str, checkpoint: str, order:
     return (out.trigger(processingTime=period) if period else out.trigger(availableNow=True)).start()
 
 
+def insert_committed(stream: DataFrame, store: CommittedTable, checkpoint: str, order: str = "id", after: Callable[[DataFrame], None] | None = None, period: str | None = None, compact_files: int = 8) -> StreamingQuery:
+    """insert_new_cards() into a committed table: a micro-batch reads the key hashes of the buckets that its keys fall in,
+    and appends in one commit that bears its number; run again it adds nothing, and ``after`` gets no row twice in that case.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        _, fresh = store.insert(rows, order, "inserts", batch_id)
+        if after is not None:
+            after(fresh)
+        store.compact(compact_files)
+
+    out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=period) if period else out.trigger(availableNow=True)).start()
+
+
 def newer_than_store(stored: DataFrame, rows: DataFrame, now: Column, default_days: int) -> DataFrame:
     """The rows of each platform from the day of its watermark on; rows without an update time stay."""
     marks = watermarks(stored, rows.select("source_platform").distinct(), now, default_days).withColumnRenamed("watermark", "_mark")

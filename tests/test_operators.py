@@ -230,13 +230,20 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_ordinal_rank(spark, hot, monkeypatch):
-    monkeypatch.setattr(ranking, "BUCKET_ROWS", 20)
+def test_ordinal_rank(spark, hot):
     data = [(i, float(7 if hot and i % 3 else (i * 37) % 11)) for i in range(500)] + [(1000, None)]
     out = ranking.ordinal_rank(spark.createDataFrame(data, "i int, v double"), "v", "i", "r")
     wanted = [i for i, _ in sorted(data, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))]
     assert [r["i"] for r in sorted(out.collect(), key=lambda r: r["r"])] == wanted
-    assert sorted(r["r"] for r in out.collect()) == list(range(1, 502))
+    assert sorted(r["r"] for r in out.collect()) == list(range(1, 502)) and out.columns == ["i", "v", "r"]
+    assert ranking.ordinal_rank(spark.createDataFrame([], "i int, v double"), "v", "i", "r").count() == 0
+
+
+def test_ranks_of_a_hot_value_are_dealt_evenly(spark):
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 100).otherwise(7).alias("v"))
+    parts, before = ranking.in_parts(rows.repartition(8), ["v", "id"])
+    sizes = sorted(r["count"] for r in parts.groupBy("_part").count().collect())
+    assert before.count() == len(sizes) and sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
 def test_jobs(spark):
@@ -305,3 +312,38 @@ def test_config():
     with pytest.raises(ValueError, match="platform"):
         require_platforms([])
     assert enabled_sites({"a": True, "b": False, "c": True}, []) == ([], ["a", "c"])
+
+
+def test_unknown_settings_are_rejected():
+    from bidloom.config import Platform, from_settings
+
+    given = {"id": "a", "url": "u", "list_variables": [{"name": "n", "selector": "a"}]}
+    assert from_settings(Platform, given) == Platform("a", "u", list_variables=(Variable("n", "a"),))
+    for bad, where in (({**given, "urls": 1}, "urls"), ({**given, "list_variables": [{"name": "n", "selektor": "a"}]}, r"list_variables\[0\]\.selektor")):
+        with pytest.raises(ValueError, match=where):
+            from_settings(Platform, bad)
+    assert from_settings(ScoreConfig, {"fit_table": {"62": 1.0}}).fit_table == {"62": 1.0}
+
+
+def test_backends_can_be_added(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "BACKENDS", dict(alerts.BACKENDS))
+    cards = spark.createDataFrame([(1, "a", 25000000.0)], "id int, subject string, nmck double")
+    alerts.register_backend("mail", lambda columns: F.concat(F.lit("new: "), F.col("subject")))
+    out = {r["backend"]: r["payload"] for r in alerts.outbox(cards, ["mail", "telegram", "other", "mail"]).collect()}
+    assert out == {"mail": "new: a", "telegram": "Предмет: a\nНМЦК: 25000000.0"}
+    assert alerts.active_backends(["mail", "webhook", "none"], {"mail": {"enabled": True}, "webhook": {"enabled": False}}) == ["mail"]
+    assert alerts.active_backends("max", {}) == []
+    with pytest.raises(ValueError):
+        alerts.register_backend("none", lambda columns: F.lit(""))
+
+
+def test_messages_with_examples(spark):
+    examples = [scoring.Example("Один", 9.0, {"a": 'b "c"'}), scoring.Example("Два", 1.5, {}, negative=True)]
+    rows_ = spark.createDataFrame([("Д1",), (None,)], "d string")
+    first, second = [r[0] for r in rows_.select(scoring.fit_messages("S", examples, F.lit("К"), F.col("d"))).collect()]
+    assert [m["role"] for m in first] == ["system", "human", "ai", "human", "ai", "human"]
+    assert first[1]["content"] == "[POSITIVE] ОПИСАНИЕ ЗАКУПКИ:\nОдин" and first[3]["content"].startswith("[NEGATIVE]")
+    assert first[2]["content"] == '{"reasoning": {"a": "b \\"c\\""}, "fit_score": 9.0}'
+    assert first[5]["content"] == "КОМПЕТЕНЦИИ ПОСТАВЩИКА:\nК\n\nОПИСАНИЕ ЗАКУПКИ:\nД1" and second[5]["content"].endswith("ОПИСАНИЕ ЗАКУПКИ:\n")
+    judged = rows_.select(scoring.judge_messages("J", F.lit("К"), F.col("d"), F.lit('{"fit_score": 1}'), "Оцени.")).first()[0]
+    assert judged[1]["content"].endswith('ОЦЕНКА МОДЕЛИ (JSON):\n{"fit_score": 1}\n\nОцени.') and len(judged) == 2
