@@ -462,33 +462,31 @@ def page_selectors(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(A.table(spark, d, "pages"), variables).select("page_id", *(v.name for v in variables))
 
 
-_CAPTURED = """captured AS (SELECT page_id, regexp_extract(url, '/(en|de|fr|es)/', 1) AS list, cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS int) AS page_no, url, html,
-    regexp_extract(url, '://[^/]*[.]([a-z]+)', 1) AS platform FROM pages)"""
+_CAPTURED = """captured AS (SELECT page_id, cast(page_id // 10 AS varchar) AS list, cast(page_id % 10 AS int) AS page_no, url, html, regexp_extract(url, '://[^/]*[.]([a-z]+)', 1) AS platform FROM pages)"""
 
 
 def _captured(spark: SparkSession, d: str) -> str:
-    """The pages as a source by platform."""
-    url = F.col("url")
-    group = lambda pattern: F.regexp_extract(url, pattern, 1)
-    rows = A.table(spark, d, "pages").select("page_id", group("/(en|de|fr|es)/").alias("list"), F.nullif(group("/([0-9]+)"), F.lit("")).alias("page_no"), "url", "html", group(r"://[^/]*[.]([a-z]+)").alias("platform"))
+    """The pages as a source by platform: ten neighbours make a list."""
+    list_key, page_no = F.floor(F.col("page_id") / 10).cast("string"), F.col("page_id") % 10
+    rows = A.table(spark, d, "pages").select("page_id", list_key.alias("list"), page_no.alias("page_no"), "url", "html", F.regexp_extract("url", r"://[^/]*[.]([a-z]+)", 1).alias("platform"))
     path = f"{shared_folder(spark)}/bidloom/captured-{uuid.uuid4().hex}"
     pages.write_pages(rows, path)
     return path
 
 
-@query(f"""WITH {_CAPTURED}, asked AS (SELECT * FROM captured WHERE platform IN ('com', 'org') AND page_no BETWEEN 100 AND 900), last AS (SELECT list, min(page_no) AS l FROM asked WHERE NOT contains(html, '<p><b>') GROUP BY list)
+@query(f"""WITH {_CAPTURED}, asked AS (SELECT * FROM captured WHERE platform IN ('com', 'org') AND page_no BETWEEN 1 AND 8), last AS (SELECT list, min(page_no) AS l FROM asked WHERE NOT contains(html, '<p><b>') GROUP BY list)
     SELECT page_id, platform, asked.list, page_no FROM asked LEFT JOIN last ON asked.list = last.list WHERE l IS NULL OR page_no <= l""")
 def captured_lists(spark: SparkSession, d: str) -> DataFrame:
     """The pages of two platforms by number, each list up to the first one without a next page."""
-    asked = pages.read_pages(spark, _captured(spark, d), ["com", "org"], page_from=100, page_to=900)
+    asked = pages.read_pages(spark, _captured(spark, d), ["com", "org"], page_from=1, page_to=8)
     return extract.until_last(asked, "list", "page_no", "article p > b").select("page_id", "platform", "list", "page_no")
 
 
-@query(f"WITH {_CAPTURED} SELECT page_id, platform, list, page_no, length(html) AS chars FROM captured WHERE list = 'en' AND platform = 'com'")
+@query(f"WITH {_CAPTURED} SELECT page_id, platform, list, page_no, length(html) AS chars FROM captured WHERE page_no < 5 AND platform = 'com'")
 def captured_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same source as a stream, filtered."""
     path = _captured(spark, d)
-    rows = pages.stream_pages(spark, path, platforms=["com"], lists=["en"]).select("page_id", "platform", "list", "page_no", F.length("html").cast("bigint").alias("chars"))
+    rows = pages.stream_pages(spark, path, platforms=["com"], page_to=4).select("page_id", "platform", "list", "page_no", F.length("html").cast("bigint").alias("chars"))
     rows.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}-out").awaitTermination()
     return spark.read.parquet(f"{path}-out")
 
