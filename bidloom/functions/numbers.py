@@ -54,7 +54,7 @@ def _with_digits(digits: Column, exponent: Column) -> Column:
 
 def _shorter(size: Column, found: Column) -> Column:
     """The nearer number of one digit less, if that is still the double ``size``."""
-    low = F.floor(found["digits"] / F.lit(10).cast("decimal(2,0)")).cast("bigint")
+    low = F.call_function("div", found["digits"], F.lit(10))
     is_it = lambda digits: F.concat_ws("E", digits.cast("string"), (found["exponent"] + 1).cast("string")).cast("double") == size
     down, up = _with_digits(low, found["exponent"] + 1), _with_digits(low + 1, found["exponent"] + 1)
     nearer_down = found["digits"] % 10 + low % 2 <= 5  # of two equally near ones the even one
@@ -77,9 +77,9 @@ def _nearest(size: Column, found: Column) -> Column:
         low = F.call_function("div", x["exact"], x["unit"])
         rest = (x["exact"] - low.cast("decimal(19,0)") * x["unit"]) * F.lit(2).cast("decimal(1,0)")
         up = (rest > x["unit"]) | ((rest == x["unit"]) & (low % 2 == 1))
-        return F.when(large & (found["exponent"] > 0), _with_digits(low + up.cast("bigint"), found["exponent"])).otherwise(found)
+        return _with_digits(low + up.cast("bigint"), found["exponent"])
 
-    return _let(F.struct(exact.cast("decimal(38,0)").alias("exact"), unit.alias("unit")), rounded)
+    return F.when(large & (found["exponent"] > 0), _let(F.struct(exact.cast("decimal(38,0)").alias("exact"), unit.alias("unit")), rounded)).otherwise(found)
 
 
 def _spread(found: Column) -> Column:
@@ -100,13 +100,7 @@ def _spread(found: Column) -> Column:
     return _let(F.struct(text.alias("text"), power.alias("power")), spread)
 
 
-def plain_text(c: Column | str) -> Column:
-    """A double by its fewest digits, without an exponent from 0.0001 up to below 10 ** 16: 25000000.0, 0.0001, 1e+16.
-
-    The cast to text may give a digit more than needed, and an exponent from 10 ** 7; its digits are shortened as long as
-    they still mean the same double.
-    """
-    x = col(c).cast("double")
+def _by_digits(x: Column) -> Column:
     size, text = F.abs(x), x.cast("string")
     whole, fraction = F.regexp_extract(text, r"(\d+)\.(\d+)", 1), F.regexp_extract(text, r"(\d+)\.(\d+)", 2)
     exponent = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)", 1), F.lit("")).cast("int"), F.lit(0)) - F.length(fraction)
@@ -119,6 +113,22 @@ def plain_text(c: Column | str) -> Column:
     return known.when(x.isNotNull(), F.concat(sign, _let(found, _spread)))
 
 
+def plain_text(c: Column | str) -> Column:
+    """A double by its fewest digits, without an exponent from 0.0001 up to below 10 ** 16: 25000000.0, 0.0001, 1e+16.
+
+    Up to 15 digits tell all doubles apart, so a text that has no more is the shortest: the cast's own, a whole number's, or
+    one of cents. Others, and those with an exponent, are spread out digit by digit: the cast may give a digit more than
+    needed, and an exponent from 10 ** 7, so its digits are shortened as long as they still mean the same double.
+    """
+    x = col(c).cast("double")
+    size, text = F.abs(x), x.cast("string")
+    cents = F.when(size < 1e13, x).cast("decimal(17,2)")
+    short = F.when((size >= 1e-3) & (size < 1e7) & (F.length(text) <= 16), text)
+    short = short.when((size < 1e15) & (x == F.floor(F.when(size < 1e15, x))) & (x != 0), F.concat(F.when(size < 1e15, x).cast("bigint").cast("string"), F.lit(".0")))
+    short = short.when((size >= 1) & (size < 1e13) & (cents.cast("double") == x), F.rtrim(cents.cast("string"), F.lit("0")))
+    return short.otherwise(_by_digits(x))
+
+
 def query_text(c: Column | str, kind: str) -> Column:
     """A criterion as query text: lists are joined by commas, whole doubles lose their fraction."""
     c = col(c)
