@@ -52,6 +52,28 @@ def test_search_equals_the_scan(spark, tmp_path):
     assert trigrams.search(rows, asked.limit(0), path).count() == 0
 
 
+def test_equal_patterns_are_compared_once(spark, tmp_path):
+    rows = spark.range(1_000).select("id", F.format_string("Name#%06d", "id").alias("text"))
+    path = f"file://{tmp_path}/index"
+    trigrams.build_index(rows, "id", "text", path)
+    asked = spark.range(3_000).select(F.col("id").alias("pattern_id"), F.when(F.col("id") % 3 < 2, "%00%").otherwise("%NAME%123").alias("pattern"))
+    # A thousand texts for the one pattern, one for the other: not one for each pattern's id.
+    assert trigrams.class_candidates(spark, path, trigrams.pattern_classes(asked)).count() == 1_001
+    got = trigrams.search(rows, asked, path).agg(F.count("*"), F.sum("pattern_id"), F.sum("id")).first()
+    often = [k for k in range(3_000) if k % 3 < 2]
+    seldom = [k for k in range(3_000) if k % 3 == 2]
+    assert tuple(got) == (len(often) * 1_000 + len(seldom), sum(often) * 1_000 + sum(seldom), len(often) * sum(range(1_000)) + len(seldom) * 123)
+
+
+def test_a_pattern_id_may_have_several_patterns(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "abcd"), (2, "vwxyz"), (2, "abab"), (3, "bc"), (None, "abc"), (4, None)], "id long, text string")
+    path = f"file://{tmp_path}/index"
+    trigrams.build_index(rows, "id", "text", path)
+    asked = spark.createDataFrame([(7, "%abc%"), (7, "%XYZ%"), (8, "%abc%"), (8, "%abc%"), (9, "%bc%_"), (None, "%bc%"), (10, None)], "pattern_id int, pattern string")
+    got = sorted((r["pattern_id"], r["id"], r["text"]) for r in trigrams.search(rows, asked, path).collect())
+    assert got == [(7, 1, "abcd"), (7, 2, "vwxyz"), (8, 1, "abcd"), (8, 1, "abcd"), (9, 1, "abcd")]
+
+
 def test_pages_equal_the_sort(spark, tmp_path):
     path = f"file://{tmp_path}/pages"
     rows = spark.range(5_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 7).alias("v"), F.lit(1).alias("rank2"))
